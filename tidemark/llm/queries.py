@@ -34,7 +34,7 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(documents(spark, sf_dir))
     base = [k for k, *_ in secret_scan.BASE]
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    counts = [F.expr(f"size(filter(spans, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in base]
     listed = secret_scan.span_text(F.filter("spans", lambda x: x["kind"].isin(base)))
     return found.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
 
