@@ -7,18 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, order_minhash, packing, secret_scan, simhash, token_store
-from tidemark.llm.common import documents
+from tidemark.llm import context_mixing, exact_dedup, language_id, order_minhash, packing, secret_scan, simhash, source_mixing, substring_dedup, token_store
+from tidemark.llm.common import documents, fold
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), width=3, radius=2)
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("train", ~context_mixing.held_out())
+    found = context_mixing.score_documents(docs)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), *found.columns[2:])
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), window=2048)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.train(language_id.training_rows(docs))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, token_store.write_store(documents(spark, sf_dir)))
 
@@ -31,6 +44,16 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_with_edits(documents(spark, sf_dir))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    mixture = source_mixing.solve(source_mixing.token_shares(docs))
+    return source_mixing.draw(docs, mixture).drop("row")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(documents(spark, sf_dir)).drop("row")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(documents(spark, sf_dir))
     base = [k for k, *_ in secret_scan.BASE]
