@@ -275,41 +275,56 @@ def train(
     return LanguageModel(languages, tuple(arrays), unseen, bounds, order)
 
 
+def _judge(texts: list[bytes], score: WordScores | None, model: LanguageModel, spread: float):
+    """Language number or -1, posterior, cross-entropy (NaN without letters), rejected."""
+    got = score(texts) if score else np.zeros((len(texts), 1))
+    n = got[:, 0]
+    pred, prob, h, bad = np.full(len(texts), -1), np.zeros(len(texts)), np.full(len(texts), np.nan), n == 0
+    if score and len(texts):
+        per = -got[:, 1:] / np.maximum(n, 1)[:, None]
+        pred = np.where(bad, -1, per.argmin(axis=1))
+        h = np.where(bad, np.nan, per.min(axis=1))
+        prob = np.where(bad, 0.0, 1.0 / np.exp(-(per - per.min(axis=1)[:, None]) * np.sqrt(n)[:, None]).sum(axis=1))
+        m, s, z = model.bounds[pred].T
+        bad = bad | (np.nan_to_num(h) > m + spread * np.sqrt(s**2 + z**2 / np.maximum(n, 1)))
+    return pred, prob, h, bad
+
+
 def identify(docs: DataFrame, model: LanguageModel, spread: float = 8.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score, cross_entropy, rejected): one row for each row, whole texts.
 
     lang_pred: the language of least cross-entropy for each character (ties: the first by name), `und` where the
     text is null or has no letter or no language was learned. score: its posterior under equal priors, with the
-    text counted as its characters to the power 0.5 (neighbouring letters are not independent), 0 for `und`. rejected: und, or
-    a cross-entropy over the language's held-back median by more than spread times its calibrated deviation
-    at this length; identical texts always get the same result.
+    text counted as the root of its characters (neighbouring letters are not independent), 0 for `und`.
+    rejected: und, or a cross-entropy over the language's held-back median by more than spread times its
+    calibrated deviation at this length. Equal texts always get the same result.
     """
     languages = model.languages
 
     def run(batches):
         score = WordScores(model) if languages else None
         for b in batches:
-            texts = text_bytes(b.column(1))
-            got = score(texts) if score else np.zeros((len(texts), 1))
-            n = got[:, 0]
-            pred, prob, h = np.full(len(texts), -1), np.zeros(len(texts)), np.full(len(texts), np.nan)
-            bad = n == 0
-            if languages and len(texts):
-                per = -got[:, 1:] / np.maximum(n, 1)[:, None]
-                pred = np.where(bad, -1, per.argmin(axis=1))
-                h = per.min(axis=1)
-                weights = np.exp(-(per - h[:, None]) * np.sqrt(n)[:, None])
-                prob = np.where(bad, 0.0, 1.0 / weights.sum(axis=1))
-                m, s, z = model.bounds[pred].T
-                bad = bad | (h > m + spread * np.sqrt(s**2 + z**2 / np.maximum(n, 1)))
+            pred, prob, h, bad = _judge(text_bytes(b.column(1)), score, model, spread)
             names = [languages[i] if i >= 0 else "und" for i in pred]
-            h = pa.array(np.where(n > 0, h, np.nan), from_pandas=True)
+            h = pa.array(h, from_pandas=True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(prob), h, pa.array(bad)], names=[id_col, "lang_pred", "score", "cross_entropy", "rejected"])
 
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
+def accept(docs: DataFrame, model: LanguageModel, spread: float = 8.0, text_col: str = "text") -> DataFrame:
+    """The rows of docs that identify() does not reject, with all their columns."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        score = WordScores(model) if model.languages else None
+        for b in batches:
+            yield b.filter(pa.array(~_judge(text_bytes(b.column(at)), score, model, spread)[3]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.where(fold(id_col) != 0)
 

@@ -1,23 +1,25 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-A fingerprint is cut into radius // 2 + 1 segments: of two fingerprints within the radius, some segment
+A fingerprint is cut into few segments: of two fingerprints within the radius, some segment
 differs by one bit at most. Every segment is indexed as it is and with each of its bits struck out;
-equal keys are joined and the pairs verified on the whole fingerprint.
+equal keys are joined and the pairs verified on the whole fingerprint. Here radius is 1 to 3: two segments.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import materialise, ship_by_value
 from tidemark.llm.graph import components
+from tidemark.llm.word_ids import text_bytes
 
 
 def fingerprint(text: bytes, width: int, seed: int) -> int:
@@ -37,63 +39,71 @@ def fingerprint(text: bytes, width: int, seed: int) -> int:
     return int(np.packbits(over, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp): whole texts, null as empty. Words are runs without ASCII white space, A-Z lower-cased."""
+def fingerprints(docs: DataFrame, width: int = 5, seed: int = 42, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """The columns and fp (long): whole texts, null as empty. Words are runs without ASCII white space, A-Z lower-cased."""
+    kept = docs.select(*[F.col(f"`{c}`") for c in columns or docs.columns], F.col(text_col).cast("string").alias("_text"))
+    schema = T.StructType([*kept.schema.fields[:-1], T.StructField("fp", T.LongType())])
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width, seed) for t in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
+            fps = [fingerprint(t, width, seed) for t in text_bytes(b.columns[-1])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], names=schema.names)
 
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
-    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return kept.mapInArrow(run, schema)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _half_rules(width: int):
+    """For a region of width bits: its halves, each as it is (bit -1) and with each of its bits struck out."""
+    half = width // 2
+    return F.array(*[F.struct(F.lit(part * half).alias("from"), F.lit(bit).alias("bit")) for part in (0, 1) for bit in range(-1, half)])
 
 
 def near_pairs(fps: DataFrame, radius: int = 2, pair_limit: int = 256) -> DataFrame:
-    """fps: (fp) distinct -> (a, b): links whose closure equals that of all pairs within radius bits.
+    """fps: (fp) distinct -> (a, b): every pair within radius (1 to 3) bits, once.
 
-    Keys with at most pair_limit fingerprints are joined to themselves: an exact key gives each couple
-    once, a key with bit i struck out only couples that differ in bit i. Larger keys are not joined:
-    their members get every choice of radius bits struck out from all 64; members that agree on the
-    other bits (at most 2^radius) are all within the radius and are tied to the least of them.
+    Level 0 cuts all 64 bits into halves: one of them differs by one bit at most. A half is a key as it is,
+    and with each bit struck out; a key with bit i struck out only links fingerprints that differ in bit i, so
+    equal halves do not meet 32 times. Keys with at most pair_limit fingerprints are joined and verified. The
+    members of a larger key are cut again, in the half that the key leaves open, so their keys fix 48 bits, then
+    56; then 8 open bits and three struck ones bound a key's members by 2^11. No link is lost at any level.
     """
     if not 1 <= radius <= 3:
         raise ValueError("radius: 1 to 3")
-    n = radius // 2 + 1
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    rules = []
-    for lo, hi in zip(edges, edges[1:]):
-        segment = ((1 << hi) - 1) ^ ((1 << lo) - 1)
-        rules.append((len(rules), _signed(segment), 0))
-        for bit in range(lo, hi):
-            rules.append((len(rules), _signed(segment & ~(1 << bit)), _signed(1 << bit)))
-    rule = F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(keep).cast("long").alias("keep"), F.lit(bit).cast("long").alias("bit")) for t, keep, bit in rules])
-    keys = fps.select("fp", F.explode(rule).alias("r")).select(
-        "fp", F.col("r.tag").alias("tag"), F.expr("fp & r.keep").alias("key"), F.expr("r.bit = 0").alias("exact"), F.expr("int(fp & r.bit <> 0)").alias("side")
-    )
-    same = Window.partitionBy("tag", "key")
-    keys = keys.withColumn("n", F.count("*").over(same)).withColumn("ones", F.sum("side").over(same))
-    keys = materialise(keys.where("n > 1 and (exact or (ones > 0 and ones < n))"), "simhash-keys")
-    few = keys.where(F.col("n") <= pair_limit)
-    left = few.select("tag", "key", "exact", F.col("fp").alias("a"), F.col("side").alias("side_a"))
-    right = few.select("tag", "key", F.col("fp").alias("b"), F.col("side").alias("side_b"))
-    joined = left.join(right, ["tag", "key"]).where("(exact and a < b) or side_a < side_b")
-    joined = joined.where(F.expr(f"bit_count(a ^ b) <= {radius}")).select("a", "b")
-    struck = [_signed(~sum(1 << b for b in bits) & (2**64 - 1)) for bits in combinations(range(64), radius)]
-    many = keys.where(F.col("n") > pair_limit).select("fp").distinct()
-    cliques = (
-        many.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in struck])).alias("keep"))
-        .groupBy("keep", F.expr("fp & keep").alias("key"))
-        .agg(F.collect_set("fp").alias("all"))  # 2^radius members at most
-        .where("size(all) > 1")
-        .select(F.array_min("all").alias("a"), F.explode("all").alias("b"))
-        .where("a <> b")
-    )
-    return joined.union(cliques).distinct()
+    rows, found = fps.select("fp", F.lit(0).cast("long").alias("mask"), F.lit(0).alias("lo")), []
+    for width in (64, 32, 16):
+        half = width // 2
+        cut = rows.select("fp", "mask", "lo", F.explode(_half_rules(width)).alias("r"))
+        segment = F.expr(f"shiftleft({(1 << half) - 1}L, lo + r.from)")
+        struck = F.expr("if(r.bit < 0, 0L, shiftleft(1L, lo + r.from + r.bit))")
+        keys = cut.select(
+            "fp",
+            (F.col("mask").bitwiseOR(segment.bitwiseAND(F.bitwise_not(struck)))).alias("mask"),
+            F.expr(f"lo + {half} - r.from").alias("lo"),
+            F.expr("r.bit < 0").alias("exact"),
+            (F.col("fp").bitwiseAND(struck) != 0).cast("int").alias("side"),
+        ).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        same = Window.partitionBy("mask", "key")
+        keys = keys.withColumn("n", F.count("*").over(same)).withColumn("ones", F.sum("side").over(same))
+        keys = materialise(keys.where("n > 1 and (exact or (ones > 0 and ones < n))"), "simhash-keys")
+        few = keys if width == 16 else keys.where(F.col("n") <= pair_limit)
+        left = few.select("mask", "key", "exact", F.col("fp").alias("a"), F.col("side").alias("side_a"))
+        right = few.select("mask", "key", F.col("fp").alias("b"), F.col("side").alias("side_b"))
+        joined = left.join(right, ["mask", "key"]).where("(exact and a < b) or side_a < side_b")
+        found.append(joined.where(F.expr(f"bit_count(a ^ b) <= {radius}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        rows = keys.where(F.col("n") > pair_limit).select("fp", "mask", "lo")
+        if width == 16 or rows.isEmpty():
+            break
+    return reduce(DataFrame.union, found).distinct()
+
+
+def clusters(rows: DataFrame, radius: int, pair_limit: int, id_col: str) -> DataFrame:
+    """rows with fp -> (fp, component_id): the least id of the fingerprints that links connect."""
+    vertices = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
+    roots = components(near_pairs(vertices.select("fp"), radius, pair_limit))
+    labelled = vertices.join(roots, vertices.fp == roots.id, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = materialise(labelled, "simhash-roots")
+    component = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    return labelled.join(component, "root").select("fp", "component_id")
 
 
 def near_duplicates(
@@ -105,14 +115,26 @@ def near_duplicates(
     reachable. Null and empty texts have fingerprint zero and link like any other. Equal fingerprints are
     one vertex, so copies are never paired. A null id never becomes a component_id unless its component has no other.
     """
-    spark_rows = materialise(fingerprints(docs, width, seed, id_col, text_col), "simhash-fps")
-    vertices = spark_rows.groupBy("fp").agg(F.min(id_col).alias("least"))
-    roots = components(near_pairs(vertices.select("fp"), radius, pair_limit))
-    labelled = vertices.join(roots, vertices.fp == roots.id, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    labelled = materialise(labelled, "simhash-roots")
-    component = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = labelled.join(component, "root").select("fp", "component_id")
-    return spark_rows.join(of_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = materialise(fingerprints(docs, width, seed, text_col, [id_col]), "simhash-fps")
+    found = clusters(rows, radius, pair_limit, id_col)
+    return rows.join(found, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, width: int = 5, radius: int = 3, seed: int = 42, pair_limit: int = 256, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of docs for each component of near_duplicates, that of the smallest id, with all its columns.
+
+    Of rows that share this id inside one component one stays (that of the smallest fingerprint). Null and
+    empty texts are one component.
+    """
+    columns = docs.columns
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("d"), F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+    rows = materialise(fingerprints(numbered, width, seed, "t", ["d", "k"]).withColumn("n", F.monotonically_increasing_id()), "simhash-docs")
+    found = clusters(rows.select("k", "fp"), radius, pair_limit, "k")
+    kept = rows.select("n", "k", "fp").join(found, "fp").where(F.col("k").eqNullSafe(F.col("component_id")))
+    first = kept.groupBy("component_id").agg(F.min(F.struct("fp", "n"))["n"].alias("n_"))
+    return rows.join(first, rows.n == first.n_, "left_semi").select("d.*")
 
 
 ship_by_value(__name__)
