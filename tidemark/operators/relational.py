@@ -85,10 +85,10 @@ def content_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     """(rows, digest): the sum of the rows' md5 prefixes modulo 2^64, whatever their order."""
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
     hashed = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("rows"), F.pmod(F.sum(hashed), F.lit(2**64).cast("decimal(38,0)")).cast("decimal(38,0)").cast("string").alias("digest"))
+    return df.agg(F.count("*").alias("rows"), F.pmod(F.sum(hashed), F.expr("cast(18446744073709551616 as decimal(38,0))")).cast("decimal(38,0)").cast("string").alias("digest"))
 
 
 def fast_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     """As content_digest, by xxhash64."""
     hashed = F.xxhash64(*columns).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("rows"), F.pmod(F.sum(hashed), F.lit(2**64).cast("decimal(38,0)")).cast("string").alias("digest"))
+    return df.agg(F.count("*").alias("rows"), F.pmod(F.sum(hashed), F.expr("cast(18446744073709551616 as decimal(38,0))")).cast("string").alias("digest"))
