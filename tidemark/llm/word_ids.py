@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import json
 import os
+import string
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +21,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ship_by_value
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: The apostrophe may open a contraction.
+PUNCTUATION = string.punctuation.replace("'", "")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -50,8 +55,15 @@ class WordEncoder:
             pre = json.dumps(json.load(f).get("pre_tokenizer"))
         if "[^\\\\s\\\\p{L}\\\\p{N}]+" not in pre:
             raise ValueError("this tokenizer may merge across white space; its texts can't be encoded by words")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype(f"<u{width}")
+        if sys.byteorder != "little":
+            raise ValueError("ids are kept as this machine's integers, which must be little-endian")
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = None  # for lower-case ASCII letters, which it leaves alone
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith(suffix)
+        self.kind = {2: "H", 4: "I"}[width]
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, texts: list[list[bytes]]) -> None:
@@ -59,16 +71,52 @@ class WordEncoder:
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
             new = set().union(*texts)
-        words = list(new)
+        # a run of punctuation after a letter is a token piece of its own: encode both parts once
+        parted, plain = [], set()
+        for raw in new:
+            word = raw.decode()
+            base = word.rstrip(PUNCTUATION)
+            if len(base) < len(word) and base[-1:].lower().isalpha() and "<|" not in word:
+                parted.append((raw, base.encode(), word[len(base) :].encode()))
+                plain.update(parted[-1][1:])
+            else:
+                plain.add(raw)
+        letters, accented, others = [], [], []
+        for raw in plain - self.known.keys():
+            if raw.isalpha() and raw.islower():  # bytes: ASCII alone
+                letters.append(raw)
+            else:
+                word = raw.decode()
+                (accented if word.isalpha() and word.lower().isalpha() else others).append(raw)
+        self._encode_letters(letters, self.plain)
+        self._encode_letters(accented, self.tokenizer)
+        self._encode_each(others)
+        for raw, base, rest in parted:
+            self.known[raw] = self.known[base] + self.known[rest]
+
+    def _encode_letters(self, words: list[bytes], tokenizer) -> None:
+        """Words of letters, many in one text: each is one piece, and its last token alone closes a piece."""
+        for i in range(0, len(words), 20_000):
+            parts = [words[k : k + 500] for k in range(i, min(i + 20_000, len(words)), 500)]
+            for part, encoded in zip(parts, tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False)):
+                ids = np.array(encoded.ids, np.uint32)
+                ends = (np.flatnonzero(self.closes[ids]) + 1) * array(self.kind).itemsize
+                if len(ends) != len(part):
+                    self._encode_each(part)
+                    continue
+                raw, bounds = ids.astype(self.kind).tobytes(), [0, *ends.tolist()]
+                self.known.update(zip(part, [raw[x:y] for x, y in zip(bounds, bounds[1:])]))
+
+    def _encode_each(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
             for word, encoded in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(encoded.ids, self.kind).tobytes()
+                self.known[word] = array(self.kind, encoded.ids).tobytes()
 
     def __call__(self, texts: list[bytes], end: bytes = b"") -> list[bytes]:
         out: list[bytes] = []
         for lo, hi in groups([len(t) for t in texts], 4_000_000):
-            split = [t.split() for t in texts[lo:hi]]
+            split = [(t if b"<|" in t else t.lower()).split() for t in texts[lo:hi]]  # special tokens keep their case
             self.learn(split)
             get = self.known.__getitem__
             out += [b"".join(map(get, words)) + end for words in split]
