@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _c(x: Column | str) -> Column:
@@ -54,7 +55,7 @@ def valid_player_id(text: Column | str) -> Column:
     return canonical_id(text).rlike(r"^P[A-Z0-9]{3,6}$")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def name_key(names: pd.Series) -> pd.Series:
     """Decomposed, without combining marks, upper case, single spaces (Unicode decomposition has no built-in)."""
     bare = lambda x: " ".join("".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).upper().split())
@@ -65,7 +66,7 @@ def name_key(names: pd.Series) -> pd.Series:
 LETTERS = {"đ": "d", "ł": "l", "ø": "o", "ı": "i", "æ": "ae", "œ": "oe"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def search_key(names: pd.Series) -> pd.Series:
     """Case-folded, without marks, LETTERS replaced, apostrophes and full stops dropped, '-', '/' and ',' as spaces."""
 

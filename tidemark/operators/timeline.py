@@ -87,6 +87,13 @@ def run_ids(df: DataFrame, tl: Timeline, change_of: str, out: str = "run") -> Da
     return flagged.withColumn(out, F.sum("_moved").over(tl.rows().rowsBetween(Window.unboundedPreceding, 0))).drop("_moved")
 
 
+def run_ids_of_events(df: DataFrame, tl: Timeline, change_of: str, out: str = "run") -> DataFrame:
+    """As run_ids, over the events alone: a row between two events does not end a run."""
+    events = tl.events()
+    moved = F.when(F.row_number().over(events) == 1, 1).otherwise((~F.col(change_of).eqNullSafe(F.lag(change_of).over(events))).cast("int"))
+    return df.withColumn("_moved", moved).withColumn(out, F.sum("_moved").over(events.rowsBetween(Window.unboundedPreceding, 0))).drop("_moved")
+
+
 def miss_streak(df: DataFrame, tl: Timeline, out: str = "streak") -> DataFrame:
     """Rows without an event in a row, as known strictly before each row; 0 before the first row."""
     so_far = tl.rows().rowsBetween(Window.unboundedPreceding, 0)
