@@ -84,15 +84,17 @@ def pack(
 
     def cut(batches):
         for b in batches:
-            rows: list[list] = [[] for _ in range(8)]
+            rows: list[list] = [[] for _ in range(7)]
             at = []
             for i, (ids, n, pieces) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())):
                 every = wide(ids, width)
                 for p in pieces:
                     part = every[p["start"] : p["start"] + p["length"]].tobytes()
                     at.append(i)
-                    for column, value in zip(rows, (p["start"], p["length"], zlib.crc32(part), n, p["sequence_id"], p["offset"], part)):
+                    for column, value in zip(rows, (p["start"], p["length"], zlib.crc32(part), n, p["sequence_id"], p["offset"])):
                         column.append(value)
+                    if with_ids:
+                        rows[6].append(part)
             take = pa.array(at, pa.int64())
             columns = [b.column(0).take(take), b.column(1).take(take), *[pa.array(c, pa.int64()) for c in rows[:6]]]
             names = [id_col, source_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

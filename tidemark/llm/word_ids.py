@@ -2,7 +2,7 @@
 
 The word tokenizer drops white space and never merges across it, so a text's ids are those of its
 pieces between ASCII white space, one after the other. Workers encode each distinct piece once and keep
-a bounded cache; the tests hold the result against encoding whole texts.
+a cache of two bounded generations, so that frequent words stay; the tests hold the result against encoding whole texts.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ship_by_value
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 #: The apostrophe may open a contraction.
-PUNCTUATION = string.punctuation.replace("'", "")
+PUNCTUATION = string.punctuation.replace("'", "").encode()
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -57,48 +57,59 @@ class WordEncoder:
             raise ValueError("this tokenizer may merge across white space; its texts can't be encoded by words")
         if sys.byteorder != "little":
             raise ValueError("ids are kept as this machine's integers, which must be little-endian")
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.normalizer = None  # for lower-case ASCII letters, which it leaves alone
+        self.tokenizer = Tokenizer.from_file(path)
+        self.normalizer = self.tokenizer.normalizer
         suffix = self.tokenizer.model.end_of_word_suffix
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.closes[i] = token.endswith(suffix)
         self.kind = {2: "H", 4: "I"}[width]
         self.known: dict[bytes, bytes] = {}
+        self.former: dict[bytes, bytes] = {}
+
+    def _unknown(self, words: set[bytes]) -> set[bytes]:
+        """The words in neither generation; those of the former one move on."""
+        new = words.difference(self.known)
+        again = new.intersection(self.former)
+        self.known.update((w, self.former[w]) for w in again)
+        return new - again
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        new = set().union(*texts) - self.known.keys()
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = set().union(*texts)
+        every = set().union(*texts)
+        if len(self.known) + len(every.difference(self.known)) > CACHE_WORDS:
+            self.known, self.former = {}, self.known
         # a run of punctuation after a letter is a token piece of its own: encode both parts once
-        parted, plain = [], set()
-        for raw in new:
-            word = raw.decode()
-            base = word.rstrip(PUNCTUATION)
-            if len(base) < len(word) and base[-1:].lower().isalpha() and "<|" not in word:
-                parted.append((raw, base.encode(), word[len(base) :].encode()))
-                plain.update(parted[-1][1:])
+        new, parted, pieces = self._unknown(every), [], set()
+        whole = [w for w in new if w.isalpha()]  # bytes: ASCII alone
+        for raw in new.difference(whole):
+            base = raw.rstrip(PUNCTUATION)
+            if len(base) < len(raw) and (base.isalpha() or base.decode()[-1:].lower().isalpha()) and b"<|" not in raw:
+                parted.append((raw, base, raw[len(base) :]))
+                pieces.update(parted[-1][1:])
             else:
-                plain.add(raw)
+                whole.append(raw)
+        whole += self._unknown(pieces.difference(whole))
         letters, accented, others = [], [], []
-        for raw in plain - self.known.keys():
-            if raw.isalpha() and raw.islower():  # bytes: ASCII alone
+        for raw in whole:
+            if raw.isalpha() and raw.islower():
                 letters.append(raw)
             else:
                 word = raw.decode()
                 (accented if word.isalpha() and word.lower().isalpha() else others).append(raw)
-        self._encode_letters(letters, self.plain)
-        self._encode_letters(accented, self.tokenizer)
+        self.tokenizer.normalizer = None  # it leaves lower-case ASCII letters alone
+        self._encode_letters(letters)
+        self.tokenizer.normalizer = self.normalizer
+        self._encode_letters(accented)
         self._encode_each(others)
+        known = self.known
         for raw, base, rest in parted:
-            self.known[raw] = self.known[base] + self.known[rest]
+            known[raw] = known[base] + known[rest]
 
-    def _encode_letters(self, words: list[bytes], tokenizer) -> None:
+    def _encode_letters(self, words: list[bytes]) -> None:
         """Words of letters, many in one text: each is one piece, and its last token alone closes a piece."""
         for i in range(0, len(words), 20_000):
             parts = [words[k : k + 500] for k in range(i, min(i + 20_000, len(words)), 500)]
-            for part, encoded in zip(parts, tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False)):
+            for part, encoded in zip(parts, self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False)):
                 ids = np.array(encoded.ids, np.uint32)
                 ends = (np.flatnonzero(self.closes[ids]) + 1) * array(self.kind).itemsize
                 if len(ends) != len(part):
