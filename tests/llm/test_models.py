@@ -125,9 +125,9 @@ def test_scores(spark):
 def test_probabilities_of_a_byte_sum_to_one():
     rnd = np.random.default_rng(1)
     tables = [rnd.integers(0, 50, (1 << s, 2)).astype(np.uint16) for s in context_mixing.SLOTS]
-    maps = rnd.normal(size=(5, 8, context_mixing.STATES + 1)).astype(np.float32)
+    maps = rnd.normal(size=(5, 8, context_mixing.CODES)).astype(np.float32)
     weights = rnd.normal(size=(context_mixing.GATES, context_mixing.INPUTS))
-    model = context_mixing.MixingModel(tables, maps, weights, rnd.random((256, context_mixing.BUCKETS)))
+    model = context_mixing.MixingModel([context_mixing.codes_of(t) for t in tables], None, maps, weights, rnd.random((256, context_mixing.BUCKETS)))
     space = 10 ** model.score([b"ab"])[0]
     # p(b"ab" + any byte but a space) over p(b"ab" + space) is the rest of one
     longer = [b"ab" + bytes([x]) for x in range(256) if x != 32]
@@ -147,6 +147,25 @@ def test_words_do_not_depend_on_their_neighbours():
     assert all((a == b[at : at + 6]).all() for a, b in zip(alone, among))
 
 
+def test_codes_follow_the_counts():
+    n = np.array([[0, 0], [0, 1], [1, 0], [3, 3], [2, 40], [900, 30], [30, 900], [60_000, 60_000]], np.uint16)
+    codes = context_mixing.codes_of(n)
+    assert codes[0] == 0 and len(set(codes.tolist())) == len(n) and codes.max() < context_mixing.CODES
+    assert (codes % 2).tolist() == [0, 1, 0, 0, 1, 0, 1, 0]
+    without = context_mixing.left_out(n)
+    for i, (zero, one) in enumerate(n.tolist()):
+        for bit, less in ((0, (max(zero - 1, 0), one)), (1, (zero, max(one - 1, 0)))):
+            assert without[2 * i + bit] == context_mixing.codes_of(np.array([less], np.uint16))[0]
+
+
+def test_word_counts_take_their_discounted_share():
+    lp = np.log10([0.5, 0.25, 0.25])  # two seen words and all others
+    p = 10 ** context_mixing.interpolated(np.array([3, 1, 0]), lp, (2, 1, 0), 4)
+    assert np.allclose(p, [2.25 / 4 + 0.375 * 0.5, 0.25 / 4 + 0.375 * 0.25, 0.375 * 0.25]) and np.isclose(p.sum(), 1)
+    assert (context_mixing.interpolated(np.array([0]), lp[:1], (0, 0, 0), 0) == lp[:1]).all()
+    assert np.isfinite(context_mixing.interpolated(np.array([0]), np.array([-4000.0]), (2, 1, 1), 9)).all()
+
+
 def test_scores_of_an_empty_table(spark):
     assert context_mixing.score_documents(frame(spark, []).withColumn("train", F.lit(True))).count() == 0
 
