@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,22 +85,22 @@ def pack(
 
     def cut(batches):
         for b in batches:
-            rows: list[list] = [[] for _ in range(7)]
-            at = []
-            for i, (ids, n, pieces) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())):
-                every = wide(ids, width)
-                for p in pieces:
-                    part = every[p["start"] : p["start"] + p["length"]].tobytes()
-                    at.append(i)
-                    for column, value in zip(rows, (p["start"], p["length"], zlib.crc32(part), n, p["sequence_id"], p["offset"])):
-                        column.append(value)
-                    if with_ids:
-                        rows[6].append(part)
-            take = pa.array(at, pa.int64())
-            columns = [b.column(0).take(take), b.column(1).take(take), *[pa.array(c, pa.int64()) for c in rows[:6]]]
+            cuts = b.column(4)
+            start, length, sequence, offset = (x.to_numpy() for x in cuts.flatten().flatten())
+            at = np.repeat(np.arange(len(b)), cuts.value_lengths().to_numpy())
+            sums, parts, own, last = [], [], None, -1
+            for i, lo, n in zip(at.tolist(), start.tolist(), length.tolist()):
+                if i != last:
+                    own, last = wide(b.column(2)[i].as_buffer(), width), i
+                part = own[lo : lo + n].tobytes()
+                sums.append(zlib.crc32(part))
+                if with_ids:
+                    parts.append(part)
+            take = pa.array(at)
+            columns = [b.column(0).take(take), b.column(1).take(take), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), b.column(3).take(take), pa.array(sequence), pa.array(offset)]
             names = [id_col, source_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if with_ids:
-                columns.append(pa.array(rows[6], pa.binary()))
+                columns.append(pa.array(parts, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

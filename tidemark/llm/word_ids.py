@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ship_by_value
 
-CACHE_WORDS = 150_000
+#: Of one generation.
+CACHE_WORDS = 300_000
 #: The apostrophe may open a contraction.
 PUNCTUATION = string.punctuation.replace("'", "").encode()
 
@@ -76,10 +77,11 @@ class WordEncoder:
 
     def learn(self, texts: list[list[bytes]]) -> None:
         every = set().union(*texts)
-        if len(self.known) + len(every.difference(self.known)) > CACHE_WORDS:
-            self.known, self.former = {}, self.known
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known, self.former, new = {}, self.known, every
         # a run of punctuation after a letter is a token piece of its own: encode both parts once
-        new, parted, pieces = self._unknown(every), [], set()
+        new, parted, pieces = self._unknown(new), [], set()
         whole = [w for w in new if w.isalpha()]  # bytes: ASCII alone
         for raw in new.difference(whole):
             base = raw.rstrip(PUNCTUATION)
@@ -169,7 +171,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int | None = 1, text_co
     return rows.mapInArrow(run, f"{head}, ids binary, n_tokens long")
 
 
-def wide(ids: bytes, width: int) -> np.ndarray:
+def wide(ids: bytes | pa.Buffer, width: int) -> np.ndarray:
     return np.frombuffer(ids, f"<u{width}").astype("<u4")
 
 
