@@ -129,6 +129,6 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.95, max_repetition: fl
         return docs
     whole = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mixing-docs")
     times = draw(whole, mixture, seed, id_col=id_col, source_col=source_col, text_col=text_col, row_col="_row")
-    times = times.groupBy("row").agg(F.count("*").alias("_times"))
-    repeated = whole.join(times, whole["_row"] == times["row"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    times = times.groupBy(F.col("row").alias("_drawn")).agg(F.count("*").alias("_times"))
+    repeated = whole.join(times, F.col("_row") == F.col("_drawn")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
