@@ -86,6 +86,12 @@ def token_shares(docs: DataFrame, source_col: str = "source", text_col: str = "t
     return {r["s"]: int(r["n"]) for r in rows.collect()}
 
 
+def _quota(wanted: float, total: int) -> float:
+    """Whole uses of all tokens where wanted lies within rounding of them, so that no row is used once more for a part of a token."""
+    uses = round(wanted / total)
+    return float(uses * total) if uses and abs(wanted - uses * total) < 1 + 1e-8 * wanted else float(wanted)
+
+
 def draw(docs: DataFrame, mixture: Mixture, seed: int = 42, block_tokens: int = 2_000_000, bins: int = 256, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(row, id_col, source_col, n_tokens, epoch, block, position): one row for each use of a row of docs.
 
@@ -102,7 +108,7 @@ def draw(docs: DataFrame, mixture: Mixture, seed: int = 42, block_tokens: int =
     spark = docs.sparkSession
     rows = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), id_col, source_col, count_tokens(text_col).alias("n_tokens"))
     rows = materialise(rows.withColumn("s", F.col(source_col).cast("string")), "mixing-rows")
-    quotas = [(s, float(w * mixture.budget), mixture.tokens[s]) for s, w in mixture.weights.items()]
+    quotas = [(s, _quota(w * mixture.budget, mixture.tokens[s]), mixture.tokens[s]) for s, w in mixture.weights.items()]
     quota = spark.createDataFrame(quotas, "q_s string, quota double, total long")
     blocks = max(1, math.ceil(mixture.budget / block_tokens))
     most = rows.groupBy("s").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
