@@ -2,7 +2,7 @@
 
 A boundary stands where the gear hash of the last WINDOW bytes is the least within REACH bytes on either
 side, so it depends on the bytes around it alone: an insertion moves only the chunks it touches. Chunks are
-deduplicated by a 128-bit digest; consecutive chunks that another document has had before form a span.
+deduplicated by a 128-bit digest; consecutive chunks that other documents have had before form a run of spans.
 """
 
 from __future__ import annotations
@@ -102,19 +102,24 @@ def repeated_spans(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id",
     """(row, id_col, start, end, words, keep_id): spans of documents that an earlier document has as well.
 
     Of every chunk the occurrence in the document of least (id, row) stays; occurrences in other documents
-    are marked, those within one document are not. Consecutive marked chunks that stay in the same document
-    make one span; spans with fewer than min_words words are left alone (chance repeats, license lines). A
-    passage of n bytes shared between documents is found but for its outer 40 to 100 bytes or so on either
-    side, so 50 words leave more than min_words. Documents with a null id come first among equals.
+    are marked, those within one document are not. Consecutive marked chunks of a document make one run,
+    whichever documents their first occurrences lie in; runs with fewer than min_words words are left alone
+    (chance repeats, license lines). A run is then reported as one span for each stretch that stays in the same
+    document, so a span itself can be short. A passage of n bytes shared between documents is found but for its
+    outer 40 to 100 bytes or so on either side, so 50 words leave more than min_words. Documents with a null id
+    come first among equals.
     """
     chunks = materialise(chunk_documents(docs, id_col, text_col), "chunks")
     owner = F.struct(F.col(id_col), F.col("row"))
     repeated = chunks.groupBy("hi", "lo").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min(owner).alias("keep")).where("a <> b").drop("a", "b")
     marked = chunks.join(repeated, ["hi", "lo"]).where(F.col("row") != F.col("keep.row"))
-    runs = Window.partitionBy("row", "keep").orderBy("i")
-    marked = marked.withColumn("run", F.col("i") - F.row_number().over(runs))
-    spans = marked.groupBy("row", id_col, "keep", "run").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("words").alias("words"))
-    return spans.where(F.col("words") >= min_words).select("row", id_col, "start", "end", "words", F.col(f"keep.{id_col}").alias("keep_id"))
+    ordered = Window.partitionBy("row").orderBy("i")
+    marked = marked.withColumn("run", F.col("i") - F.row_number().over(ordered))
+    changed = (F.lag("run").over(ordered) != F.col("run")) | (F.lag("keep.row").over(ordered) != F.col("keep.row"))
+    marked = marked.withColumn("changed", F.coalesce(changed, F.lit(False)).cast("int")).withColumn("piece", F.sum("changed").over(ordered))
+    marked = marked.withColumn("run_words", F.sum("words").over(Window.partitionBy("row", "run"))).where(F.col("run_words") >= min_words)
+    spans = marked.groupBy("row", id_col, "keep", "piece").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("words").alias("words"))
+    return spans.select("row", id_col, "start", "end", "words", F.col(f"keep.{id_col}").alias("keep_id"))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
