@@ -1,7 +1,7 @@
 import random
 
 #: Names that operators use inside.
-CLASHING = ("row", "n", "fp", "h", "count", "id", "start", "kept", "a", "b", "key", "queue", "at", "range", "train_", "spans", "word", "block")
+CLASHING = ("row", "n", "fp", "h", "count", "id", "start", "kept", "a", "b", "key", "queue", "at", "range", "train_", "spans", "word", "block", "_sha", "_n", "_row", "_copy", "_times", "_drawn", "_id", "_text", "_h", "d", "k", "s", "t", "sha", "m", "cut", "cuts", "place", "copies", "size")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
 WORDS = {"en": "the of and to in house tree river night water stone light great small".split(), "de": "der und die nicht über straße häuser wald groß nacht wasser stein".split()}
 

@@ -212,16 +212,17 @@ def test_order_matters():
 
 
 def test_compare_with_edits(spark):
-    data = [r for r in rows() if r[0] is not None]
+    data = rows()
+    data += [(None, "no id", *data[0][2:]), (None, None, *data[1][2:]), (-5, "below nought", *data[0][2:])]
     got = order_minhash.compare_with_edits(frame(spark, data)).collect()
-    ordered = sorted(((r[0], r[1] or "") for r in data), key=lambda x: (x[0], x[1].encode()))
+    ordered = sorted(((r[0], r[1] or "") for r in data), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
     want = Counter()
     for (doc_id, text), (_, after) in zip(ordered, [*ordered[1:], ordered[0]]):
         k = len(text) // 2
         want[doc_id, len(text), hashlib.sha256((text[: len(text) - k] + after[:k]).encode()).hexdigest()] += 1
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
-    fps = {r.doc_id: r.fingerprint for r in order_minhash.fingerprint_documents(frame(spark, data)).collect()}
-    assert all(fps[r.doc_id] == r.fingerprint and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    fps = {(r.doc_id, r.fingerprint) for r in order_minhash.fingerprint_documents(frame(spark, data)).collect()}
+    assert all((r.doc_id, r.fingerprint) in fps and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert order_minhash.compare_with_edits(frame(spark, [])).count() == 0
 
 

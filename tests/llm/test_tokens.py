@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tests.llm.helpers import frame, rows
-from tidemark.llm import packing, token_store
+from tests.llm.helpers import CLASHING, frame, rows
+from tidemark.llm import order_minhash, packing, token_store
 from tidemark.llm.word_ids import WordEncoder, tokenizer_path
 
 PATH = tokenizer_path()
@@ -29,18 +30,32 @@ def test_ids_by_words_are_those_of_whole_texts(text):
     assert got.tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
+def with_null_ids() -> list[tuple]:
+    data = rows()
+    return data + [(None, "no id", *data[0][2:]), (None, None, *data[1][2:]), (-5, "below nought", *data[0][2:])]
+
+
 def test_store_round_trip(spark):
-    data = [r for r in rows() if r[0] is not None]
+    data = with_null_ids()
     store = token_store.write_store(frame(spark, data), file_bytes=2000)
     assert store.manifest.count() > 8
     got = token_store.read_store(spark, store, with_ids=True).collect()
     start, want = 0, []
-    for doc_id, ids in sorted(((r[0], ids_of(r[1])) for r in data), key=lambda x: (x[0], x[1].astype("<u2").tobytes())):
+    for doc_id, ids in sorted(((r[0], ids_of(r[1])) for r in data), key=lambda x: (x[0] is not None, x[0] or 0, x[1].astype("<u2").tobytes())):
         want.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), ids.tobytes()))
         start += len(ids)
     assert Counter((r.doc_id, r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) for r in got) == Counter(want)
     some = {r.doc_id for r in token_store.read_store(spark, store, only=[3, 66, 999]).collect()}
     assert some == {3, 66}
+    ranged = token_store.read_store(spark, store, only=[3, 66, 999, -5], with_ids=True).collect()
+    assert Counter((r.doc_id, r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) for r in ranged) == Counter(w for w in want if w[0] in (3, 66, -5))
+
+
+def test_ids_must_be_integers(spark):
+    texts = frame(spark).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    for use in (token_store.write_store, order_minhash.compare_with_edits):
+        with pytest.raises(TypeError, match="integers"):
+            use(texts)
 
 
 def test_store_refuses_another_dictionary(spark):
@@ -54,10 +69,10 @@ def test_empty_store(spark):
     assert token_store.read_store(spark, token_store.write_store(frame(spark, []))).count() == 0
 
 
-@pytest.mark.parametrize("weights", [None, {"big": 1, "s0": 2, "s1": 3, "s2": 4, None: 1}])
-def test_packing(spark, weights):
+@pytest.mark.parametrize("weights,exponent", [(None, 1.0), (None, 0.5), ({"big": 1, "s0": 2, "s1": 3, "s2": 4, None: 1}, 1.0)])
+def test_packing(spark, weights, exponent):
     data, window = rows(), 256
-    pieces = packing.pack(frame(spark, data), window=window, packet=64, weights=weights, with_ids=True).collect()
+    pieces = packing.pack(frame(spark, data), window=window, packet=16, weights=weights, exponent=exponent, with_ids=True).collect()
     # every id of every row lies in one piece
     by_doc = defaultdict(list)
     for p in pieces:
@@ -82,21 +97,43 @@ def test_packing(spark, weights):
             at += length
         sizes.append(at)
     assert sorted(by_sequence) == list(range(len(sizes))) and set(sizes[:-1]) == {window} and 0 < sizes[-1] <= window
-    if weights is None:  # each window holds each source's share, but for one packet of each
-        share = Counter()
-        for p in pieces:
-            share[p.source] += p.length
-        total, so_far = sum(share.values()), Counter()
-        for s in sorted(by_sequence):
-            for p in pieces:
-                if p.sequence_id == s:
-                    so_far[p.source] += p.length
-            done = sum(so_far.values())
-            assert all(abs(so_far[k] - done * n / total) <= 64 * len(share) for k, n in share.items())
+    share = Counter()
+    for p in pieces:
+        share[p.source] += p.length
+    wanted = weights or {k: n**exponent for k, n in share.items()}
+    target = {k: w / sum(wanted.values()) for k, w in wanted.items()}
+    # every window holds every source's target but for two packets, until the first queue runs out
+    inside = defaultdict(Counter)
+    for p in pieces:
+        inside[p.sequence_id][p.source] += p.length
+    whole = int(min(n / target[k] for k, n in share.items()) / window) - 1
+    assert whole >= 1
+    for s in range(whole):
+        assert all(abs(inside[s][k] - window * target[k]) <= 2 * 16 for k in share)
+
+
+def test_a_source_without_a_weight_is_an_error(spark):
+    with pytest.raises(Exception, match="no weight for source"):
+        packing.pack(frame(spark), weights={"big": 1.0}).collect()
+
+
+def test_copies_of_a_document_lie_apart(spark):
+    rnd = random.Random(5)
+    big = [(i, " ".join(str(rnd.random()) for _ in range(30)), "en", "big", None, *[None] * len(CLASHING)) for i in range(60)]
+    rare = [(100 + i, f"rare {i} " * 15, "en", "rare", None, *[None] * len(CLASHING)) for i in range(20)]
+    pieces = packing.pack(frame(spark, big + 4 * rare), window=512, copies=True).collect()
+    n = {r.doc_id: r.doc_tokens for r in pieces}
+    total = Counter()
+    for p in pieces:
+        total[p.doc_id] += p.length
+    assert all(total[i] == n[i] * (4 if i >= 100 else 1) for i in n) and len(n) == 80
+    order = [p.doc_id for p in sorted((p for p in pieces if p.source == "rare"), key=lambda p: (p.sequence_id, p.offset))]
+    runs = [x for x, before in zip(order, [None, *order]) if x != before]
+    assert len(runs) == 80 and all(len(set(runs[k : k + 20])) == 20 for k in range(0, 80, 20))
 
 
 def test_sequences_are_padded_unless_a_power_of_two(spark):
-    data = [(1, "a b c", "en", "s", None, *[None] * 18), (2, "d e f g", "en", "s", None, *[None] * 18)]
+    data = [(1, "a b c", "en", "s", None, *[None] * len(CLASHING)), (2, "d e f g", "en", "s", None, *[None] * len(CLASHING))]
     pieces = packing.pack(frame(spark, data), window=16, packet=4, with_ids=True)
     (one,) = packing.sequences(pieces, 16).collect()
     got = np.frombuffer(bytes(one.ids), "<u4")

@@ -50,11 +50,11 @@ def drop_duplicates(
     """The rows of docs that stay, all their columns; of rows with the same id and text one stays."""
     marked = materialise(exact_duplicates(docs, keep, id_col, text_col, broadcast_rows=broadcast_rows), "exact-marks")
     sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    gone = marked.where("not kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_gone")).distinct()
+    gone = marked.where("not kept").select(F.col(id_col).alias("id_"), F.col("text_sha256").alias("sha_")).distinct()
     gone = F.broadcast(gone) if marked.where("not kept").count() <= broadcast_rows else gone
-    rows = docs.withColumn("_sha", sha)
-    left = rows.join(gone, rows[id_col].eqNullSafe(gone["_id"]) & (rows["_sha"] == gone["_gone"]), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(f"`{id_col}`").alias("k"), sha.alias("sha"))
+    left = rows.join(gone, F.col("k").eqNullSafe(F.col("id_")) & (F.col("sha") == F.col("sha_")), "left_anti")
     again = marked.where("kept").groupBy(id_col, "text_sha256").count().where("count > 1")
     if not again.isEmpty():
-        left = left.dropDuplicates([id_col, "_sha"])
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+        left = left.dropDuplicates(["k", "sha"])
+    return left.select("d.*")

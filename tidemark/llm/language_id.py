@@ -13,9 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidemark.llm.common import fold, ship_by_value
+from tidemark.llm.common import fold, materialise, ship_by_value
 from tidemark.llm.word_ids import groups, text_bytes
 
 ORDER = 4
@@ -76,8 +75,8 @@ class LanguageModel:
     """For each n-gram order: sorted hashes, log-probabilities and back-off weights by language.
 
     arrays[k] = (hashes of (k+1)-grams, log p [n, languages], log back-off of the gram as a context [n, languages]).
-    unseen: log p of a letter that no model knows. bounds: [language, (median, spread of long texts, spread times
-    root length of short ones)] of the cross-entropy of documents that were held back from the counts.
+    unseen: log p of a letter that no model knows. bounds: [language, (median, deviation of long texts, deviation
+    times root length of short ones, deviations that are still accepted)] of the cross-entropy of documents held back from the counts.
     """
 
     languages: tuple[str, ...]
@@ -211,24 +210,36 @@ class WordScores:
         return out
 
 
+def sample_rows(docs: DataFrame, docs_per_language: int, max_docs: int, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """(lang, h, text) of the documents whose ids hash lowest, and all languages in order.
+
+    Of a language's n labelled rows those with a hash in the lowest share s / n are taken (s: docs_per_language,
+    less where max_docs in all would be passed), so that about s are expected, whatever n is; of rows that
+    repeat an id one is taken. Counts alone are gathered, pre-aggregated: no task sees all rows of a language.
+    """
+    labelled = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("h"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null and text is not null")
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a label
+    each = max(1, min(docs_per_language, max_docs // max(1, len(sizes))))
+    shares = [(k, 1.0 if n <= each else each / n) for k, n in sizes.items()]
+    share = docs.sparkSession.createDataFrame(shares, "lang string, share double")
+    taken = labelled.join(share, "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share")).select("lang", "h", "text")
+    return taken.dropDuplicates(["lang", "h"]), tuple(sorted(sizes))
+
+
 def train(
-    docs: DataFrame, docs_per_language: int = 3000, max_languages: int = 200, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, docs_per_language: int = 3000, max_docs: int = 60_000, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> LanguageModel:
-    """Fit the models on the docs_per_language labelled documents of each language whose ids hash lowest.
+    """Fit the models on about docs_per_language labelled documents of each language, about max_docs in all.
 
-    The bound keeps the sorted arrays small enough to be sent to every worker. One of ten sampled documents is
-    held back from the counts and calibrates the rejection bounds. Rows with a null label or text teach nothing.
+    The bounds keep the sorted arrays small enough to be sent to every worker; any number of labels is fitted. One of
+    ten sampled documents is held back from the counts and calibrates the rejection: its bounds, and the spread,
+    which is twice the largest deviation of a held-back document of the language (4 to 20; 8 where under ten are
+    held back). Rows with a null label or text teach nothing.
     """
-    labelled = docs.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    ranked = labelled.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= docs_per_language)
-    lasts = {r["lang"]: r["last"] for r in ranked.groupBy("lang").agg(F.max("h").alias("last")).collect()}
-    languages = tuple(sorted(lasts))
-    if len(languages) > max_languages:
-        raise ValueError(f"more than {max_languages} labels")
+    sample, languages = sample_rows(docs, docs_per_language, max_docs, id_col, text_col, lang_col)
     if not languages:
-        return LanguageModel((), tuple((np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros((0, 0))) for _ in range(order)), np.zeros(0), np.zeros((0, 3)), order)
-    limits = F.create_map(*[F.lit(x) for k, v in lasts.items() for x in (k, v)])
-    sample = labelled.where(F.col("h") <= limits[F.col("lang")]).withColumn("held", F.pmod(F.shiftright("h", 7), F.lit(10)) == 0)
+        return LanguageModel((), tuple((np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros((0, 0))) for _ in range(order)), np.zeros(0), np.zeros((0, 4)), order)
+    sample = materialise(sample, "language-sample").withColumn("held", F.pmod(F.shiftright("h", 7), F.lit(10)) == 0)
 
     def count(batches):
         for b in batches:
@@ -252,31 +263,37 @@ def train(
     for r in taught.collect():  # bounded by the sample
         counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
     arrays, unseen = _kneser_ney(counts, languages, order)
-    model = LanguageModel(languages, tuple(arrays), unseen, np.zeros((len(languages), 3)), order)
+    model = LanguageModel(languages, tuple(arrays), unseen, np.zeros((len(languages), 4)), order)
+
+    number = {lang: i for i, lang in enumerate(languages)}
 
     def entropy(batches):
         score = WordScores(model)
         for b in batches:
             got = score(text_bytes(b.column(1)))
-            at = np.array([languages.index(x) for x in b.column(0).to_pylist()], np.int64)
+            at = np.array([number[x] for x in b.column(0).to_pylist()], np.int64)
             n = got[:, 0]
             h = -got[np.arange(len(got)), at + 1] / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(h)], names=["lang", "n", "h"])
 
     checked = sample.where("held").select("lang", "text").mapInArrow(entropy, "lang string, n double, h double").where("n > 0")
     got = [(r["lang"], r["n"], r["h"]) for r in checked.collect()]  # a tenth of the sample
-    bounds = np.tile([np.inf, 0.1, 3.0], (len(languages), 1))
+    bounds, of_lang = np.tile([np.inf, 0.1, 3.0, 8.0], (len(languages), 1)), {}
+    for lang, *pair in got:
+        of_lang.setdefault(lang, []).append(pair)
     for li, lang in enumerate(languages):
-        n, h = np.array([x[1:] for x in got if x[0] == lang]).reshape(-1, 2).T
+        n, h = np.array(of_lang.get(lang, [])).reshape(-1, 2).T
         if len(h):
             m = float(np.median(h))
             long, short = h[n >= 500], ((h - m) * np.sqrt(n))[n < 500]
-            bounds[li] = m, max(0.02, float(np.std(long))) if len(long) > 9 else 0.1, max(1.0, float(np.std(short))) if len(short) > 9 else 3.0
+            s, z = max(0.02, float(np.std(long))) if len(long) > 9 else 0.1, max(1.0, float(np.std(short))) if len(short) > 9 else 3.0
+            spread = 2 * float(np.max((h - m) / np.sqrt(s**2 + z**2 / n))) if len(h) > 9 else 8.0
+            bounds[li] = m, s, z, min(20.0, max(4.0, spread))
     return LanguageModel(languages, tuple(arrays), unseen, bounds, order)
 
 
-def _judge(texts: list[bytes], score: WordScores | None, model: LanguageModel, spread: float):
-    """Language number or -1, posterior, cross-entropy (NaN without letters), rejected."""
+def _judge(texts: list[bytes], score: WordScores | None, model: LanguageModel, spread: float | None):
+    """Language number or -1, posterior (half or less where rejected), cross-entropy (NaN without letters), rejected."""
     got = score(texts) if score else np.zeros((len(texts), 1))
     n = got[:, 0]
     pred, prob, h, bad = np.full(len(texts), -1), np.zeros(len(texts)), np.full(len(texts), np.nan), n == 0
@@ -285,19 +302,24 @@ def _judge(texts: list[bytes], score: WordScores | None, model: LanguageModel, s
         pred = np.where(bad, -1, per.argmin(axis=1))
         h = np.where(bad, np.nan, per.min(axis=1))
         prob = np.where(bad, 0.0, 1.0 / np.exp(-(per - per.min(axis=1)[:, None]) * np.sqrt(n)[:, None]).sum(axis=1))
-        m, s, z = model.bounds[pred].T
-        bad = bad | (np.nan_to_num(h) > m + spread * np.sqrt(s**2 + z**2 / np.maximum(n, 1)))
+        m, s, z, fitted = model.bounds[pred].T
+        most = fitted if spread is None else spread
+        off = np.where(np.isfinite(m), (np.nan_to_num(h) - m) / np.sqrt(s**2 + z**2 / np.maximum(n, 1)), 0.0)
+        far = ~bad & (off > most)
+        prob = np.where(far, 0.5 * prob * most / np.where(far, off, 1.0), prob)
+        bad = bad | far
     return pred, prob, h, bad
 
 
-def identify(docs: DataFrame, model: LanguageModel, spread: float = 8.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, spread: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score, cross_entropy, rejected): one row for each row, whole texts.
 
     lang_pred: the language of least cross-entropy for each character (ties: the first by name), `und` where the
     text is null or has no letter or no language was learned. score: its posterior under equal priors, with the
-    text counted as the root of its characters (neighbouring letters are not independent), 0 for `und`.
-    rejected: und, or a cross-entropy over the language's held-back median by more than spread times its
-    calibrated deviation at this length. Equal texts always get the same result.
+    text counted as the root of its characters (neighbouring letters are not independent), 0 for `und`; where
+    the text is rejected, half of it times how near the cross-entropy came to the bound.
+    rejected: und, or a cross-entropy over the language's held-back median by more than spread (None: the fitted
+    one) times its calibrated deviation at this length. Equal texts always get the same result.
     """
     languages = model.languages
 
@@ -313,7 +335,7 @@ def identify(docs: DataFrame, model: LanguageModel, spread: float = 8.0, id_col:
     return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
-def accept(docs: DataFrame, model: LanguageModel, spread: float = 8.0, text_col: str = "text") -> DataFrame:
+def accept(docs: DataFrame, model: LanguageModel, spread: float | None = None, text_col: str = "text") -> DataFrame:
     """The rows of docs that identify() does not reject, with all their columns."""
     at = docs.columns.index(text_col)
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ship_by_value
-from tidemark.llm.ranges import range_bounds, range_of
+from tidemark.llm.ranges import keys_of, long_ids, range_bounds, range_count, range_of
 
 ROWS, PICKS, K = 64, 2, 6
 _MIX = np.uint32(0x7FEB352D), np.uint32(0x846CA68B)
@@ -105,32 +105,34 @@ def fingerprint_documents(docs: DataFrame, rows: int = ROWS, picks: int = PICKS,
     return rows_.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
 
 
-def compare_with_edits(docs: DataFrame, rows: int = ROWS, picks: int = PICKS, k: int = K, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_with_edits(
+    docs: DataFrame, rows: int = ROWS, picks: int = PICKS, k: int = K, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 16_000_000
+) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text: the last n_chars // 2 code points replaced by the first as many (or all) of the next
-    document in ascending id; after the last comes the first. Rows with a null id are left out; rows that
-    share an id follow one another by their texts. A single row is its own next.
+    document in ascending id; after the last comes the first. Null ids come before all others; rows that
+    share an id follow one another by their texts. A single row is its own next. Ids that are not integers are an error.
 
-    Ids are dealt into ranges; the first row of each range goes to the range before it as well (to the
+    Ids are dealt into ranges of about range_bytes of text; the first row of each range goes to the range before it as well (to the
     last, for the first), so the order is followed without a window over all rows.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(long_ids(docs, id_col).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    parts = range_count(texts, "text", range_bytes)
     bounds = range_bounds(texts, "doc_id", parts)
 
     def place(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(range_of(b.column(0).to_numpy(), bounds)), b.column(0)], names=["range", "doc_id"])
+            key = keys_of(b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(range_of(key, bounds)), pa.array(key)], names=["range", "key"])
 
-    firsts = {r["range"]: r["first"] for r in texts.select("doc_id").mapInArrow(place, "range int, doc_id long").groupBy("range").agg(F.min("doc_id").alias("first")).collect()}  # one a range
+    firsts = {r["range"]: r["first"] for r in texts.select("doc_id").mapInArrow(place, "range int, key long").groupBy("range").agg(F.min("key").alias("first")).collect()}  # one a range
     filled = sorted(firsts)
     before = {firsts[k]: filled[i - 1] for i, k in enumerate(filled)}
 
     def deal(batches):
         for b in batches:
-            ids = b.column(0).to_numpy()
+            ids = keys_of(b.column(0))
             more = np.array([i for i, x in enumerate(ids.tolist()) if x in before], np.int64)
             take = pa.array(np.r_[np.arange(len(ids)), more].astype(np.int64))
             spread = np.r_[range_of(ids, bounds), np.array([before[x] for x in ids[more].tolist()], np.int32)].astype(np.int32)
@@ -168,7 +170,7 @@ def compare_with_edits(docs: DataFrame, rows: int = ROWS, picks: int = PICKS, k:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], names=names)
 
     dealt = texts.mapInArrow(deal, "range int, guest boolean, doc_id long, text string")
-    dealt = dealt.repartition(parts, "range").sortWithinPartitions("range", "guest", "doc_id", "text")
+    dealt = dealt.repartition(len(bounds) + 1, "range").sortWithinPartitions("range", "guest", "doc_id", "text")
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

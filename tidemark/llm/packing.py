@@ -4,7 +4,8 @@ Every source is a queue of documents cut into packets. Each round adds window *
 source's deficit counter, and a source sends packets while its counter covers them; what is left carries
 over. While a queue is not empty, a packet that ends at token e of its queue therefore leaves in round
 ceil(e / quantum): rounds, and with them windows, need prefix sums only and carry their deficits across
-all partitions. The stream of rounds is cut into sequences of exactly window tokens.
+all partitions. The stream of rounds is cut into sequences of exactly window tokens, so a window holds
+each source's target but for two packets, as long as no queue has run out.
 """
 
 from __future__ import annotations
@@ -25,62 +26,85 @@ def _queue_key(column: str):
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
 
 
-def plan_pieces(sizes: DataFrame, window: int, packet: int, weights: dict[str | None, float] | None = None) -> DataFrame:
-    """sizes (row, queue, doc_id, n_tokens > 0) -> (row, start, length, sequence_id, offset).
+def queue_weights(totals: DataFrame, weights: dict[str | None, float] | None, exponent: float) -> DataFrame:
+    """totals (queue, tokens) -> with weight: the given ones (missing queues are an error), else tokens ** exponent."""
+    whole = Window.partitionBy()  # one row a queue
+    if weights is None:
+        return totals.withColumn("raised", F.pow("tokens", F.lit(float(exponent)))).withColumn("weight", F.col("raised") / F.sum("raised").over(whole)).drop("raised")
+    rows = [("" if q is None else f"={q}", float(w)) for q, w in weights.items()]
+    given = totals.sparkSession.createDataFrame(rows, "queue string, raised double")
+    known = totals.join(given, "queue", "left").withColumn("raised", F.coalesce("raised", F.raise_error(F.concat(F.lit("no weight for source "), "queue")).cast("double")))
+    return known.withColumn("weight", F.col("raised") / F.sum("raised").over(whole)).drop("raised")
+
+
+def plan_pieces(sizes: DataFrame, window: int, packet: int, weights: dict[str | None, float] | None = None, exponent: float = 1.0) -> DataFrame:
+    """sizes (row, copies, queue, n_tokens > 0) -> (row, copy, start, length, sequence_id, offset).
 
-    weights: by queue, all above 0; the queues' own token shares where None. Queues keep the order of
-    (doc_id, row). Only counts and positions move here, never ids or texts.
+    Queues are ordered by copy, then by a hash of the row: one permutation, gone through once for every copy, so
+    that all that is left of a source lies between two copies of a document. Only counts and positions
+    move here, never ids or texts.
     """
-    placed = ordered_offsets(sizes, ["queue", "doc_id", "row"], "n_tokens", "at")
-    totals = sizes.groupBy("queue").agg(F.sum("n_tokens").alias("tokens"))
+    each = sizes.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("h", F.xxhash64(F.lit(42), "row"))
+    placed = ordered_offsets(each.select("queue", "copy", "h", "row", "n_tokens"), ["queue", "copy", "h", "row"], "n_tokens", "at")
+    totals = sizes.groupBy("queue").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"))
     ahead = Window.orderBy("queue").rowsBetween(Window.unboundedPreceding, -1)
-    queues = totals.withColumn("base", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)))  # one row a source
-    if weights is None:
-        queues = queues.withColumn("weight", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
-    else:
-        total = sum(weights.values())
-        given = F.create_map(*[F.lit(x) for q, w in weights.items() for x in ("" if q is None else f"={q}", w / total)])
-        queues = queues.withColumn("weight", given[F.col("queue")])
-    queues = queues.select("queue", "base", (F.lit(float(window)) * F.col("weight")).alias("quantum"))
-    packets = (
-        placed.join(queues, "queue")
-        .withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.lit(packet).cast("long"))))
-        .withColumn("length", F.least(F.lit(packet).cast("long"), F.col("n_tokens") - F.col("start")))
-        .withColumn("ends", F.col("at") - F.col("base") + F.col("start") + F.col("length"))
-        .withColumn("round", F.ceil(F.col("ends") / F.col("quantum")))
-    )
-    sent = packets.groupBy("row", "queue", "round").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.max("ends").alias("ends"))
-    stream = ordered_offsets(sent, ["round", "queue", "ends"], "length", "g")
+    queues = queue_weights(totals, weights, exponent).withColumn("base", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)))  # one row a source
+    queues = queues.select("queue", "base", (F.lit(float(window)) * F.col("weight")).alias("q"))
+    # a document's parts: those of its rounds where the quantum exceeds a packet, else its packets
+    own = placed.join(queues, "queue").withColumn("a", F.col("at") - F.col("base")).withColumn("by_round", F.col("q") >= packet)
+    first, last = F.ceil((F.col("a") + F.least(F.lit(packet), "n_tokens")) / F.col("q")), F.ceil((F.col("a") + F.col("n_tokens")) / F.col("q"))
+    n_parts = F.when(F.col("by_round"), F.greatest(last - first, F.lit(0)) + 1).otherwise(F.ceil(F.col("n_tokens") / packet))
+    parts = own.withColumn("first", first).withColumn("n_parts", n_parts.cast("long")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)))
+
+    def sent(i):  # tokens of the document that have left after its part i
+        whole = F.floor(((F.col("first") + i) * F.col("q") - F.col("a")) / packet) * packet
+        upto = F.when(F.col("by_round"), F.least(F.greatest(whole, F.lit(0)), "n_tokens")).otherwise(F.least((i + 1) * packet, "n_tokens"))
+        return F.when(i < 0, F.lit(0)).when(i >= F.col("n_parts") - 1, F.col("n_tokens")).otherwise(upto).cast("long")
+
+    parts = parts.withColumn("start", sent(F.col("i") - 1)).withColumn("length", sent(F.col("i")) - F.col("start")).where("length > 0")
+    leaves = F.when(F.col("by_round"), F.col("first") + F.col("i")).otherwise(F.ceil((F.col("a") + F.col("start") + F.col("length")) / F.col("q")))
+    parts = parts.select("row", "copy", "queue", leaves.cast("long").alias("round"), "start", "length", (F.col("a") + F.col("start")).alias("from"))
+    stream = ordered_offsets(parts, ["round", "queue", "from"], "length", "g")
     pieces = stream.withColumn("sequence_id", F.explode(F.sequence(F.floor(F.col("g") / window), F.floor((F.col("g") + F.col("length") - 1) / window))))
     lo = F.greatest(F.col("g"), F.col("sequence_id") * window)
     hi = F.least(F.col("g") + F.col("length"), (F.col("sequence_id") + 1) * window)
-    return pieces.select("row", (F.col("start") + lo - F.col("g")).alias("start"), (hi - lo).alias("length"), "sequence_id", (lo - F.col("sequence_id") * window).alias("offset"))
+    return pieces.select("row", "copy", (F.col("start") + lo - F.col("g")).alias("start"), (hi - lo).alias("length"), "sequence_id", (lo - F.col("sequence_id") * window).alias("offset"))
 
 
 def pack(
     docs: DataFrame,
     path: str | None = None,
     window: int = 2048,
-    packet: int = 512,
+    packet: int = 64,
     weights: dict[str | None, float] | None = None,
+    exponent: float = 1.0,
     end_id: int = 1,
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
     with_ids: bool = False,
+    copies: bool = False,
 ) -> DataFrame:
     """Pieces (id_col, source_col, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]).
 
     Every row of docs is packed once, rows that share an id included; a null or empty text is its end id
     alone; a null source is a queue of its own. All sequences but the last hold window ids, so only the
-    last is padded. ids: the piece's ids, little-endian 32-bit.
+    last is padded. weights: by source, of any sum; None: the sources' token counts to the power of exponent (1: a
+    source's own share, with which all queues end together). Where a queue runs out before others, the rest share
+    the windows that follow. copies: docs repeats documents (same id, source and text); each is encoded
+    once and its copies lie apart. ids: the piece's ids, little-endian 32-bit.
     """
     path = path or tokenizer_path()
     width = width_of(path)
-    encoded = encode_documents(docs, path, end_id, text_col, (id_col, source_col))
+    rows = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{source_col}`").alias("s"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    if copies:
+        marks = [F.xxhash64("t").alias("h"), F.octet_length("t").alias("size")]
+        rows = rows.select("k", "s", "t", *marks).groupBy("k", "s", "h", "size").agg(F.first("t").alias("t"), F.count("*").alias("copies")).select("k", "s", "copies", "t")
+    else:
+        rows = rows.select("k", "s", F.lit(1).cast("long").alias("copies"), "t")
+    encoded = encode_documents(rows, path, end_id, "t", ("k", "s", "copies"))
     encoded = materialise(encoded.withColumn("row", F.monotonically_increasing_id()), "pack-ids")
-    sizes = encoded.select("row", _queue_key(source_col).alias("queue"), F.col(id_col).alias("doc_id"), "n_tokens")
-    plan = plan_pieces(sizes, window, packet, weights)
+    plan = plan_pieces(encoded.select("row", "copies", _queue_key("s").alias("queue"), "n_tokens"), window, packet, weights, exponent)
     cuts = plan.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts"))  # those of one document
 
     def cut(batches):
@@ -104,7 +128,7 @@ def pack(
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    joined = encoded.join(cuts, "row").select(id_col, source_col, "ids", "n_tokens", "cuts")
+    joined = encoded.join(cuts, "row").select("k", "s", "ids", "n_tokens", "cuts")
     kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, source_col)]
     schema = f"`{id_col}` {kinds[0]}, `{source_col}` {kinds[1]}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return joined.mapInArrow(cut, schema + (", ids binary" if with_ids else ""))

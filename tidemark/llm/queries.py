@@ -22,7 +22,8 @@ def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), window=2048)
+    """Targets: the sources' token counts to the power of 0.7, so that small sources come early and often."""
+    return packing.pack(documents(spark, sf_dir), window=2048, exponent=0.7)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    mixture = source_mixing.solve(source_mixing.token_shares(docs))
+    mixture = source_mixing.solve(source_mixing.token_shares(docs), target_entropy=0.99)
     return source_mixing.draw(docs, mixture).drop("row")
 
 

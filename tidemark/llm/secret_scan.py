@@ -96,14 +96,16 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, mask: str = "*", scope: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every reported span replaced by mask characters; ids must be unique and not null."""
-    found = scan_secrets(docs, scope, id_col, text_col).select(F.col(id_col).alias("_id"), "spans")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def redact(docs: DataFrame, mask: str = "*", scope: int = 200, text_col: str = "text") -> DataFrame:
+    """docs with every reported span replaced by mask characters; all rows and columns stay, also where ids repeat or are null."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.monotonically_increasing_id().alias("n"))
+    held = materialise(whole, "redact-docs").withColumn("t", F.coalesce(F.col(f"d.`{text_col}`").cast("string"), F.lit("")))
+    found = scan_secrets(held.select("n", "t"), scope, "n", "t").where("size(spans) > 0").select(F.col("n").alias("m"), "spans")
     masked = F.aggregate(
         F.col("spans"),
-        text,
+        F.col("t"),
         lambda t, x: F.concat(F.substr(t, F.lit(1), x["start"].cast("int")), F.repeat(F.lit(mask), (x["end"] - x["start"]).cast("int")), F.substr(t, (x["end"] + 1).cast("int"))),
     )
-    joined = docs.join(found, docs[id_col] == found["_id"], "left")
-    return joined.withColumn(text_col, F.when(F.size("spans") > 0, masked).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(F.col("m").isNotNull(), masked.cast(docs.schema[text_col].dataType)).otherwise(F.col(f"d.`{text_col}`"))
+    joined = held.join(found, F.col("n") == F.col("m"), "left")
+    return joined.select(*[(text if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in docs.columns])

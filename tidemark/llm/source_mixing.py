@@ -96,7 +96,7 @@ def draw(docs: DataFrame, mixture: Mixture, seed: int = 42, block_tokens: int =
     """(row, id_col, source_col, n_tokens, epoch, block, position): one row for each use of a row of docs.
 
     Source s gets weights[s] * budget tokens. Its rows are permuted anew in every epoch by a hash of (seed,
-    epoch, id), then row; whole epochs come first, then the rows of the last epoch's permutation that start within
+    epoch, id, row); whole epochs come first, then the rows of the last epoch's permutation that start within
     what is left. A source's stream is spread evenly over the blocks of the mixture (its share of every block
     is its weight, but for one document), and position orders a block by another hash.
 
@@ -113,10 +113,10 @@ def draw(docs: DataFrame, mixture: Mixture, seed: int = 42, block_tokens: int =
     blocks = max(1, math.ceil(mixture.budget / block_tokens))
     most = rows.groupBy("s").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     bins = max(bins, math.ceil(most / 100_000))
-    used = rows.join(F.broadcast(quota), F.col("s").eqNullSafe(F.col("q_s")))  # one row a source
+    used = rows.join(quota, F.col("s").eqNullSafe(F.col("q_s")))  # one row a source
     epochs = F.ceil(F.col("quota") / F.col("total") - 1e-12)
     used = used.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(epochs - 1, F.lit(0)))))
-    used = used.withColumn("h", F.xxhash64(F.lit(seed), "epoch", id_col)).withColumn("bin", F.pmod(F.shiftright("h", 20), F.lit(bins)))
+    used = used.withColumn("h", F.xxhash64(F.lit(seed), "epoch", id_col, "row")).withColumn("bin", F.pmod(F.shiftright("h", 20), F.lit(bins)))
     sums = used.groupBy("s", "epoch", "bin").agg(F.sum("n_tokens").alias("sum"))
     ahead = Window.partitionBy("s").orderBy("epoch", "bin").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(F.col("s").alias("b_s"), F.col("epoch").alias("b_e"), F.col("bin").alias("b_b"), F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("base"))
@@ -125,16 +125,25 @@ def draw(docs: DataFrame, mixture: Mixture, seed: int = 42, block_tokens: int =
     placed = placed.withColumn("at", F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     drawn = placed.where(F.col("at") < F.col("quota") - 1e-6)
     block = F.least(F.floor(F.col("at") / F.col("quota") * blocks), F.lit(blocks - 1)).cast("long")
-    return drawn.select("row", id_col, source_col, "n_tokens", "epoch", block.alias("block"), F.xxhash64(F.lit(seed + 1), "epoch", id_col).alias("position"))
+    return drawn.select("row", id_col, source_col, "n_tokens", "epoch", block.alias("block"), F.xxhash64(F.lit(seed + 1), "epoch", id_col, "row").alias("position"))
 
 
-def mix(docs: DataFrame, target_entropy: float | None = 0.95, max_repetition: float | None = 4.0, budget: int | None = None, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs with each row repeated as often as it is drawn, all its columns and no others. Empty tables stay empty."""
+def mix(
+    docs: DataFrame, target_entropy: float | None = 0.95, max_repetition: float | None = 4.0, budget: int | None = None, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", places: bool = False
+) -> DataFrame:
+    """docs with each row repeated as often as it is drawn, all its columns and no others. Empty tables stay empty.
+
+    places: with a column `place` too, the struct (epoch, block, position) of draw, by which a reader can order the
+    repeated rows; a clash with a column of that name is an error.
+    """
+    if places and "place" in docs.columns:
+        raise ValueError("docs has a column place already")
     mixture = solve(token_shares(docs, source_col, text_col), target_entropy, max_repetition, budget)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.monotonically_increasing_id().alias("row"))
     if not mixture.weights:
-        return docs
-    whole = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mixing-docs")
-    times = draw(whole, mixture, seed, id_col=id_col, source_col=source_col, text_col=text_col, row_col="_row")
-    times = times.groupBy(F.col("row").alias("_drawn")).agg(F.count("*").alias("_times"))
-    repeated = whole.join(times, F.col("_row") == F.col("_drawn")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+        return docs.withColumn("place", F.lit(None).cast("struct<epoch:bigint,block:bigint,position:bigint>")) if places else docs
+    whole = materialise(whole, "mixing-docs")
+    flat = whole.select("row", F.col(f"d.`{id_col}`").alias("k"), F.col(f"d.`{source_col}`").alias("s_"), F.col(f"d.`{text_col}`").alias("t"))
+    drawn = draw(flat, mixture, seed, id_col="k", source_col="s_", text_col="t", row_col="row")
+    uses = drawn.groupBy("row").agg(F.collect_list(F.struct("epoch", "block", "position")).alias("uses"))  # one entry an epoch
+    return whole.join(uses, "row").select("d", F.explode("uses").alias("place")).select("d.*", *["place"] * places)

@@ -124,9 +124,10 @@ def repeated_spans(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id",
 
 def remove_repeats(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the spans that repeated_spans marks; all rows stay, with all their columns, a text may become empty."""
-    held = materialise(docs.withColumn("_n", F.monotonically_increasing_id()), "chunk-docs")
-    spans = repeated_spans(held.select(F.col("_n").alias("_id"), F.col(text_col)), min_words, "_id", text_col)
-    cuts = spans.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.monotonically_increasing_id().alias("n"))
+    held = materialise(whole, "chunk-docs").withColumn("t", F.col(f"d.`{text_col}`").cast("string"))
+    spans = repeated_spans(held.select("n", "t"), min_words, "n", "t")
+    cuts = spans.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))  # those of one document
 
     def run(batches):
         for b in batches:
@@ -135,12 +136,12 @@ def remove_repeats(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id",
                 for cut in reversed(cuts or []):
                     text = text[: cut["start"]] + text[cut["end"] :]
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(2)], names=["_text", "_n"])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(2)], names=["cut", "m"])
 
-    touched = held.join(cuts, held["_n"] == cuts["_id"]).select(text_col, "_cuts", "_n").mapInArrow(run, "_text string, _n long")
-    joined = held.join(touched.withColumnRenamed("_n", "_m").withColumn("_hit", F.lit(True)), F.col("_n") == F.col("_m"), "left")
-    text = F.when(F.col("_hit"), F.col("_text")).otherwise(F.col(text_col))
-    return joined.select(*[(text if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    touched = held.select("n", "t").join(cuts, "n").select("t", "cuts", "n").mapInArrow(run, "cut string, m long")
+    joined = held.join(touched, F.col("n") == F.col("m"), "left")
+    text = F.when(F.col("m").isNotNull(), F.col("cut").cast(docs.schema[text_col].dataType)).otherwise(F.col(f"d.`{text_col}`"))
+    return joined.select(*[(text if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
 
 
 ship_by_value(__name__)
