@@ -29,8 +29,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 ids in which the mixture's proportions hold."""
-    return packing.pack(docs, window=2048)
+    """Pieces of sequences of 2048 ids in which the mixture's proportions hold; copies of a document lie apart."""
+    return packing.pack(docs, window=2048, copies=True)
 
 
 STAGES = [
