@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
 from tests.llm.helpers import WORDS, frame, rows, sentence
-from tidemark.llm import context_mixing, language_id, order_minhash, secret_scan, source_mixing
+from tidemark.llm import bit_mixer, context_mixing, language_id, order_minhash, secret_scan, source_mixing
 from tidemark.llm.common import documents
 
 
@@ -122,48 +123,182 @@ def test_scores(spark):
     assert np.mean(usual) < 2.5  # words of two small vocabularies
 
 
-def test_probabilities_of_a_byte_sum_to_one():
-    rnd = np.random.default_rng(1)
-    tables = [rnd.integers(0, 50, (1 << s, 2)).astype(np.uint16) for s in context_mixing.SLOTS]
-    maps = rnd.normal(size=(5, 8, context_mixing.CODES)).astype(np.float32)
-    weights = rnd.normal(size=(context_mixing.GATES, context_mixing.INPUTS))
-    model = context_mixing.MixingModel([context_mixing.codes_of(t) for t in tables], None, maps, weights, rnd.random((256, context_mixing.BUCKETS)))
-    space = 10 ** model.score([b"ab"])[0]
-    # p(b"ab" + any byte but a space) over p(b"ab" + space) is the rest of one
-    longer = [b"ab" + bytes([x]) for x in range(256) if x != 32]
-    data, hashes, sizes = context_mixing.contexts([b"ab"])
-    assert sizes.tolist() == [3] and len(hashes) == 5
-    parts = 0.0
-    for position, node, bit in context_mixing.planes(np.frombuffer(b"a", np.uint8)):
-        assert node[0] >> position == 1
-        parts += 1
-    assert parts == 8 and 0 < space < 1 and len({round(x, 9) for x in model.score(longer)}) > 100
+def test_held_out_texts_beat_the_base(spark):
+    docs = documents(spark, str(DATA / "sf0.01")).withColumn("train", ~context_mixing.held_out())
+    got = [r for r in context_mixing.score_documents(docs, mixer_docs=400).collect() if not r.train]
+    tokens = sum(r.n_tokens for r in got)
+    assert sum(r.score for r in got) / tokens > sum(r.base_score for r in got) / tokens + 0.2
+    assert sum(r.score > r.base_score for r in got) > 0.6 * len(got) > 100
+
+
+M64 = (1 << 64) - 1
+MULS = [int(m) for m in bit_mixer._MULS]
+
+
+def mixing_model(seed: int = 1, texts: tuple[bytes, ...] = (b"the night of the river", b"die nacht der stadt")) -> bit_mixer.MixingModel:
+    """Any numbers will do: the mixer's arithmetic is what is tested."""
+    rnd = np.random.default_rng(seed)
+    pairs = np.zeros((256, 256))
+    for t in texts:
+        for x, y in zip(b"\xff" + t, t + b"\xff"):
+            pairs[x, y] += 1
+    codes, sizes = bit_mixer.huffman(pairs)
+    words = np.array(sorted(bit_mixer.word_hash(w) for w in (b"the", b"of", b"der", b"nacht")), np.uint64)
+    shape = bit_mixer.Shape(codes, sizes, words, rnd.normal(size=(4, 3)).astype(np.float32), (10, 11, 12, 9, 13, 10))
+    tables = [bit_mixer.codes_of(np.minimum(rnd.geometric(0.1, (1 << s, 2)) - 1, 50).astype(np.uint16)) for s in shape.slots]
+    maps = rnd.normal(size=(bit_mixer.HASHED + 1, bit_mixer.CODES)).astype(np.float32)
+    weights = rnd.normal(size=(bit_mixer.GATES, bit_mixer.INPUTS)) * 0.5
+    return bit_mixer.MixingModel(shape, tables, None, maps, weights, rnd.random((bit_mixer.REFINED, bit_mixer.BUCKETS)).astype(np.float32))
+
+
+def slow_logs(model: bit_mixer.MixingModel, text: bytes) -> list[float]:
+    """log10 p of each byte of text and of its end, byte by byte and bit by bit."""
+    shape, data = model.shape, text + b"\xff"
+    letter = lambda c: 97 <= c <= 122 or 48 <= c <= 57 or 128 <= c < 255
+    order = {int(h): i for i, h in enumerate(shape.words)}
+    out, words, odds, run, source_before = [], [], np.zeros(shape.topics.shape[1]), 0, None
+    start = 0  # of the word so far
+    for i in range(len(data)):
+        before = b"\xff" * 8 + data[:i]
+        last = int.from_bytes(before[-6:], "big")
+        if i and not letter(data[i - 1]):
+            if i > 1 and letter(data[i - 2]):
+                words.append(bit_mixer.word_hash(data[start : i - 1]))
+                if words[-1] in order:
+                    odds = odds + shape.topics[order[words[-1]]]
+            start = i
+        topic = int(np.argmax(np.round(odds, 6))) if words else 0
+        within = bit_mixer.word_hash(data[start:i])
+        previous = words[-1] if words else 0
+        byte = last & 255
+        values = [
+            (last & 0xFFFF) | topic << 16,
+            last & 0xFFFFFF,
+            last & 0xFFFFFFFF,
+            last,
+            within * MULS[1] + byte + (topic << 8),
+            (within ^ (previous * MULS[2] & M64)) * MULS[3] + byte,
+        ]
+        hashes = [(v + k + 1) * m & M64 for k, (v, m) in enumerate(zip(values, MULS))]
+        earlier = [j for j in range(5, i) if (b"\xff" * 8 + data[:j])[-5:] == before[-5:]]
+        source = earlier[-1] if earlier else None
+        run = (run + 1 if source_before is not None and source == source_before + 1 else 1) if source is not None else 0
+        source_before = source
+        strength = 2 * min(math.ceil(math.log2(run + 1)), 10)
+        code, size = int(shape.codes[byte, data[i]]), int(shape.sizes[byte, data[i]])
+        bits = f"{code:0{size}b}"
+        guess = f"{int(shape.codes[byte, data[source]]):0{int(shape.sizes[byte, data[source]])}b}" if source is not None else ""
+        total = 0.0
+        for depth in range(size):
+            path = int("1" + bits[:depth], 2)
+            match = strength + int(guess[depth]) if guess and guess[:depth] == bits[:depth] and len(guess) > depth else 0
+            gate, x = (match >= 2) + (match >= 10) + 27 * min(depth, 3), []
+            for k, h in enumerate(hashes):
+                y = (h ^ path * 0xC2B2AE3D27D4EB4F & M64) * MULS[1] & M64
+                y = (y ^ y >> 32) * MULS[2] & M64
+                c = int(model.codes[k][y >> (64 - shape.slots[k])])
+                x.append(float(model.maps[k, c]))
+                if k >= 4:
+                    gate += (9 if k == 4 else 3) * ((c >= bit_mixer.ONE_WAY) + (c >= bit_mixer.BOTH_WAYS))
+            x += [float(model.maps[6, match]), 0.3]
+            z = max(-13.8, min(13.8, float(model.weights[gate] @ np.array(x))))
+            node = (((byte * MULS[3] + path) & M64) * MULS[4] & M64) >> 52
+            p = 0.5 / (1 + math.exp(-z)) + 0.5 * float(model.refine[node, int(bit_mixer.bucket(np.array([z]))[0])])
+            p = min(max(p, 2.0**-20), 1 - 2.0**-20)
+            total += math.log10(p if bits[depth] == "1" else 1 - p)
+        out.append(total)
+    return out
 
 
-def test_words_do_not_depend_on_their_neighbours():
-    data, alone, _ = context_mixing.contexts([b"night"])
-    _, among, sizes = context_mixing.contexts([b"a", b"", b"night", b"x" * 9])
-    at = int(sizes[:2].sum())
-    assert all((a == b[at : at + 6]).all() for a, b in zip(alone, among))
+TEXTS = [b"", b"a", b"the night of the river, the night of the rivet; nacht", b"of  der der\n\nder 12.5\tx", "straße über été the of the".encode(), b"abcabcabcabcabcabc abcabcabc. the. of. nacht"]
+
+
+def test_scores_of_bytes_against_brute_force():
+    model = mixing_model()
+    stream = bit_mixer.Stream(TEXTS, model.shape)
+    logs = model.byte_logs(stream)
+    for i, text in enumerate(TEXTS):
+        assert np.allclose(logs[stream.owner == i], slow_logs(model, text), atol=2e-4), text
+
+
+@pytest.mark.parametrize("before", [b"", b"the ni", b"of the river of the ri", "été".encode()])
+def test_probabilities_of_a_byte_sum_to_one(before):
+    model = mixing_model(2)
+    total = 0.0
+    for x in range(256):  # the last one is the end
+        stream = bit_mixer.Stream([before + bytes([x]) if x < 255 else before], model.shape)
+        total += 10 ** model.byte_logs(stream)[len(before)]
+    assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_a_byte_depends_on_what_stands_before_its_word_and_not_on_what_follows():
+    model = mixing_model(3)
+    logs = lambda t: model.byte_logs(bit_mixer.Stream([t], model.shape))
+    a, b, c = logs(b"the night"), logs(b"der night"), logs(b"the nights and days")
+    assert (a[4:9] != b[4:9]).any() and np.allclose(a[:9], c[:9])
+    alone, among = logs(b"night"), bit_mixer.Stream([b"x" * 40, b"night", b"the river"], model.shape)
+    assert np.allclose(model.byte_logs(among)[among.owner == 1], alone)
+
+
+def test_long_texts_are_read_in_segments(monkeypatch):
+    text = " ".join(random.Random(4).choices([*WORDS["en"], *WORDS["de"]], k=300)).encode().lower()
+    model = mixing_model(4)
+    whole = model.byte_logs(bit_mixer.Stream([text], model.shape))
+    monkeypatch.setattr(bit_mixer, "SEGMENT", 500)
+    stream = bit_mixer.Stream([text, b"of"], model.shape)
+    parts = model.byte_logs(stream)
+    assert (np.bincount(stream.owner) == [len(text) + 1, 3]).all() and np.allclose(parts[:500], whole[:500])
+    assert bytes(stream.data[stream.place]) == text + b"\xffof\xff"
+
+
+def test_huffman_codes_are_prefix_free_and_complete():
+    codes, sizes = bit_mixer.huffman(np.random.default_rng(1).integers(0, 1000, (256, 256)) ** 3.0)
+    for before in (0, 97, 255):
+        words = sorted(f"{int(c):0{int(n)}b}" for c, n in zip(codes[before], sizes[before]))
+        assert all(not y.startswith(x) for x, y in zip(words, words[1:])) and sum(2.0 ** -len(w) for w in words) == 1
+
+
+def test_counts_and_learning_make_repeated_text_cheap():
+    rnd, shape = random.Random(5), mixing_model().shape
+    texts = [sentence(rnd, "en", 60).encode().lower() for _ in range(80)]
+    tables = [np.zeros(2 << s, np.uint32) for s in shape.slots]
+    for t in texts:
+        bit_mixer.add_counts(tables, bit_mixer.Stream([t], shape))
+    decisions = sum(int(shape.sizes[x, y]) for t in texts for x, y in zip(b"\xff" + t, t + b"\xff"))
+    assert all(t.sum() == decisions for t in tables)
+    small = [t.astype(np.uint16).reshape(-1, 2) for t in tables]
+    model = bit_mixer.MixingModel(shape, [bit_mixer.codes_of(t) for t in small], [bit_mixer.left_out(t) for t in small], None, None)
+    seen = np.zeros((bit_mixer.HASHED + 1, bit_mixer.CODES, 2))
+    bit_mixer.see_codes(seen, model, bit_mixer.Stream(texts, shape))
+    model.maps = bit_mixer.maps_of(seen)
+    learner = bit_mixer.Learner(model)
+    learner.read(bit_mixer.Stream(texts, shape))
+    model.weights, model.refine = bit_mixer.joined([learner.state()])
+    fresh = [sentence(rnd, "en", 60).encode().lower() for _ in range(10)]
+    bits = -model.byte_logs(bit_mixer.Stream(fresh, shape)).sum() / math.log10(2) / sum(map(len, fresh))
+    assert bits < 1.6
 
 
 def test_codes_follow_the_counts():
     n = np.array([[0, 0], [0, 1], [1, 0], [3, 3], [2, 40], [900, 30], [30, 900], [60_000, 60_000]], np.uint16)
-    codes = context_mixing.codes_of(n)
-    assert codes[0] == 0 and len(set(codes.tolist())) == len(n) and codes.max() < context_mixing.CODES
+    codes = bit_mixer.codes_of(n)
+    assert codes[0] == 0 and len(set(codes.tolist())) == len(n) and codes.max() < bit_mixer.CODES
     assert (codes % 2).tolist() == [0, 1, 0, 0, 1, 0, 1, 0]
-    without = context_mixing.left_out(n)
+    without = bit_mixer.left_out(n)
     for i, (zero, one) in enumerate(n.tolist()):
-        for bit, less in ((0, (max(zero - 1, 0), one)), (1, (zero, max(one - 1, 0)))):
-            assert without[2 * i + bit] == context_mixing.codes_of(np.array([less], np.uint16))[0]
-
-
-def test_word_counts_take_their_discounted_share():
-    lp = np.log10([0.5, 0.25, 0.25])  # two seen words and all others
-    p = 10 ** context_mixing.interpolated(np.array([3, 1, 0]), lp, (2, 1, 0), 4)
-    assert np.allclose(p, [2.25 / 4 + 0.375 * 0.5, 0.25 / 4 + 0.375 * 0.25, 0.375 * 0.25]) and np.isclose(p.sum(), 1)
-    assert (context_mixing.interpolated(np.array([0]), lp[:1], (0, 0, 0), 0) == lp[:1]).all()
-    assert np.isfinite(context_mixing.interpolated(np.array([0]), np.array([-4000.0]), (2, 1, 1), 9)).all()
+        few = zero + one < bit_mixer.FEW
+        for bit, less in ((0, (max(zero - few, 0), one)), (1, (zero, max(one - few, 0)))):
+            assert without[2 * i + bit] == bit_mixer.codes_of(np.array([less], np.uint16))[0]
+
+
+def test_word_counts_are_mixed_in_by_how_well_they_foretold():
+    spaces = np.full((2, 7), 1.0)
+    logs = context_mixing.word_logs(np.array([3, 1, 0]), np.zeros(3, bool), np.zeros(3, int), np.zeros(3, int), (2, 1, 0), 4, spaces)
+    assert np.allclose(10 ** logs[:2], np.array([2.25, 0.25]) / 4 / 7) and logs[2] == -np.inf
+    coded, counted = np.array([-1.0, -2.0, -3.0, -1.0]), np.array([-0.5, -np.inf, -1.0, -4.0])
+    got = context_mixing.mixed(coded, counted, np.array([0, 3]))  # two texts: three words, one word
+    share = [1 / 8, 2 / 9, 2 / 10, 1 / 8]
+    assert np.allclose(10**got, [(1 - s) * 10**x + s * 10**y for s, x, y in zip(share, coded, counted)])
 
 
 def test_scores_of_an_empty_table(spark):

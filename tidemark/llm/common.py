@@ -56,6 +56,16 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Small tables are broadcast up to this many rows; they are counted before.
+BROADCAST_ROWS = 100_000
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows the driver holds, marked for broadcast where they are at most BROADCAST_ROWS; beyond, Spark joins as usual."""
+    made = spark.createDataFrame(rows, schema)
+    return F.broadcast(made) if len(rows) <= BROADCAST_ROWS else made
+
+
 def fold(id_col: Column | str, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     column = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, materialise, ship_by_value
+from tidemark.llm.common import fold, materialise, ship_by_value, small_table
 from tidemark.llm.word_ids import groups, text_bytes
 
 ORDER = 4
@@ -221,7 +221,7 @@ def sample_rows(docs: DataFrame, docs_per_language: int, max_docs: int, id_col:
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a label
     each = max(1, min(docs_per_language, max_docs // max(1, len(sizes))))
     shares = [(k, 1.0 if n <= each else each / n) for k, n in sizes.items()]
-    share = docs.sparkSession.createDataFrame(shares, "lang string, share double")
+    share = small_table(docs.sparkSession, shares, "lang string, share double")
     taken = labelled.join(share, "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share")).select("lang", "h", "text")
     return taken.dropDuplicates(["lang", "h"]), tuple(sorted(sizes))
 

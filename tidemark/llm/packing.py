@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import materialise, ordered_offsets, ship_by_value
+from tidemark.llm.common import materialise, ordered_offsets, ship_by_value, small_table
 from tidemark.llm.word_ids import encode_documents, tokenizer_path, wide, width_of
 
 
@@ -32,7 +32,7 @@ def queue_weights(totals: DataFrame, weights: dict[str | None, float] | None, ex
     if weights is None:
         return totals.withColumn("raised", F.pow("tokens", F.lit(float(exponent)))).withColumn("weight", F.col("raised") / F.sum("raised").over(whole)).drop("raised")
     rows = [("" if q is None else f"={q}", float(w)) for q, w in weights.items()]
-    given = totals.sparkSession.createDataFrame(rows, "queue string, raised double")
+    given = small_table(totals.sparkSession, rows, "queue string, raised double")
     known = totals.join(given, "queue", "left").withColumn("raised", F.coalesce("raised", F.raise_error(F.concat(F.lit("no weight for source "), "queue")).cast("double")))
     return known.withColumn("weight", F.col("raised") / F.sum("raised").over(whole)).drop("raised")
 

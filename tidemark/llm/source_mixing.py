@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, small_table
 
 
 @dataclass(frozen=True)
@@ -109,7 +109,7 @@ def draw(docs: DataFrame, mixture: Mixture, seed: int = 42, block_tokens: int =
     rows = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), id_col, source_col, count_tokens(text_col).alias("n_tokens"))
     rows = materialise(rows.withColumn("s", F.col(source_col).cast("string")), "mixing-rows")
     quotas = [(s, _quota(w * mixture.budget, mixture.tokens[s]), mixture.tokens[s]) for s, w in mixture.weights.items()]
-    quota = spark.createDataFrame(quotas, "q_s string, quota double, total long")
+    quota = small_table(spark, quotas, "q_s string, quota double, total long")
     blocks = max(1, math.ceil(mixture.budget / block_tokens))
     most = rows.groupBy("s").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     bins = max(bins, math.ceil(most / 100_000))
