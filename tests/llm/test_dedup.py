@@ -133,6 +133,8 @@ def test_repeated_passages_are_found_and_clean_texts_left_alone(spark):
     for r in got:
         span = texts[r.doc_id][r.start : r.end]
         assert span in texts[50] and len(span.split()) >= 16
+    common = substring_dedup.repeated_spans(docs, hot=2, hot_chunks=3).collect()  # some chunks broadcast
+    assert sorted(map(tuple, common)) == sorted(map(tuple, got))
     left = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs).collect()}
     assert left.keys() == texts.keys() and all(left[k] == texts[k] for k in [*range(20), 50, 91, 92, 93]) and len(left[51]) < len(texts[51]) - 150
 
@@ -142,3 +144,47 @@ def test_empty_tables(spark):
     assert simhash.near_duplicates(docs).count() == 0 and simhash.drop_near_duplicates(docs).count() == 0
     assert exact_dedup.exact_duplicates(docs).count() == 0 and exact_dedup.drop_duplicates(docs).count() == 0
     assert substring_dedup.repeated_spans(docs).count() == 0
+
+
+def slow_spans(texts: dict[int, str], least: int) -> set[tuple]:
+    """(id, start, end, keeper): of every chunk the first document's stays; runs of later ones of enough words, cut where the keeper changes."""
+    cut, first = {}, {}
+    for i in sorted(texts):
+        data = texts[i].encode()
+        ends = [0, *slow_boundaries(data), len(data)]
+        cut[i] = [(a, b, data[a:b]) for a, b in zip(ends, ends[1:])] if data else []
+        for *_, chunk in cut[i]:
+            first.setdefault(chunk, i)
+    out = set()
+    for i, chunks in cut.items():
+        data, run = texts[i].encode(), []
+        for a, b, chunk in [*chunks, (0, 0, None)]:
+            if chunk is not None and first[chunk] != i:
+                run.append((a, b, first[chunk]))
+                continue
+            begins = lambda a, b: sum(not data[k : k + 1].isspace() and (k == 0 or data[k - 1 : k].isspace()) for k in range(a, b))
+            if sum(begins(a, b) for a, b, _ in run) >= least:
+                for k, (a, b, keeper) in enumerate(run):
+                    if k and run[k - 1][2] == keeper:
+                        continue
+                    last = next((j - 1 for j in range(k, len(run)) if run[j][2] != keeper), len(run) - 1)
+                    out.add((i, len(data[:a].decode()), len(data[: run[last][1]].decode()), keeper))
+            run = []
+    return out
+
+
+def test_spans_against_brute_force(spark):
+    rnd = random.Random(9)
+    passages = [words(k, rnd.randint(10, 60)) for k in range(8)]
+    texts = {i: " ".join(rnd.choice(passages) if rnd.random() < 0.4 else words(1000 + 10 * i + j, rnd.randint(5, 40)) for j in range(5)) for i in range(30)}
+    texts |= {40: "", 41: texts[3], 42: passages[0] * 2}
+    got = substring_dedup.repeated_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {(r.doc_id, r.start, r.end, r.keep_id) for r in got.collect()} == slow_spans(texts, 16)
+
+
+def test_spans_are_cut_with_rows_and_clashing_columns_kept(spark):
+    docs = frame(spark)
+    left = substring_dedup.remove_repeats(docs)
+    assert left.schema == docs.schema and left.count() == docs.count()
+    keep = [c for c in docs.columns if c != "text"]
+    assert Counter(map(tuple, left.select(*keep).collect())) == Counter(map(tuple, docs.select(*keep).collect()))

@@ -138,13 +138,10 @@ MULS = [int(m) for m in bit_mixer._MULS]
 def mixing_model(seed: int = 1, texts: tuple[bytes, ...] = (b"the night of the river", b"die nacht der stadt")) -> bit_mixer.MixingModel:
     """Any numbers will do: the mixer's arithmetic is what is tested."""
     rnd = np.random.default_rng(seed)
-    pairs = np.zeros((256, 256))
-    for t in texts:
-        for x, y in zip(b"\xff" + t, t + b"\xff"):
-            pairs[x, y] += 1
-    codes, sizes = bit_mixer.huffman(pairs)
+    triples = np.concatenate([bit_mixer.byte_triples(t) for t in texts])
+    codes, sizes, contexts = bit_mixer.byte_codes(*np.unique(triples, return_counts=True))
     words = np.array(sorted(bit_mixer.word_hash(w) for w in (b"the", b"of", b"der", b"nacht")), np.uint64)
-    shape = bit_mixer.Shape(codes, sizes, words, rnd.normal(size=(4, 3)).astype(np.float32), (10, 11, 12, 9, 13, 10))
+    shape = bit_mixer.Shape(codes, sizes, contexts, words, rnd.normal(size=(4, 3)).astype(np.float32), (10, 12, 9, 13, 10))
     tables = [bit_mixer.codes_of(np.minimum(rnd.geometric(0.1, (1 << s, 2)) - 1, 50).astype(np.uint16)) for s in shape.slots]
     maps = rnd.normal(size=(bit_mixer.HASHED + 1, bit_mixer.CODES)).astype(np.float32)
     weights = rnd.normal(size=(bit_mixer.GATES, bit_mixer.INPUTS)) * 0.5
@@ -173,7 +170,6 @@ def slow_logs(model: bit_mixer.MixingModel, text: bytes) -> list[float]:
         byte = last & 255
         values = [
             (last & 0xFFFF) | topic << 16,
-            last & 0xFFFFFF,
             last & 0xFFFFFFFF,
             last,
             within * MULS[1] + byte + (topic << 8),
@@ -185,24 +181,25 @@ def slow_logs(model: bit_mixer.MixingModel, text: bytes) -> list[float]:
         run = (run + 1 if source_before is not None and source == source_before + 1 else 1) if source is not None else 0
         source_before = source
         strength = 2 * min(math.ceil(math.log2(run + 1)), 10)
-        code, size = int(shape.codes[byte, data[i]]), int(shape.sizes[byte, data[i]])
+        coder = int(shape.contexts[last & 0xFFFF])
+        code, size = int(shape.codes[coder, data[i]]), int(shape.sizes[coder, data[i]])
         bits = f"{code:0{size}b}"
-        guess = f"{int(shape.codes[byte, data[source]]):0{int(shape.sizes[byte, data[source]])}b}" if source is not None else ""
+        guess = f"{int(shape.codes[coder, data[source]]):0{int(shape.sizes[coder, data[source]])}b}" if source is not None else ""
         total = 0.0
         for depth in range(size):
-            path = int("1" + bits[:depth], 2)
+            path = int("1" + bits[:depth], 2) * 0xC2B2AE3D27D4EB4F & M64
             match = strength + int(guess[depth]) if guess and guess[:depth] == bits[:depth] and len(guess) > depth else 0
             gate, x = (match >= 2) + (match >= 10) + 27 * min(depth, 3), []
             for k, h in enumerate(hashes):
-                y = (h ^ path * 0xC2B2AE3D27D4EB4F & M64) * MULS[1] & M64
+                y = (h ^ path) * MULS[1] & M64
                 y = (y ^ y >> 32) * MULS[2] & M64
                 c = int(model.codes[k][y >> (64 - shape.slots[k])])
                 x.append(float(model.maps[k, c]))
-                if k >= 4:
-                    gate += (9 if k == 4 else 3) * ((c >= bit_mixer.ONE_WAY) + (c >= bit_mixer.BOTH_WAYS))
-            x += [float(model.maps[6, match]), 0.3]
+                if k >= 3:
+                    gate += (9 if k == 3 else 3) * ((c >= bit_mixer.ONE_WAY) + (c >= bit_mixer.BOTH_WAYS))
+            x += [float(model.maps[5, match]), 0.3]
             z = max(-13.8, min(13.8, float(model.weights[gate] @ np.array(x))))
-            node = (((byte * MULS[3] + path) & M64) * MULS[4] & M64) >> 52
+            node = (((coder * 256 * MULS[3] + path) & M64) * MULS[4] & M64) >> 52
             p = 0.5 / (1 + math.exp(-z)) + 0.5 * float(model.refine[node, int(bit_mixer.bucket(np.array([z]))[0])])
             p = min(max(p, 2.0**-20), 1 - 2.0**-20)
             total += math.log10(p if bits[depth] == "1" else 1 - p)
@@ -252,8 +249,8 @@ def test_long_texts_are_read_in_segments(monkeypatch):
 
 
 def test_huffman_codes_are_prefix_free_and_complete():
-    codes, sizes = bit_mixer.huffman(np.random.default_rng(1).integers(0, 1000, (256, 256)) ** 3.0)
-    for before in (0, 97, 255):
+    codes, sizes = bit_mixer.huffman(np.random.default_rng(1).integers(0, 1000, (3, 256)) ** 3.0)
+    for before in range(3):
         words = sorted(f"{int(c):0{int(n)}b}" for c, n in zip(codes[before], sizes[before]))
         assert all(not y.startswith(x) for x, y in zip(words, words[1:])) and sum(2.0 ** -len(w) for w in words) == 1
 
@@ -264,7 +261,7 @@ def test_counts_and_learning_make_repeated_text_cheap():
     tables = [np.zeros(2 << s, np.uint32) for s in shape.slots]
     for t in texts:
         bit_mixer.add_counts(tables, bit_mixer.Stream([t], shape))
-    decisions = sum(int(shape.sizes[x, y]) for t in texts for x, y in zip(b"\xff" + t, t + b"\xff"))
+    decisions = sum(int(shape.sizes[shape.contexts[x >> 8], x & 255]) for t in texts for x in bit_mixer.byte_triples(t))
     assert all(t.sum() == decisions for t in tables)
     small = [t.astype(np.uint16).reshape(-1, 2) for t in tables]
     model = bit_mixer.MixingModel(shape, [bit_mixer.codes_of(t) for t in small], [bit_mixer.left_out(t) for t in small], None, None)
@@ -448,3 +445,27 @@ def test_many_parts_in_one_text(spark):
     docs = spark.createDataFrame([(1, "login: maria pwd=hunter2x9 " * 2000), (1, None)], "doc_id long, text string")
     assert sorted(len(r.spans) for r in secret_scan.scan_secrets(docs).collect()) == [0, 4000]
     assert secret_scan.scan_secrets(frame(spark, [])).count() == 0
+
+
+def test_redaction_keeps_rows_and_clashing_columns(spark):
+    data = rows()
+    secret = (1, "token=secretval9 and more", *data[1][2:])
+    docs = frame(spark, [*data, secret, secret, (None, "login: maria pwd=hunter2x9", *data[2][2:])])
+    clean = secret_scan.redact(docs)
+    assert clean.schema == docs.schema and clean.count() == docs.count()
+    masked = [r for r in clean.collect() if r.text and "*" in r.text]
+    assert sum(r.doc_id == 1 for r in masked) == 2 and sum(r.doc_id is None for r in masked) == 1
+    same = Counter(tuple(r) for r in docs.collect()) & Counter(tuple(r) for r in clean.collect())
+    assert sum(same.values()) == docs.count() - 3
+
+
+def test_mixed_rows_carry_their_places(spark):
+    docs = frame(spark, rows(n=120)).drop("place")
+    got = source_mixing.mix(docs, 0.99, 4.0, places=True).collect()
+    again = Counter(tuple(r)[:-1] for r in got)
+    places = defaultdict(set)
+    for r in got:
+        places[tuple(r)[:-1]].add((r.place.epoch, r.place.block, r.place.position))
+    assert max(again.values()) > 1 and all(len(places[k]) == n or n > 4 for k, n in again.items() if k[0] is not None and k[0] not in (2,))
+    with pytest.raises(ValueError, match="place"):
+        source_mixing.mix(frame(spark), places=True)

@@ -63,7 +63,33 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of op7: sizes and edited texts, which rest on the order of all documents."""
+    return op7_order_minhash(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of op10: counts and places of the base kinds."""
+    return op10_secret_scan(spark, sf_dir).drop("spans")
+
+
+def _base_sql() -> str:
+    """Places of matches: the lengths of the pieces between them and of the matches before."""
+    parts = []
+    for rank, (kind, pattern, least, group) in enumerate(secret_scan.BASE):
+        rx = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, unnest(range(len(m))) AS i, m, v, g, {least} AS least
+            FROM (SELECT doc_id, regexp_extract_all(t, {rx}) AS m, regexp_extract_all(t, {rx}, {group}) AS v, string_split_regex(t, {rx}) AS g FROM d)""")
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), hits AS ({' UNION ALL '.join(parts)}),
+        placed AS (SELECT doc_id, kind, rank, list_sum(list_transform(g[1:i + 1], x -> length(x))) + coalesce(list_sum(list_transform(m[1:i], x -> length(x))), 0) AS s, length(m[i + 1]) AS n FROM hits WHERE length(v[i + 1]) >= least),
+        told AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s + n AS BIGINT) AS VARCHAR), ',' ORDER BY s, rank) AS spans FROM placed GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN told ON d.doc_id = told.doc_id"""
+
+
 SQL = {
+    "edited_texts": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents), o AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS after FROM d WINDOW w AS (ORDER BY doc_id))
+        SELECT doc_id, n AS n_chars, sha256(left(t, n - n // 2) || left(after, n // 2)) AS edited_sha256 FROM o""",
+    "base_secrets": _base_sql(),
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -72,7 +98,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op") or name in SQL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,6 +26,8 @@ PARTS = (
     ("opaque", "secret", r"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,39}[0-9])(?=[A-Z0-9+/_-]{0,39}[a-z])(?=[a-z0-9+/_-]{0,39}[A-Z])[A-Za-z0-9+/_-]{40}(?![A-Za-z0-9+/_-])"""),
     ("endpoint", "endpoint", r"""(?i:\b(?:https?|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|redis|amqp|mongodb|ftp|ssh)://)[A-Za-z0-9._~:@%/?#=&+-]{4,}"""),
 )
+#: What every match of a kind contains: most texts are told from these at once.
+LITERALS = {"access": "AKIA", "endpoint": "://"}
 KINDS = tuple(k for k, *_ in BASE) + tuple(k for k, *_ in PARTS)
 
 
@@ -40,7 +42,10 @@ def _hits(text: str, kind: str, pattern: str, group: int) -> Column:
         zipped,
         lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["gap"].alias("gap"), x["size"].alias("size"), x["value"].alias("value")),
     )
-    return F.when(F.col(text).rlike(pattern), F.filter(hits, lambda x: x["size"].isNotNull())).otherwise(F.array().cast("array<struct<kind:string,i:int,gap:int,size:int,value:int>>"))
+    seen = F.col(text).rlike(pattern)
+    if kind in LITERALS:
+        seen = F.col(text).contains(LITERALS[kind]) & seen
+    return F.when(seen, F.filter(hits, lambda x: x["size"].isNotNull())).otherwise(F.array().cast("array<struct<kind:string,i:int,gap:int,size:int,value:int>>"))
 
 
 def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tidemark.llm.common import materialise, ship_by_value
 from tidemark.llm.graph import components
@@ -69,7 +68,8 @@ def near_pairs(fps: DataFrame, radius: int = 2, pair_limit: int = 256) -> DataFr
     """
     if not 1 <= radius <= 3:
         raise ValueError("radius: 1 to 3")
-    rows, found = fps.select("fp", F.lit(0).cast("long").alias("mask"), F.lit(0).alias("lo")), []
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, found = fps.select("fp", F.lit(0).cast("long").alias("mask"), F.lit(0).alias("lo")).repartition(parts, "fp"), []
     for width in (64, 32, 16):
         half = width // 2
         cut = rows.select("fp", "mask", "lo", F.explode(_half_rules(width)).alias("r"))
@@ -82,9 +82,9 @@ def near_pairs(fps: DataFrame, radius: int = 2, pair_limit: int = 256) -> DataFr
             F.expr("r.bit < 0").alias("exact"),
             (F.col("fp").bitwiseAND(struck) != 0).cast("int").alias("side"),
         ).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        same = Window.partitionBy("mask", "key")
-        keys = keys.withColumn("n", F.count("*").over(same)).withColumn("ones", F.sum("side").over(same))
-        keys = materialise(keys.where("n > 1 and (exact or (ones > 0 and ones < n))"), "simhash-keys")
+        sizes = keys.groupBy("mask", "key").agg(F.count("*").alias("n"), F.sum("side").alias("ones"), F.first("exact").alias("e"))
+        sizes = materialise(sizes.where("n > 1 and (e or (ones > 0 and ones < n))").select("mask", "key", "n"), "simhash-sizes")
+        keys = materialise(keys.join(sizes, ["mask", "key"]), "simhash-keys")
         few = keys if width == 16 else keys.where(F.col("n") <= pair_limit)
         left = few.select("mask", "key", "exact", F.col("fp").alias("a"), F.col("side").alias("side_a"))
         right = few.select("mask", "key", F.col("fp").alias("b"), F.col("side").alias("side_b"))

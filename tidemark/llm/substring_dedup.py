@@ -98,7 +98,7 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.mapInArrow(run, f"row long, `{id_col}` {kind}, i int, start int, end int, words int, hi long, lo long")
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id", text_col: str = "text", hot: int = 1000, hot_chunks: int = 50_000) -> DataFrame:
     """(row, id_col, start, end, words, keep_id): spans of documents that an earlier document has as well.
 
     Of every chunk the occurrence in the document of least (id, row) stays; occurrences in other documents
@@ -107,12 +107,17 @@ def repeated_spans(docs: DataFrame, min_words: int = 16, id_col: str = "doc_id",
     (chance repeats, license lines). A run is then reported as one span for each stretch that stays in the same
     document, so a span itself can be short. A passage of n bytes shared between documents is found but for its
     outer 40 to 100 bytes or so on either side, so 50 words leave more than min_words. Documents with a null id
-    come first among equals.
+    come first among equals. The hot_chunks most frequent chunks of those with `hot` occurrences or more are
+    broadcast, so that a very common line does not meet in one task; all others are joined.
     """
     chunks = materialise(chunk_documents(docs, id_col, text_col), "chunks")
     owner = F.struct(F.col(id_col), F.col("row"))
-    repeated = chunks.groupBy("hi", "lo").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min(owner).alias("keep")).where("a <> b").drop("a", "b")
-    marked = chunks.join(repeated, ["hi", "lo"]).where(F.col("row") != F.col("keep.row"))
+    repeated = chunks.groupBy("hi", "lo").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min(owner).alias("keep"), F.count("*").alias("n")).where("a <> b").drop("a", "b")
+    repeated = materialise(repeated, "chunks-repeated")
+    often = repeated.where(F.col("n") >= hot).orderBy(F.desc("n"), "hi", "lo").limit(hot_chunks).select("hi", "lo", F.col("keep").alias("hot_keep"))
+    seen = chunks.join(F.broadcast(often), ["hi", "lo"], "left")  # hot_chunks rows at most
+    rare = seen.where("hot_keep is null").drop("hot_keep").join(repeated.drop("n"), ["hi", "lo"])
+    marked = seen.where("hot_keep is not null").withColumnRenamed("hot_keep", "keep").unionByName(rare).where(F.col("row") != F.col("keep.row"))
     ordered = Window.partitionBy("row").orderBy("i")
     marked = marked.withColumn("run", F.col("i") - F.row_number().over(ordered))
     changed = (F.lag("run").over(ordered) != F.col("run")) | (F.lag("keep.row").over(ordered) != F.col("keep.row"))

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import materialise, scratch_path, ship_by_value
 from tidemark.llm.ranges import LEAST, keys_of, long_ids, range_bounds, range_count, range_of
-from tidemark.llm.word_ids import WordEncoder, text_bytes, tokenizer_path, wide, width_of
+from tidemark.llm.word_ids import WordEncoder, tokenizer_path, wide, width_of
 
 MAGIC = b"TIDETOK1"
 #: Manifests of more files than this are joined, not broadcast.
@@ -67,7 +68,7 @@ def train_dictionary(docs: DataFrame, path: str, sample_docs: int = 500, size: i
     def encode(batches):
         encoder = WordEncoder(path, width)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x[:sample_bytes] for x in encoder(text_bytes(b.column(0)))], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pc.binary_slice(encoder.encode(b.column(0)), 0, sample_bytes)], names=["ids"])
 
     chosen = docs.where(F.xxhash64(F.col(id_col).cast("string")) <= least[-1]).select(F.col(text_col).cast("string").alias("t"))
     gathered = chosen.mapInArrow(encode, "ids binary").where("length(ids) > 0").limit(2 * sample_docs).collect()
@@ -139,9 +140,9 @@ def write_store(
     def encode(batches):
         encoder = WordEncoder(path, width)
         for b in batches:
-            ids = encoder(text_bytes(b.column(1)), end)
+            ids = encoder.encode(b.column(1), end)
             spread = pa.array(range_of(keys_of(b.column(0)), bounds))
-            yield pa.RecordBatch.from_arrays([spread, b.column(0), pa.array(ids, pa.binary())], names=["range", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([spread, b.column(0), ids], names=["range", "doc_id", "ids"])
 
     def write(batches):
         compressor = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(raw))

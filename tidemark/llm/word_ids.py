@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from tidemark.llm.common import ship_by_value
 #: Of one generation.
 CACHE_WORDS = 300_000
 #: The apostrophe may open a contraction.
-PUNCTUATION = string.punctuation.replace("'", "").encode()
+PUNCTUATION = string.punctuation.replace("'", "")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -68,44 +69,54 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         self.former: dict[bytes, bytes] = {}
 
-    def _unknown(self, words: set[bytes]) -> set[bytes]:
-        """The words in neither generation; those of the former one move on."""
-        new = words.difference(self.known)
-        again = new.intersection(self.former)
-        self.known.update((w, self.former[w]) for w in again)
-        return new - again
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        every = set().union(*texts)
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, self.former, new = {}, self.known, every
-        # a run of punctuation after a letter is a token piece of its own: encode both parts once
-        new, parted, pieces = self._unknown(new), [], set()
-        whole = [w for w in new if w.isalpha()]  # bytes: ASCII alone
-        for raw in new.difference(whole):
-            base = raw.rstrip(PUNCTUATION)
-            if len(base) < len(raw) and (base.isalpha() or base.decode()[-1:].lower().isalpha()) and b"<|" not in raw:
-                parted.append((raw, base, raw[len(base) :]))
-                pieces.update(parted[-1][1:])
-            else:
-                whole.append(raw)
-        whole += self._unknown(pieces.difference(whole))
-        letters, accented, others = [], [], []
-        for raw in whole:
-            if raw.isalpha() and raw.islower():
-                letters.append(raw)
-            else:
-                word = raw.decode()
-                (accented if word.isalpha() and word.lower().isalpha() else others).append(raw)
+    def _pieces(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct pieces of distinct words, and the first and second piece of each (-1: none).
+
+        A run of punctuation after a letter is a token piece of its own, so both parts are encoded once.
+        """
+        base = pc.ascii_rtrim(words, PUNCTUATION)
+        cut = pc.binary_length(base).to_numpy()
+        trimmed = (cut < pc.binary_length(words).to_numpy()) & ~pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+        last = pc.utf8_slice_codeunits(base, -1)
+        parted = trimmed & pc.ascii_is_alpha(last).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(trimmed & ~parted & ~pc.string_is_ascii(last).to_numpy(zero_copy_only=False)).tolist():
+            parted[i] = last[i].as_py().lower().isalpha()
+        two = pa.array(parted)
+        tails = words.filter(two).cast(pa.binary()).to_pylist()
+        tails = pa.array([w[n:] for w, n in zip(tails, cut[parted].tolist())], pa.binary()).cast(pa.string())
+        every = pa.concat_arrays([pc.if_else(two, base, words), tails]).dictionary_encode()
+        at = every.indices.to_numpy().astype(np.int64)
+        second = np.full(len(words), -1)
+        second[parted] = at[len(words) :]
+        return every.dictionary, at[: len(words)], second
+
+    def learn(self, pieces: pa.Array) -> list[bytes]:
+        """The ids of distinct pieces; those of the former generation that come again move on."""
+        names = pieces.cast(pa.binary()).to_pylist()
+        found = list(map(self.known.get, names))
+        lacking = []
+        for i, x in enumerate(found):
+            if x is None:
+                before = self.former.get(names[i])
+                if before is None:
+                    lacking.append(i)
+                else:
+                    self.known[names[i]] = found[i] = before
+        new = pieces.take(pa.array(lacking, pa.int64()))
+        plain = pc.and_(pc.ascii_is_alpha(new), pc.ascii_is_lower(new))
+        accented, others = [], []
+        for word in new.filter(pc.invert(plain)).to_pylist():
+            (accented if word.isalpha() and word.lower().isalpha() else others).append(word.encode())
         self.tokenizer.normalizer = None  # it leaves lower-case ASCII letters alone
-        self._encode_letters(letters)
+        self._encode_letters(new.filter(plain).cast(pa.binary()).to_pylist())
         self.tokenizer.normalizer = self.normalizer
         self._encode_letters(accented)
         self._encode_each(others)
-        known = self.known
-        for raw, base, rest in parted:
-            known[raw] = known[base] + known[rest]
+        for i in lacking:
+            found[i] = self.known[names[i]]
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.former = {}, self.known
+        return found
 
     def _encode_letters(self, words: list[bytes]) -> None:
         """Words of letters, many in one text: each is one piece, and its last token alone closes a piece."""
@@ -127,13 +138,39 @@ class WordEncoder:
                 self.known[word] = array(self.kind, encoded.ids).tobytes()
 
     def __call__(self, texts: list[bytes], end: bytes = b"") -> list[bytes]:
-        out: list[bytes] = []
-        for lo, hi in groups([len(t) for t in texts], 4_000_000):
-            split = [(t if b"<|" in t else t.lower()).split() for t in texts[lo:hi]]  # special tokens keep their case
-            self.learn(split)
-            get = self.known.__getitem__
-            out += [b"".join(map(get, words)) + end for words in split]
-        return out
+        return [x.as_py() for x in self.encode(pa.array(texts, pa.binary()).cast(pa.string()), end)]
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """Strings (null: empty) -> their ids as binary: distinct words of about 8 MB of text at once."""
+        parts = [self._encoded(texts[lo:hi], end) for lo, hi in groups(pc.binary_length(texts).fill_null(0).to_pylist(), 8_000_000)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+    def _encoded(self, texts: pa.Array, end: bytes) -> pa.Array:
+        texts = texts.fill_null("")
+        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # special tokens keep their case
+        split = pc.ascii_split_whitespace(lower)
+        words = split.flatten().dictionary_encode()
+        pieces, first, second = self._pieces(words.dictionary)
+        ids_of = self.learn(pieces)
+        found = [ids_of[i] for i in first.tolist()]
+        parted = np.flatnonzero(second >= 0)
+        for i, k in zip(parted.tolist(), second[parted].tolist()):
+            found[i] += ids_of[k]
+        kind = np.dtype(self.kind)
+        flat = np.frombuffer(b"".join(found) + end, kind)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // kind.itemsize
+        starts = np.cumsum(sizes) - sizes
+        # the end is one more word, after the last one of every text
+        at = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n_words = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        if end:
+            sizes, starts = np.append(sizes, 1), np.append(starts, len(flat) - 1)
+            at, n_words = np.insert(at, np.cumsum(n_words), len(found)), n_words + 1
+        length = sizes[at]
+        ends = np.r_[0, np.cumsum(length)]
+        ids = flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], length)]
+        offsets = ends[np.r_[0, np.cumsum(n_words)]] * kind.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
 
 
 def groups(sizes: list[int], most: int):
@@ -161,10 +198,9 @@ def encode_documents(docs: DataFrame, path: str, end_id: int | None = 1, text_co
     def run(batches):
         encoder = WordEncoder(path, width)
         for b in batches:
-            ids = encoder(text_bytes(b.column(len(keep))), end)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(ids, pa.binary()), pa.array([len(x) // width for x in ids], pa.int64())], names=[*keep, "ids", "n_tokens"]
-            )
+            ids = encoder.encode(b.column(len(keep)), end)
+            n_tokens = pc.divide(pc.binary_length(ids), width).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids, n_tokens], names=[*keep, "ids", "n_tokens"])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_text"))
     head = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
