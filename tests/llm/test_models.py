@@ -141,7 +141,7 @@ def mixing_model(seed: int = 1, texts: tuple[bytes, ...] = (b"the night of the r
     triples = np.concatenate([bit_mixer.byte_triples(t) for t in texts])
     codes, sizes, contexts = bit_mixer.byte_codes(*np.unique(triples, return_counts=True))
     words = np.array(sorted(bit_mixer.word_hash(w) for w in (b"the", b"of", b"der", b"nacht")), np.uint64)
-    shape = bit_mixer.Shape(codes, sizes, contexts, words, rnd.normal(size=(4, 3)).astype(np.float32), (10, 12, 9, 13, 10))
+    shape = bit_mixer.Shape(codes, sizes, contexts, words, rnd.normal(size=(4, 3)).astype(np.float32), (10, 13, 11))
     tables = [bit_mixer.codes_of(np.minimum(rnd.geometric(0.1, (1 << s, 2)) - 1, 50).astype(np.uint16)) for s in shape.slots]
     maps = rnd.normal(size=(bit_mixer.HASHED + 1, bit_mixer.CODES)).astype(np.float32)
     weights = rnd.normal(size=(bit_mixer.GATES, bit_mixer.INPUTS)) * 0.5
@@ -157,7 +157,7 @@ def slow_logs(model: bit_mixer.MixingModel, text: bytes) -> list[float]:
     start = 0  # of the word so far
     for i in range(len(data)):
         before = b"\xff" * 8 + data[:i]
-        last = int.from_bytes(before[-6:], "big")
+        last = int.from_bytes(before[-5:], "big")
         if i and not letter(data[i - 1]):
             if i > 1 and letter(data[i - 2]):
                 words.append(bit_mixer.word_hash(data[start : i - 1]))
@@ -169,9 +169,7 @@ def slow_logs(model: bit_mixer.MixingModel, text: bytes) -> list[float]:
         previous = words[-1] if words else 0
         byte = last & 255
         values = [
-            (last & 0xFFFF) | topic << 16,
             last & 0xFFFFFFFF,
-            last,
             within * MULS[1] + byte + (topic << 8),
             (within ^ (previous * MULS[2] & M64)) * MULS[3] + byte,
         ]
@@ -195,9 +193,9 @@ def slow_logs(model: bit_mixer.MixingModel, text: bytes) -> list[float]:
                 y = (y ^ y >> 32) * MULS[2] & M64
                 c = int(model.codes[k][y >> (64 - shape.slots[k])])
                 x.append(float(model.maps[k, c]))
-                if k >= 3:
-                    gate += (9 if k == 3 else 3) * ((c >= bit_mixer.ONE_WAY) + (c >= bit_mixer.BOTH_WAYS))
-            x += [float(model.maps[5, match]), 0.3]
+                if k >= 1:
+                    gate += (9 if k == 1 else 3) * ((c >= bit_mixer.ONE_WAY) + (c >= bit_mixer.BOTH_WAYS))
+            x += [float(model.maps[3, match]), 0.3]
             z = max(-13.8, min(13.8, float(model.weights[gate] @ np.array(x))))
             node = (((coder * 256 * MULS[3] + path) & M64) * MULS[4] & M64) >> 52
             p = 0.5 / (1 + math.exp(-z)) + 0.5 * float(model.refine[node, int(bit_mixer.bucket(np.array([z]))[0])])

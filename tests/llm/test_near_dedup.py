@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import frame, rows
 from tests.llm.test_dedup import closure
-from tidemark.llm import jaccard_dedup
+from tidemark.llm import near_dedup
 
 
 def sets(text: str | None) -> set:
@@ -44,7 +44,7 @@ def check(spark, drop):
 
 
 def test_pairs_of_similarity_four_fifths_are_linked(spark):
-    check(spark, jaccard_dedup.drop_similar)
+    check(spark, near_dedup.drop_near_duplicates)
 
 
 def test_the_pipeline_links_by_similarity(spark):
@@ -54,11 +54,11 @@ def test_the_pipeline_links_by_similarity(spark):
 def test_odd_rows_and_an_empty_table(spark):
     data = rows()
     docs = frame(spark, data)
-    kept = jaccard_dedup.drop_similar(docs)
+    kept = near_dedup.drop_near_duplicates(docs)
     assert kept.schema == docs.schema
     found = [sets(r[1]) for r in data]
     least = {}
     for r, root in zip(data, closure(len(data), lambda i, j: near(found[i], found[j]))):
         least[root] = min(least.get(root, r[0]), r[0])
     assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
-    assert jaccard_dedup.drop_similar(frame(spark, [])).count() == 0
+    assert near_dedup.drop_near_duplicates(frame(spark, [])).count() == 0

@@ -1,7 +1,9 @@
-"""Near-duplicates by the true Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash, completed to a true Jaccard similarity of word shingles.
 
-MinHash bands only propose pairs; each is verified on the whole shingle sets. With BANDS bands of ROWS values a
-pair of similarity s is proposed with probability 1 - (1 - s^ROWS)^BANDS: 0.9995 at 0.8, more above.
+Candidates are the pairs that simhash finds within RADIUS bits by its deletion variants, and, since a pair of
+similarity 0.8 differs in about 10 of 64 bits, those that MinHash bands propose: with BANDS bands of ROWS values
+a pair of similarity s is proposed with probability 1 - (1 - s^ROWS)^BANDS, 0.9995 at 0.8, more above. Every
+candidate is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -15,26 +17,18 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import materialise, ship_by_value
 from tidemark.llm.graph import components
+from tidemark.llm.simhash import fingerprint_of, near_pairs, shingle_hashes
 from tidemark.llm.word_ids import text_bytes
 
-BANDS, ROWS, STEP = 25, 6, 1024
+BANDS, ROWS, STEP, RADIUS = 25, 6, 1024, 3
 _rng = np.random.default_rng(42)
 _XOR = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 
 
 def shingles(text: bytes, width: int, seed: int) -> np.ndarray:
-    """The distinct shingles of a text as ascending hashes; all words of a shorter text are one. Words as in simhash."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, n = b" ".join(words), max(1, len(words) - width + 1)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes)[:n].tolist()
-    ends = ends[min(width, len(words)) - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, n))
+    """The distinct shingles of a text as ascending hashes."""
+    return np.unique(shingle_hashes(text, width, seed))
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -54,19 +48,21 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """docs: columns, the last one the text -> the others, fp (hash of the shingle set, 0 for none), size, keys."""
-    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """docs: columns, the last one the text -> the others, sim (SimHash), fp (hash of the shingle set, 0 for none), size, keys."""
+    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("sim", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for b in batches:
-            fps, sizes, keys = [], [], []
+            sims, fps, sizes, keys = [], [], [], []
             for text in text_bytes(b.columns[-1]):
-                hashes = shingles(text, width, seed)
+                every = shingle_hashes(text, width, seed)
+                hashes = np.unique(every)
+                sims.append(fingerprint_of(every))
                 fps.append(xxhash.xxh64_intdigest(hashes.tobytes()) if len(hashes) else 0)
                 sizes.append(len(hashes))
                 keys.append(np.array(band_keys(hashes), np.uint64).view(np.int64))
             fps = pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], fps, pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sims, pa.int64()), fps, pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -89,19 +85,28 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int,
 
 
 def similar_sets(rows: DataFrame, similarity: float, width: int, seed: int) -> DataFrame:
-    """rows (n, fp, size, keys, text), n unique -> (fp, root): sets linked, directly or over others, by a similar pair.
+    """rows (n, sim, fp, size, keys, text), n unique -> (fp, root): sets linked, directly or over others, by a similar pair.
 
     The members of a band's key are first held against the least of them, so a group of m copies takes m pairs.
     Then those that this has not joined to the least one are held against all members of other components: pairs
-    inside a component can't change it, so no link that matters is left out.
+    inside a component can't change it, so no link that matters is left out. Sets of one SimHash are held against the
+    least of them, and those of near SimHashes against each other, in the same way.
     """
+    sims = rows.where("size > 0").groupBy("sim").agg(F.min(F.struct("fp", "size")).alias("hub"))
+    near = near_pairs(sims.select(F.col("sim").alias("fp")), RADIUS)
+    hub = lambda c, x, y: sims.select(F.col("sim").alias(c), F.col("hub.fp").alias(x), F.col("hub.size").alias(y))
+    alike = rows.where("size > 0").select("sim", F.col("fp").alias("q"), F.col("size").alias("y")).join(hub("sim", "p", "x"), "sim").where("p <> q").select("p", "q", "x", "y")
+    alike = alike.union(near.join(hub("a", "p", "x"), "a").join(hub("b", "q", "y"), "b").select("p", "q", "x", "y"))
+    alike = materialise(alike.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "x", "y").distinct(), "jaccard-alike")
     keyed = rows.select("fp", "size", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min(F.struct("fp", "size")).alias("hub"), F.max("fp").alias("most")).where("hub.fp <> most").drop("most")
     members = materialise(keyed.join(hubs, "key").select("key", "fp", "size", F.col("hub.fp").alias("hub"), F.col("hub.size").alias("hub_size")).distinct(), "jaccard-members")
-    shown = rows.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("n").alias("n"))
+    wanted = members.select("fp").union(alike.select("a")).union(alike.select("b")).distinct()
+    shown = rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("n").alias("n"))
     texts = materialise(rows.select("n", "text").join(shown, "n").select("fp", "text"), "jaccard-texts")
     close = f"least(x, y) >= {similarity!r}D * greatest(x, y)"
     star = members.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"), F.col("hub_size").alias("x"), F.col("size").alias("y")).where(close)
+    star = star.union(alike.where(close))
     links = materialise(verified(star.select("a", "b").distinct(), texts, similarity, width, seed), "jaccard-links")
     roots = materialise(components(links), "jaccard-roots").toDF("fp", "root")
     named = members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -114,7 +119,7 @@ def similar_sets(rows: DataFrame, similarity: float, width: int, seed: int) -> D
     return roots if more.isEmpty() else components(links.union(more)).toDF("fp", "root")
 
 
-def drop_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each group that pairs of at least this similarity link: that of the smallest id, with all columns.
 
     Equal shingle sets are one vertex. Null texts and texts without words are one group. Of rows that share the
@@ -123,7 +128,7 @@ def drop_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed:
     columns = docs.columns
     numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("d"), F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
     rows = materialise(signatures(numbered, width, seed).withColumn("n", F.monotonically_increasing_id()), "jaccard-docs")
-    roots = similar_sets(rows.select("n", "fp", "size", "keys", F.col("d")[text_col].cast("string").alias("text")), similarity, width, seed)
+    roots = similar_sets(rows.select("n", "sim", "fp", "size", "keys", F.col("d")[text_col].cast("string").alias("text")), similarity, width, seed)
     first = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "fp", "n")).alias("first")
     sets = rows.groupBy("fp").agg(first)
     kept = sets.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first")["n"].alias("n_"))

@@ -21,18 +21,29 @@ from tidemark.llm.graph import components
 from tidemark.llm.word_ids import text_bytes
 
 
-def fingerprint(text: bytes, width: int, seed: int) -> int:
-    """64 bits; 0 for a text without words."""
+def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; all words of a shorter text are one; none without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - width + 1)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[:n].tolist()
     ends = ends[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, n)
+
+
+def fingerprint(text: bytes, width: int, seed: int) -> int:
+    """64 bits; 0 for a text without words."""
+    return fingerprint_of(shingle_hashes(text, width, seed))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    n = len(hashes)
+    if not n:
+        return 0
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     over = 2 * np.add.reduce(bits, axis=0, dtype=np.int64) > n
     return int(np.packbits(over, bitorder="little").view(np.int64)[0])
