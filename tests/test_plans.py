@@ -8,11 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests import synthetic
 from tidemark import schemas
 from tidemark.functions import parsing, scoring
 from tidemark.operators import quality
 from tidemark.operators import relational as rel
-from tidemark.plans import clean, evaluate, model, serve, synthetic
+from tidemark.plans import clean, evaluate, model, serve
 from tidemark.plans import features as ft
 from tidemark.sources import raw_cache, store
 from tidemark.streaming import ingest

@@ -11,20 +11,20 @@ MISSES = (("fg2_att", "fg2_made"), ("fg3_att", "fg3_made"), ("ft_att", "ft_made"
 MINUS = ("turnovers", "blocks_against", "fouls_committed")
 
 
-def _whole(name: str) -> Column:
-    c = F.col(name)
-    return F.when(c != F.floor(c), F.raise_error(F.lit(f"{name} is not an integer"))).otherwise(c.cast("bigint"))
-
-
 def rating(columns: dict[str, str] | None = None) -> Column:
-    """Performance index: PLUS, less attempts missed, less MINUS. columns: other names for the terms."""
+    """Performance index: PLUS, less attempts missed, less MINUS. columns: other names for the terms. A part of a point is an error."""
     name = (columns or {}).get
-    total = sum((_whole(name(c, c)) for c in PLUS[1:]), _whole(name(PLUS[0], PLUS[0])))
+    terms = {c: F.col(name(c, c)) for c in (*PLUS, *[x for pair in MISSES for x in pair], *MINUS)}
+    broken = F.coalesce(*[F.when(c != F.floor(c), F.lit(name(k, k))) for k, c in terms.items()])
+    whole = {k: c.cast("bigint") for k, c in terms.items()}
+    total = whole[PLUS[0]]
+    for c in PLUS[1:]:
+        total = total + whole[c]
     for tried, made in MISSES:
-        total = total - (_whole(name(tried, tried)) - _whole(name(made, made)))
+        total = total - (whole[tried] - whole[made])
     for c in MINUS:
-        total = total - _whole(name(c, c))
-    return total
+        total = total - whole[c]
+    return F.when(broken.isNotNull(), F.raise_error(F.concat(broken, F.lit(" is not an integer"))).cast("bigint")).otherwise(total)
 
 
 def bonus_score(rating_: Column | str, won: Column | str) -> Column:

@@ -80,9 +80,9 @@ def context_issues(rows: DataFrame, games: DataFrame) -> DataFrame:
 
 
 def score_issues(games: DataFrame, totals: DataFrame) -> DataFrame:
-    """A team's points in its total row against the game's score."""
+    """A team's points in its total row against the game's score; a team of neither side has none (see context_issues)."""
     joined = totals.join(games, ["season", "gamecode"])
-    score = F.when(F.col("team_code") == F.col("home_code"), F.col("home_score")).otherwise(F.col("away_score"))
+    score = F.when(F.col("team_code") == F.col("home_code"), F.col("home_score")).when(F.col("team_code") == F.col("away_code"), F.col("away_score"))
     joined = joined.withColumn("score", score)
     return issues(joined, "score_mismatch", "warning", F.col("points") != F.col("score"), F.col("team_code"), _pairs("points", "score"))
 
@@ -98,11 +98,16 @@ def conflict_issues(results: DataFrame, schedule: DataFrame, columns: list[str])
 
 
 def name_anomalies(df: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    """(kind, subject, detail): ids with several names, names with several ids; ids never merge."""
+    """(kind, subject, other, n): ids with several names, names with several ids; ids never merge.
+
+    One row for each distinct pair, n: how many others the subject has. Distinct pairs are counted before they are
+    joined, so a name of very many ids is never gathered in one row.
+    """
+    pairs = df.select(F.col(id_col).cast("string").alias("id"), F.col(name_col).cast("string").alias("name")).distinct()
     two = []
-    for kind, by, other in (("one_id_many_names", id_col, name_col), ("one_name_many_ids", name_col, id_col)):
-        grouped = df.groupBy(by).agg(F.sort_array(F.collect_set(F.col(other).cast("string"))).alias("v")).where("size(v) > 1")
-        two.append(grouped.select(F.lit(kind).alias("kind"), F.col(by).cast("string").alias("subject"), F.concat_ws(" | ", "v").alias("detail")))
+    for kind, by, other in (("one_id_many_names", "id", "name"), ("one_name_many_ids", "name", "id")):
+        many = pairs.groupBy(F.col(by).alias("subject")).agg(F.count(other).alias("n")).where("n > 1")
+        two.append(pairs.join(many, F.col(by) == F.col("subject")).where(F.col(other).isNotNull()).select(F.lit(kind).alias("kind"), "subject", F.col(other).alias("other"), "n"))
     return two[0].unionByName(two[1])
 
 

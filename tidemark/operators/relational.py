@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordering import numbered
 from tidemark.schemas import assert_columns
 
 
@@ -58,8 +59,8 @@ def latest_row(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 
 def ranked(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
-    """Position in the whole order, whatever page is cut later. One row for each ranked entity meets in one task: rank results, not events."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """Position in the whole order, which must be total, whatever page is cut later."""
+    return numbered(df, order, out)
 
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
@@ -82,8 +83,11 @@ def lineup_total(picks: DataFrame, order: list[Column], value: str, starters: in
 
 
 def content_digest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(rows, digest): the sum of the rows' md5 prefixes modulo 2^64, whatever their order."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    """(rows, digest): the sum of the rows' md5 prefixes modulo 2^64, whatever their order.
+
+    A value is led by its length, a null is a bare tilde, so no two rows read alike.
+    """
+    text = F.concat(*[F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("~")) for c in columns])
     hashed = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("rows"), F.pmod(F.sum(hashed), F.expr("cast(18446744073709551616 as decimal(38,0))")).cast("decimal(38,0)").cast("string").alias("digest"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import local_to_utc, minutes_played, month_day_year, text_true
@@ -28,6 +28,10 @@ class Clean:
     player_games: DataFrame
     issues: DataFrame
 
+    def release(self) -> None:
+        for df in (self.games, self.player_games):
+            df.unpersist()
+
 
 def split_rows(box: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(players, team rows, totals), told apart by the trimmed id."""
@@ -103,11 +107,14 @@ def attach_context(rows: DataFrame, games: DataFrame) -> DataFrame:
 
 
 def clean(box: DataFrame, results: DataFrame, schedule: DataFrame) -> Clean:
-    """All tables and all issues; nothing is written and errors do not raise here (see quality.gate)."""
+    """All tables and all issues; nothing is written and errors do not raise here (see quality.gate).
+
+    Parsed rows, games and scored rows are persisted, since every table and check reads them again.
+    """
     players, team, total = split_rows(box)
-    rows, totals, team_part = player_rows(players), player_rows(total), player_rows(team)
-    r, s = results_rows(results), schedule_rows(schedule)
-    games = game_rows(r, s, totals)
+    rows, totals, team_part = player_rows(players).persist(), player_rows(total).persist(), player_rows(team)
+    r, s = results_rows(results).persist(), schedule_rows(schedule).persist()
+    games = game_rows(r, s, totals).persist()
     found = union_all(
         [
             quality.box_score_issues(rows),
@@ -119,7 +126,7 @@ def clean(box: DataFrame, results: DataFrame, schedule: DataFrame) -> Clean:
         ]
     )
     whole = rows.where(F.size(quality.null_columns(["season", "gamecode", "player_id", "team_code", *COUNTERS])) == 0)
-    return Clean(team_rows(r, s), player_table(rows, games), games.drop("home_name", "away_name"), attach_context(whole, games), found)
+    return Clean(team_rows(r, s), player_table(rows, games), games.drop("home_name", "away_name").persist(), attach_context(whole, games).persist(), found)
 
 
 def season_summary(player_games: DataFrame, games: DataFrame) -> DataFrame:
@@ -135,6 +142,15 @@ def load_checks(player_games: DataFrame, games: DataFrame, accepted: list[tuple[
     bare = games.where("played").join(player_games.select("season", "gamecode").distinct(), ["season", "gamecode"], "left_anti")
     if accepted:
         bare = bare.join(bare.sparkSession.createDataFrame(list(accepted), "season int, gamecode int"), ["season", "gamecode"], "left_anti")
-    scored = player_games.withColumn("again", rating()).withColumn("score", bonus_score("pir", "won"))
-    rules = [("rating equals the source's", scored.where("pir <> valuation")), ("rating as recomputed", scored.where("pir <> again")), ("score rule", scored.where("abs(score - fantasy_score) > 1e-9")), ("one winner", pair.where("winners <> 1")), ("two teams", pair.where("teams <> 2")), ("games without rows", bare)]
-    return union_all([df.agg(F.count("*").alias("broken")).select(F.lit(k).alias("rule"), "broken") for k, df in rules])
+    again, score = rating(), bonus_score("pir", "won")
+    rules = {"rating equals the source's": F.col("pir") != F.col("valuation"), "rating as recomputed": F.col("pir") != again, "score rule": F.abs(score - F.col("fantasy_score")) > 1e-9}
+    by_side = {"one winner": F.col("winners") != 1, "two teams": F.col("teams") != 2}
+    parts = [_counted(player_games, rules), _counted(pair, by_side), _counted(bare, {"games without rows": F.lit(True)})]
+    return union_all(parts)
+
+
+def _counted(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(rule, broken) of all rules that read df, in one aggregate."""
+    one = df.agg(*[F.count_if(broken).alias(f"r{i}") for i, broken in enumerate(rules.values())])
+    listed = F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"r{i}").alias("broken")) for i, k in enumerate(rules)])
+    return one.select(F.explode(listed).alias("r")).select("r.*")

@@ -142,11 +142,11 @@ def fit_ridge(fit: DataFrame, alpha: float, target: str = "fantasy_score", prepa
 def fit_trees(train: DataFrame, validation: DataFrame | None, target: str = "fantasy_score", loss: str = "absolute", rounds: int = 60, depth: int = 4, step: float = 0.1, seed: int = 42, preparation: Preparation | None = None) -> Model:
     """Boosted trees; with validation rows the rounds stop early on them. Nulls get the median and an indicator."""
     p = preparation or prepare(train)
-    gbt = GBTRegressor(lossType=loss, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, minInstancesPerNode=10, seed=seed)
+    stop = {} if validation is None else {"validationIndicatorCol": "held", "validationTol": 0.001}
+    gbt = GBTRegressor(lossType=loss, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, minInstancesPerNode=10, seed=seed, **stop)
     rows = train.withColumn("held", F.lit(False))
     if validation is not None:
         rows = rows.unionByName(validation.withColumn("held", F.lit(True)))
-        gbt = gbt.setValidationIndicatorCol("held").setValidationTol(0.001)
     model = gbt.fit(p.scaled(rows, False).withColumn("label", F.col(target).cast("double")))
     return Model("trees", target, p, model, {"loss": loss, "rounds": model.getNumTrees, "depth": depth, "step": step})
 

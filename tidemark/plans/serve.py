@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import canonical_id, contains_words, round2, search_key
@@ -12,6 +12,7 @@ from tidemark.operators.league import two_sided
 from tidemark.operators.relational import latest_row, page, ranked
 from tidemark.operators.timeline import effective_time, micros
 from tidemark.plans.features import build_features
+from tidemark.sources import tables
 
 ACTIVE_DAYS = 45
 
@@ -68,6 +69,31 @@ def predict(history: DataFrame, games: DataFrame, as_of: str, model: Callable[[D
     return out.where("active") if active_only else out
 
 
+def predict_player(history: DataFrame, games: DataFrame, player_id: str, as_of: str, model: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The prediction for one player, active or not; no row for an unknown one. Team and league features still come from all rows."""
+    return predict(history, games, as_of, model, active_only=False).where(F.col("player_id") == canonical_id(F.lit(player_id)))
+
+
+class Loaded:
+    """History and games of a folder of stored tables, persisted until refreshed."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        self._read()
+
+    def _read(self) -> None:
+        self.history, self.games = tables.history(self.spark, self.root).persist(), tables.games(self.spark, self.root).persist()
+        self.latest = self.history.agg(F.max("game_date")).first()[0]
+
+    def refresh(self) -> tuple:
+        """Read the tables again; the latest played day before and after."""
+        old, before = (self.history, self.games), self.latest
+        self._read()
+        for df in old:
+            df.unpersist()
+        return before, self.latest
+
+
 def with_availability(predictions: DataFrame, availability: DataFrame, today: str | None = None) -> DataFrame:
     """effective: 0 for players who are out. notes: status, and a return date that has passed (only where today is given)."""
     joined = predictions.join(availability.select("player_id", "status", "expected_return"), "player_id", "left")

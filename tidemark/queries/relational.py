@@ -9,6 +9,7 @@ from tidemark.functions import parsing, scoring
 from tidemark.operators import league, quality
 from tidemark.operators import relational as rel
 from tidemark.operators import timeline as tm
+from tidemark.operators.ordering import numbered
 from tidemark.queries.timelines import GAMES_SQL, games, orders_timeline, read, sides
 from tidemark.sources import store
 
@@ -29,8 +30,8 @@ def history_scan(spark, sf_dir):
 
 def full_outer_flags(spark, sf_dir):
     o = _orders(spark, sf_dir)
-    a = o.where("o_orderkey % 3 <> 0").select("o_orderkey", F.col("cents").alias("cents_a"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus")).alias("status_a"))
-    b = o.where("o_orderkey % 4 <> 0").select("o_orderkey", F.col("cents").alias("cents_b"), F.col("o_orderstatus").alias("status_b"))
+    a = o.where("day < '1997-07-01'").select("o_orderkey", F.col("cents").alias("cents_a"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus")).alias("status_a"))
+    b = o.where("day >= '1994-01-01'").select("o_orderkey", F.col("cents").alias("cents_b"), F.col("o_orderstatus").alias("status_b"))
     joined = rel.flagged_outer_join(a, b, ["o_orderkey"])
     return joined.select("o_orderkey", "side", F.coalesce("cents_a", "cents_b").alias("cents"), F.coalesce("status_a", "status_b").alias("status"))
 
@@ -66,8 +67,8 @@ def anti_semi(spark, sf_dir):
 
 def outer_arith(spark, sf_dir):
     li, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
-    a = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q"), F.count("*").alias("n"))
-    b = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 97).alias("q"), F.lit(4).cast("long").alias("n"))
+    a = li.where("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q"), F.count("*").alias("n"))
+    b = o.select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 97).alias("q"), F.lit(4).cast("long").alias("n"))
     return rel.outer_difference(a, b, ["k"], ["q", "n"])
 
 
@@ -96,7 +97,7 @@ def latest_name(spark, sf_dir):
 
 
 def distinct_gt_one(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_custkey % 20 = 1")
+    o = read(spark, sf_dir, "orders")
     return quality.name_anomalies(o.select(F.col("o_custkey").cast("string").alias("id"), F.col("o_orderpriority").alias("name")), "id", "name")
 
 
@@ -121,8 +122,8 @@ def table_aggregates(spark, sf_dir):
 
 
 def content_digest(spark, sf_dir):
-    n = read(spark, sf_dir, "nation")
-    return rel.content_digest(n, ["n_nationkey", "n_name", "n_regionkey"])
+    c = read(spark, sf_dir, "customer")
+    return rel.content_digest(c, ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
 
 
 def reg_metrics(spark, sf_dir):
@@ -156,11 +157,11 @@ def baseline_chain(spark, sf_dir):
     return df.where("season >= 1997").select("o_orderkey", F.coalesce(F.when(F.col("prior.season") >= F.col("season") - 1, F.col("prior.m5")), F.col("mean")).alias("rolling_or_mean"), F.coalesce(F.col("prior.m5"), F.col("median")).alias("rolling_or_median"))
 
 
-def bootstrap_stat(spark, sf_dir, rounds: int = 50):
+def bootstrap_stat(spark, sf_dir, rounds: int = 1000):
     """Paired cluster bootstrap of a mean difference by user: draws by a fixed rule, sums per cluster first."""
     e = read(spark, sf_dir, "events").select("user_id", F.round("value").cast("long").alias("y"), (F.col("event_id") % 100).alias("p"))
     clusters = e.groupBy("user_id").agg(F.sum(F.abs(F.col("y") - F.col("p")) - F.abs(F.col("y") - 50)).alias("d"), F.count("*").alias("n"))
-    clusters = clusters.withColumn("g", F.row_number().over(Window.orderBy("user_id")) - 1)  # one row a cluster
+    clusters = numbered(clusters, ["user_id"]).withColumn("g", (F.col("no") - 1).cast("int"))
     many = clusters.agg(F.count("*").alias("many"))
     draws = clusters.select("g").crossJoin(F.broadcast(many)).select(F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("i"), "g", "many")
     draws = draws.withColumn("pick", F.pmod(F.col("i") * 7919 + F.col("g") * (2 * F.col("i") + 3) + F.col("g") * F.col("g"), F.col("many")).cast("int"))
@@ -174,7 +175,7 @@ def capped_top_k(spark, sf_dir):
 
 
 def lineup_total(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").where("c_custkey % 9 <> 0").select("c_custkey", F.col("c_nationkey").alias("team"), F.round(F.col("c_acctbal") * 100).cast("long").alias("value"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("team"), F.round(F.col("c_acctbal") * 100).cast("long").alias("value"))
     order = [F.desc("value"), F.asc("c_custkey")]
     return rel.lineup_total(rel.capped_top(c, "team", order, 6, 10), order, "value")
 
@@ -193,16 +194,16 @@ def ranked_slice(spark, sf_dir):
 
 def union_precedence(spark, sf_dir):
     o = _orders(spark, sf_dir)
-    a = o.where("o_orderkey % 3 = 0").select("o_custkey", "day", "o_orderkey", F.lit("games").alias("origin"))
-    b = o.where("o_orderkey % 2 = 0").select("o_custkey", "day", "o_orderkey", F.lit("history").alias("origin"))
+    a = o.where("o_orderstatus = 'P'").select("o_custkey", "day", "o_orderkey", F.lit("games").alias("origin"))
+    b = o.where("o_orderstatus = 'F'").select("o_custkey", "day", "o_orderkey", F.lit("history").alias("origin"))
     c = o.select("o_custkey", "day", F.lit("upcoming").alias("origin"), "o_orderkey")
     return rel.first_by_precedence([a, b, c], ["o_custkey"], ["day", "o_orderkey"]).withColumn("day", F.col("day").cast("string"))
 
 
 def set_diff(spark, sf_dir):
-    a = read(spark, sf_dir, "orders").where("o_orderkey % 3 <> 1").select(F.col("o_orderkey").alias("k"))
+    a = read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"))
     b = read(spark, sf_dir, "lineitem").where("l_quantity > 20").select(F.col("l_orderkey").alias("k"))
-    return a.subtract(b).withColumn("kind", F.lit("minus")).unionByName(a.intersect(b).withColumn("kind", F.lit("both"))).unionByName(a.union(b).distinct().where("k % 100 = 0").withColumn("kind", F.lit("either")))
+    return a.subtract(b).withColumn("kind", F.lit("minus")).unionByName(a.intersect(b).withColumn("kind", F.lit("both"))).unionByName(a.union(b).distinct().withColumn("kind", F.lit("either")))
 
 
 _TERMS = {t: f"(l_quantity::BIGINT * {3 + i} + l_linenumber * {i}) % 23" for i, t in enumerate((*scoring.PLUS, *[x for pair in scoring.MISSES for x in pair], *scoring.MINUS))}
@@ -220,8 +221,8 @@ def date_time_parse(spark, sf_dir):
     o = _orders(spark, sf_dir)
     rows = o.select("o_orderkey", "day", F.date_format("day", "MMM dd, yyyy").alias("text"), F.concat((F.col("o_orderkey") % 24).cast("string"), F.lit(":"), F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0")).alias("clock"), F.when(F.col("o_orderkey") % 9 == 0, "DNP").when(F.col("o_orderkey") % 9 == 1, " ").otherwise(F.concat((F.col("o_orderkey") % 45).cast("string"), F.lit(":"), F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0"))).alias("played"))
     m = parsing.minutes_played("played")
-    safe = F.col("o_orderkey") % 24 > 3  # hours that exist once in every zone's day
-    return rows.select("o_orderkey", parsing.month_day_year("text").cast("string").alias("day"), F.when(safe, F.unix_micros(parsing.local_to_utc("day", "clock").cast("timestamp"))).alias("utc_us"), F.round(m["minutes"], 6).alias("minutes"), m["dnp"].alias("dnp"), parsing.season_of("day").cast("long").alias("season"))
+    utc = F.unix_micros(parsing.local_to_utc("day", "clock").cast("timestamp"))  # of a repeated hour the first counts
+    return rows.select("o_orderkey", parsing.month_day_year("text").cast("string").alias("day"), utc.alias("utc_us"), F.round(m["minutes"], 6).alias("minutes"), m["dnp"].alias("dnp"), parsing.season_of("day").cast("long").alias("season"))
 
 
 def search_tokens(spark, sf_dir):
@@ -257,7 +258,7 @@ def keyed_merge(spark, sf_dir):
     """Customers' first and last order year and name, merged from two loads with the player's rules."""
     o = _orders(spark, sf_dir).withColumn("y", F.year("day"))
     make = lambda rows, name: rows.groupBy(F.col("o_custkey").cast("string").alias("player_id")).agg(F.lit(name).alias("name"), F.min("y").cast("int").alias("first_season"), F.max("y").cast("int").alias("last_season"))
-    old, new = make(o.where("o_orderkey % 3 = 0"), "old"), make(o.where("o_orderkey % 3 = 1"), "new")
+    old, new = make(o.where("o_orderstatus <> 'O'"), "old"), make(o.where("o_orderstatus = 'O'"), "new")
     return store.merge(old, new, ["player_id"], store.PLAYER_RESOLVER)
 
 
@@ -301,18 +302,18 @@ def neutral_rows(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (history_scan, full_outer_flags, validated_left_join, rows_per_customer, two_side_feature_join, anti_semi, outer_arith, three_way_eval, group_complete_flag, latest_name, distinct_gt_one, season_summary, two_level_winner, table_aggregates, content_digest, reg_metrics, segments, baseline_chain, bootstrap_stat, capped_top_k, lineup_total, page_with_total, ranked_slice, union_precedence, set_diff, score_formula, date_time_parse, search_tokens, override_status, quality_issues, keyed_merge, post_load_verify, latest_next_row, active_set, neutral_rows)}
 
 _pir = " + ".join(_TERMS[t] for t in scoring.PLUS) + "".join(f" - ({_TERMS[a]} - {_TERMS[m]})" for a, m in scoring.MISSES) + "".join(f" - {_TERMS[t]}" for t in scoring.MINUS)
-_names = "SELECT CAST(o_custkey AS VARCHAR) AS id, o_orderpriority AS name FROM orders WHERE o_custkey % 20 = 1"
+_names = "SELECT CAST(o_custkey AS VARCHAR) AS id, o_orderpriority AS name FROM orders"
 _issue = lambda check, severity, where: f"SELECT '{check}' AS check_, '{severity}' AS severity, player_id AS key FROM w WHERE {where}"
 
 SQL = {
     "history_scan": "SELECT o_orderkey, o_custkey, count(*) AS lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS returned FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY ALL",
-    "full_outer_flags": f"""WITH {_O}, a AS (SELECT o_orderkey, cents, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS s FROM o WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey, cents, o_orderstatus AS s FROM o WHERE o_orderkey % 4 <> 0)
+    "full_outer_flags": f"""WITH {_O}, a AS (SELECT o_orderkey, cents, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS s FROM o WHERE day < '1997-07-01'), b AS (SELECT o_orderkey, cents, o_orderstatus AS s FROM o WHERE day >= '1994-01-01')
         SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'right_only' WHEN b.o_orderkey IS NULL THEN 'left_only' ELSE 'both' END AS side, coalesce(a.cents, b.cents) AS cents, coalesce(a.s, b.s) AS status FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey""",
     "validated_left_join": "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN -1 ELSE o_custkey END AS o_custkey FROM orders) SELECT o_orderkey, o_custkey, CAST(c_nationkey AS BIGINT) AS nation, c_mktsegment FROM o LEFT JOIN customer ON o_custkey = c_custkey",
     "rows_per_customer": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
     "two_side_feature_join": f"WITH {GAMES_SQL}, t AS (SELECT gamecode, team, opp, row_number() OVER (PARTITION BY team ORDER BY ts, gamecode) AS no, own_score AS scored FROM sides) SELECT a.gamecode, a.team, a.opp, a.no, b.no AS opp_no, a.scored, b.scored AS opp_scored, b.no IS NOT NULL AS known FROM t a LEFT JOIN t b ON a.gamecode = b.gamecode AND a.opp = b.team",
     "anti_semi": "SELECT 'customer without order' AS kind, c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) UNION ALL SELECT 'open with large line', o_orderkey FROM orders WHERE o_orderstatus = 'O' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)",
-    "outer_arith": "WITH a AS (SELECT l_orderkey AS k, sum(CAST(l_quantity AS BIGINT)) AS q, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT o_orderkey AS k, o_orderkey % 97 AS q, 4 AS n FROM orders WHERE o_orderkey % 2 = 0) SELECT coalesce(a.k, b.k) AS k, CAST(coalesce(a.q, 0) - coalesce(b.q, 0) AS BIGINT) AS q, CAST(coalesce(a.n, 0) - coalesce(b.n, 0) AS BIGINT) AS n FROM a FULL JOIN b ON a.k = b.k",
+    "outer_arith": "WITH a AS (SELECT l_orderkey AS k, sum(CAST(l_quantity AS BIGINT)) AS q, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1), b AS (SELECT o_orderkey AS k, o_orderkey % 97 AS q, 4 AS n FROM orders) SELECT coalesce(a.k, b.k) AS k, CAST(coalesce(a.q, 0) - coalesce(b.q, 0) AS BIGINT) AS q, CAST(coalesce(a.n, 0) - coalesce(b.n, 0) AS BIGINT) AS n FROM a FULL JOIN b ON a.k = b.k",
     "three_way_eval": """WITH box AS (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) AS actual FROM lineitem GROUP BY 1),
         j AS (SELECT 'v' || (event_id % 3) AS version, CAST(round(value) AS BIGINT) AS predicted, actual, CASE WHEN o_orderstatus = 'O' THEN 'pending' WHEN actual IS NULL THEN 'not_in_boxscore' WHEN actual < 20 THEN 'dnp' ELSE 'appeared' END AS status FROM events JOIN orders ON event_id = o_orderkey LEFT JOIN box ON o_orderkey = l_orderkey)
         SELECT version, count(*) AS n, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'not_in_boxscore') AS not_in_boxscore, count(*) FILTER (status = 'dnp') AS dnp, count(*) FILTER (status = 'appeared') AS appeared,
@@ -322,12 +323,14 @@ SQL = {
     "latest_name": f"""WITH {_O}, n AS (SELECT *, CASE WHEN o_orderkey % 4 <> 0 THEN 'n' || (o_orderkey % 3) END AS name, CASE WHEN o_orderkey % 6 <> 0 THEN day END AS d FROM o),
         l AS (SELECT o_custkey, name FROM n WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY d DESC NULLS FIRST, o_orderkey DESC) = 1)
         SELECT s.o_custkey, name, first_season, last_season FROM (SELECT o_custkey, min(year(day)) AS first_season, max(year(day)) AS last_season FROM o GROUP BY 1) s LEFT JOIN l USING (o_custkey)""",
-    "distinct_gt_one": f"WITH x AS ({_names}) SELECT 'one_id_many_names' AS kind, id AS subject, string_agg(DISTINCT name, ' | ' ORDER BY name) AS detail FROM x GROUP BY id HAVING count(DISTINCT name) > 1 UNION ALL SELECT 'one_name_many_ids', name, string_agg(DISTINCT id, ' | ' ORDER BY id) FROM x GROUP BY name HAVING count(DISTINCT id) > 1",
+    "distinct_gt_one": f"WITH x AS (SELECT DISTINCT * FROM ({_names})) SELECT 'one_id_many_names' AS kind, id AS subject, name AS other, count(*) OVER (PARTITION BY id) AS n FROM x QUALIFY n > 1 UNION ALL SELECT 'one_name_many_ids', name, id, count(*) OVER (PARTITION BY name) AS n FROM x QUALIFY n > 1",
     "season_summary": f"""WITH {_O}, g AS (SELECT year(day) AS season, count(*) AS games, count(*) FILTER (o_orderstatus = 'F') AS played, count(DISTINCT o_custkey) AS customers, max(cents) AS largest FROM o GROUP BY 1), r AS (SELECT year(l_shipdate) AS season, count(*) AS rows, count(*) FILTER (l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1)
         SELECT coalesce(g.season, r.season) AS season, games, played, customers, largest, rows, returned, round(CAST(rows AS DOUBLE) / nullif(games, 0), 2) AS rows_per_game FROM g FULL JOIN r ON g.season = r.season""",
     "two_level_winner": f"WITH {GAMES_SQL}, t AS (SELECT gamecode, team, max(CAST(own_score > opp_score AS BIGINT)) AS won FROM sides GROUP BY 1, 2) SELECT gamecode, CAST(sum(won) AS BIGINT) AS winners, count(*) AS teams FROM t GROUP BY 1 HAVING sum(won) <> 1 OR count(*) <> 2",
     "table_aggregates": f"WITH {_O} SELECT count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents, CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VARCHAR) AS last, count(*) FILTER (o_orderstatus = 'F') AS done, CAST(max(day) FILTER (o_orderstatus = 'F') AS VARCHAR) AS last_done, CAST(min(day) FILTER (o_orderstatus = 'O') AS VARCHAR) AS next_open FROM o",
-    "content_digest": "SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(n_nationkey || '|' || n_name || '|' || n_regionkey), 1, 15) AS BIGINT)) % 18446744073709551616 AS VARCHAR) AS digest FROM nation",
+    "content_digest": "SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5("
+    + " || ".join(f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '~')" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+    + "), 1, 15) AS BIGINT)) % 18446744073709551616 AS VARCHAR) AS digest FROM customer",
     "reg_metrics": """WITH e AS (SELECT event_type, CAST(round(value) AS BIGINT) AS y, user_id % 100 AS p FROM events)
         SELECT event_type, count(*) AS n, CAST(sum(abs(p - y)) AS DOUBLE) / count(*) AS mae, round(sqrt(CAST(sum((p - y) * (p - y)) AS DOUBLE) / count(*)), 6) AS rmse,
         round(1 - CAST(count(*) * sum((p - y) * (p - y)) AS DOUBLE) / CAST(nullif(count(*) * sum(y * y) - sum(y) * sum(y), 0) AS DOUBLE), 6) AS r2, CAST(sum(p - y) AS DOUBLE) / count(*) AS bias FROM e GROUP BY 1""",
@@ -339,18 +342,19 @@ SQL = {
         fit AS (SELECT CAST(sum(cents) AS DOUBLE) / count(*) AS mean, median(cents) AS median FROM o WHERE season < 1996 AND is_event)
         SELECT b.o_orderkey, coalesce(CASE WHEN p.season >= b.season - 1 THEN m5 END, mean) AS rolling_or_mean, coalesce(m5, median) AS rolling_or_median FROM (SELECT * FROM o WHERE season >= 1997) b ASOF LEFT JOIN final p ON b.o_custkey = p.o_custkey AND b.ts > p.ts CROSS JOIN fit""",
     "bootstrap_stat": """WITH c AS (SELECT user_id, CAST(sum(abs(CAST(round(value) AS BIGINT) - event_id % 100) - abs(CAST(round(value) AS BIGINT) - 50)) AS BIGINT) AS d, count(*) AS n FROM events GROUP BY 1), g AS (SELECT *, row_number() OVER (ORDER BY user_id) - 1 AS g, count(*) OVER () AS big FROM c),
-        draws AS (SELECT i, (i * 7919 + g * (2 * i + 3) + g * g) % big AS pick FROM g, range(50) r(i)), s AS (SELECT i, CAST(sum(d) AS DOUBLE) / sum(n) AS s FROM draws JOIN g ON pick = g.g GROUP BY i)
+        draws AS (SELECT i, (i * 7919 + g * (2 * i + 3) + g * g) % big AS pick FROM g, range(1000) r(i)), s AS (SELECT i, CAST(sum(d) AS DOUBLE) / sum(n) AS s FROM draws JOIN g ON pick = g.g GROUP BY i)
         SELECT round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high, CAST(count(*) FILTER (s < 0) AS DOUBLE) / count(*) AS share_below FROM s""",
     "capped_top_k": "WITH c AS (SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS team, CAST(round(c_acctbal * 100) AS BIGINT) AS value FROM customer) SELECT * FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY team ORDER BY value DESC, c_custkey) <= 6) ORDER BY value DESC, c_custkey LIMIT 100",
-    "lineup_total": "WITH c AS (SELECT c_custkey, c_nationkey AS team, CAST(round(c_acctbal * 100) AS BIGINT) AS value FROM customer WHERE c_custkey % 9 <> 0), t AS (SELECT * FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY team ORDER BY value DESC, c_custkey) <= 6) ORDER BY value DESC, c_custkey LIMIT 10), p AS (SELECT *, row_number() OVER (ORDER BY value DESC, c_custkey) AS p FROM t) SELECT sum(value * CASE WHEN p = 1 THEN 2.0::DOUBLE WHEN p <= 6 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) AS total, count(*) AS picks FROM p",
+    "lineup_total": "WITH c AS (SELECT c_custkey, c_nationkey AS team, CAST(round(c_acctbal * 100) AS BIGINT) AS value FROM customer), t AS (SELECT * FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY team ORDER BY value DESC, c_custkey) <= 6) ORDER BY value DESC, c_custkey LIMIT 10), p AS (SELECT *, row_number() OVER (ORDER BY value DESC, c_custkey) AS p FROM t) SELECT sum(value * CASE WHEN p = 1 THEN 2.0::DOUBLE WHEN p <= 6 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) AS total, count(*) AS picks FROM p",
     "page_with_total": f"WITH {_O} SELECT o_orderkey, cents, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS total FROM o WHERE o_orderstatus = 'P' ORDER BY cents DESC, o_orderkey LIMIT 50 OFFSET 20",
     "ranked_slice": "WITH c AS (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS model, c_custkey % 7 = 0 AS is_out FROM customer), e AS (SELECT *, CASE WHEN is_out THEN 0 ELSE model END AS effective FROM c) SELECT *, row_number() OVER (ORDER BY is_out, effective DESC, model DESC, c_custkey) AS rank FROM e QUALIFY rank > 100 AND rank <= 300",
-    "union_precedence": f"WITH {_O}, u AS (SELECT o_custkey, day, o_orderkey, 'games' AS origin, 0 AS part FROM o WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_custkey, day, o_orderkey, 'history', 1 FROM o WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, day, o_orderkey, 'upcoming', 2 FROM o) SELECT o_custkey, CAST(day AS VARCHAR) AS day, o_orderkey, origin FROM u QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY part, day, o_orderkey) = 1",
-    "set_diff": "WITH a AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 1), b AS (SELECT l_orderkey AS k FROM lineitem WHERE l_quantity > 20) SELECT k, 'minus' AS kind FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT k, 'both' FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT k, 'either' FROM (SELECT k FROM a UNION SELECT k FROM b) WHERE k % 100 = 0",
+    "union_precedence": f"WITH {_O}, u AS (SELECT o_custkey, day, o_orderkey, 'games' AS origin, 0 AS part FROM o WHERE o_orderstatus = 'P' UNION ALL SELECT o_custkey, day, o_orderkey, 'history', 1 FROM o WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, day, o_orderkey, 'upcoming', 2 FROM o) SELECT o_custkey, CAST(day AS VARCHAR) AS day, o_orderkey, origin FROM u QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY part, day, o_orderkey) = 1",
+    "set_diff": "WITH a AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P'), b AS (SELECT l_orderkey AS k FROM lineitem WHERE l_quantity > 20) SELECT k, 'minus' AS kind FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT k, 'both' FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT k, 'either' FROM (SELECT k FROM a UNION SELECT k FROM b)",
     "score_formula": f"WITH r AS (SELECT l_orderkey, l_partkey % 2 = 0 AS won, {_pir} AS pir FROM lineitem), s AS (SELECT *, CASE WHEN won THEN CAST(pir * 10 + abs(pir) AS DOUBLE) / 10 ELSE CAST(pir AS DOUBLE) END AS score FROM r) SELECT l_orderkey, CAST(sum(pir) AS BIGINT) AS pir, CAST(sum(CAST(trunc(score * 10) AS BIGINT)) AS BIGINT) AS score_tenths, min(score) AS least, max(score) AS most FROM s GROUP BY 1",
     "date_time_parse": """WITH o AS (SELECT o_orderkey, CAST(strptime(strftime(o_orderdate, '%b %d, %Y'), '%b %d, %Y') AS DATE) AS day FROM orders)
-        SELECT o_orderkey, CAST(day AS VARCHAR) AS day, CASE WHEN o_orderkey % 24 > 3 THEN epoch_us((CAST(day AS TIMESTAMP) + to_hours(o_orderkey % 24) + to_minutes(o_orderkey % 60)) AT TIME ZONE 'Europe/Madrid') END AS utc_us,
-        CASE WHEN o_orderkey % 9 IN (0, 1) THEN 0.0 ELSE round(CAST(o_orderkey % 45 AS DOUBLE) + CAST(o_orderkey % 60 AS DOUBLE) / 60, 6) END AS minutes, o_orderkey % 9 = 0 AS dnp, year(day) - CAST(month(day) < 8 AS BIGINT) AS season FROM o""",
+        , w AS (SELECT *, CAST(day AS TIMESTAMP) + to_hours(o_orderkey % 24) + to_minutes(o_orderkey % 60) AS wall FROM o), u AS (SELECT *, wall AT TIME ZONE 'Europe/Madrid' AS utc FROM w)
+        SELECT o_orderkey, CAST(day AS VARCHAR) AS day, epoch_us(CASE WHEN (utc - INTERVAL 1 HOUR) AT TIME ZONE 'Europe/Madrid' = wall THEN utc - INTERVAL 1 HOUR ELSE utc END) AS utc_us,
+        CASE WHEN o_orderkey % 9 IN (0, 1) THEN 0.0 ELSE round(CAST(o_orderkey % 45 AS DOUBLE) + CAST(o_orderkey % 60 AS DOUBLE) / 60, 6) END AS minutes, o_orderkey % 9 = 0 AS dnp, year(day) - CAST(month(day) < 8 AS BIGINT) AS season FROM u""",
     "search_tokens": "WITH p AS (SELECT p_partkey, trim(regexp_replace(translate(translate(lower(p_name || '-' || p_brand), '''.', ''), '-/,', '   '), ' +', ' ', 'g')) AS key FROM part) SELECT * FROM p WHERE contains(key, 'brand') AND contains(key, '1')",
     "override_status": "WITH c AS (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS model, CASE c_custkey % 4 WHEN 0 THEN 'out' WHEN 1 THEN 'doubtful' WHEN 2 THEN 'available' END AS status FROM customer) SELECT c_custkey, CASE WHEN status = 'out' THEN 0 ELSE model END AS effective, concat_ws('; ', CASE WHEN status = 'out' THEN 'out' END, CASE WHEN status = 'doubtful' THEN 'doubtful' END, CASE WHEN model < 0 THEN 'negative' END) AS notes, CAST(CASE WHEN status = 'out' THEN 0 WHEN status = 'doubtful' THEN 1 WHEN status = 'available' THEN 2 ELSE 3 END AS BIGINT) AS severity FROM c",
     "quality_issues": """WITH k AS (SELECT o_orderkey AS k, o_custkey, year(o_orderdate) AS season FROM orders), r AS (SELECT season, k % 50 AS gamecode, 'P' || o_custkey AS player_id, k % 101 = 0 AS missing, k, count(*) OVER (PARTITION BY season, k % 50, o_custkey) AS n FROM k), w AS (SELECT *, NOT missing AS whole FROM r)
@@ -369,7 +373,7 @@ SQL = {
         )
     )
     + ") GROUP BY 1, 2",
-    "keyed_merge": """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS player_id, o_orderkey, CAST(year(o_orderdate) AS INT) AS y FROM orders), a AS (SELECT player_id, 'old' AS name, min(y) AS f, max(y) AS l FROM o WHERE o_orderkey % 3 = 0 GROUP BY 1), b AS (SELECT player_id, 'new' AS name, min(y) AS f, max(y) AS l FROM o WHERE o_orderkey % 3 = 1 GROUP BY 1)
+    "keyed_merge": """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS player_id, o_orderstatus, CAST(year(o_orderdate) AS INT) AS y FROM orders), a AS (SELECT player_id, 'old' AS name, min(y) AS f, max(y) AS l FROM o WHERE o_orderstatus <> 'O' GROUP BY 1), b AS (SELECT player_id, 'new' AS name, min(y) AS f, max(y) AS l FROM o WHERE o_orderstatus = 'O' GROUP BY 1)
         SELECT coalesce(a.player_id, b.player_id) AS player_id, CASE WHEN a.name IS NULL OR b.l >= a.l THEN b.name ELSE a.name END AS name, least(a.f, b.f) AS first_season, greatest(a.l, b.l) AS last_season FROM a FULL JOIN b ON a.player_id = b.player_id""",
     "post_load_verify": f"""WITH {GAMES_SQL}, p AS (SELECT gamecode, count(*) AS teams, sum(CAST(own_score > opp_score AS INT)) AS winners FROM sides GROUP BY 1)
         SELECT 'games without winner' AS rule, count(*) AS broken FROM p WHERE winners = 0 UNION ALL SELECT 'two teams', count(*) FROM p WHERE teams <> 2 UNION ALL SELECT 'same team', count(*) FROM games WHERE home_code = away_code UNION ALL SELECT 'played', count(*) FROM games WHERE home_score <= 0 OR away_score <= 0 UNION ALL SELECT 'large margin', count(*) FROM games WHERE abs(home_score - away_score) > 35""",

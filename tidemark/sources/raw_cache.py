@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import text_true
-from tidemark.sources.store import exists, replace, replace_groups, union_all
+from tidemark.sources.store import exists, load, replace, replace_groups, union_all
 
 KINDS = ("results", "schedule", "boxscores")
 
@@ -99,7 +99,7 @@ class RawCache:
         return exists(self.spark, self.where(kind, season))
 
     def read(self, kind: str, season: int) -> DataFrame:
-        return self.spark.read.parquet(self.where(kind, season)).withColumn("Season", F.lit(season))
+        return load(self.spark, self.where(kind, season)).withColumn("Season", F.lit(season))
 
     def write(self, kind: str, season: int, rows: DataFrame) -> None:
         replace(rows.drop("Season"), self.where(kind, season))
@@ -107,7 +107,7 @@ class RawCache:
     def append(self, season: int, rows: DataFrame, group: str = "Gamecode") -> None:
         """Box scores of some games, in place of what was cached of them."""
         if self.has("boxscores", season):
-            rows = replace_groups(self.spark.read.parquet(self.where("boxscores", season)), rows.drop("Season"), [group])
+            rows = replace_groups(load(self.spark, self.where("boxscores", season)), rows.drop("Season"), [group])
         self.write("boxscores", season, rows.orderBy(group))
 
     def codes(self, season: int) -> set[int]:
@@ -118,7 +118,7 @@ class RawCache:
     def gaps(self) -> dict[int, list[int]]:
         if not exists(self.spark, f"{self.path}/gaps"):
             return {}
-        return {r["season"]: sorted(r["codes"]) for r in self.spark.read.parquet(f"{self.path}/gaps").collect()}
+        return {r["season"]: sorted(r["codes"]) for r in load(self.spark, f"{self.path}/gaps").collect()}
 
     def set_gaps(self, season: int, codes: Iterable[int]) -> None:
         every = self.gaps() | {season: sorted(codes)}

@@ -1,7 +1,8 @@
-"""Parquet tables with keyed merges, replaced whole; copies, verification and order-insensitive digests."""
+"""Parquet tables with keyed merges, replaced by one rename; copies, verification and order-insensitive digests."""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -15,35 +16,101 @@ from tidemark.schemas import Table, assert_columns, empty
 Resolver = dict[str, Callable[[Column, Column], Column]]
 
 
+#: Beside the tables of a folder: which directories each one consists of now, and consisted of before.
+POINTERS = "_tables.json"
+
+
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def _split(path: str) -> tuple[str, str]:
+    root, _, name = path.rstrip("/").rpartition("/")
+    return root, name
+
+
+def _pointers(spark: SparkSession, root: str) -> dict:
+    p, fs = _path(spark, f"{root}/{POINTERS}")
+    if not fs.exists(p):
+        return {"tables": {}, "before": {}}
+    stream = fs.open(p)
+    try:
+        return json.loads(bytes(stream.readAllBytes()))
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, root: str, changed: dict[str, dict[str, str]]) -> None:
+    """Point the tables at new directories, all of them by one rename; what neither this nor the former state uses goes.
+
+    One writer at a time; readers of the former state keep their files until the publication after this one.
+    """
+    old = _pointers(spark, root)
+    new = {"tables": old["tables"] | changed, "before": old["tables"]}
+    p, fs = _path(spark, f"{root}/{POINTERS}.{uuid.uuid4().hex}")
+    out = fs.create(p)
+    out.write(bytearray(json.dumps(new).encode()))
+    out.close()
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark._sc._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    files.rename(p, _path(spark, f"{root}/{POINTERS}")[0], options)
+    used = {d for state in (new["tables"], new["before"]) for dirs in state.values() for d in dirs.values()}
+    for dirs in old["before"].values():
+        for d in set(dirs.values()) - used:
+            fs.delete(_path(spark, f"{root}/{d}")[0], True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
+    root, name = _split(path)
     p, fs = _path(spark, path)
-    return fs.exists(p)
+    return name in _pointers(spark, root)["tables"] or fs.exists(p)
+
+
+def bucket_of(key: tuple[str, ...] | list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def _written(df: DataFrame, root: str, name: str, key: tuple[str, ...] = (), buckets: int = 1) -> dict[str, str]:
+    """Directories by bucket ("" for a table of one piece)."""
+    new = f"{name}.{uuid.uuid4().hex}"
+    if buckets == 1:
+        df.write.parquet(f"{root}/{new}")
+        return {"": new}
+    df.withColumn("_b", bucket_of(key, buckets)).repartition(buckets, "_b").write.partitionBy("_b").parquet(f"{root}/{new}")
+    p, fs = _path(df.sparkSession, f"{root}/{new}")
+    found = [x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()]
+    return {f"{buckets}/{d.removeprefix('_b=')}": f"{new}/{d}" for d in found}
+
+
+def replace(df: DataFrame, path: str) -> None:
+    """Write a new directory, then point the table at it: readers see the old table or the new one, whole."""
+    root, name = _split(path)
+    _publish(df.sparkSession, root, {name: _written(df, root, name)})
 
 
-def replace(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Write beside path, then rename over it: readers see the old table or the new one."""
-    spark, new, old = df.sparkSession, f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"
-    df.write.partitionBy(*partition_by).parquet(new)
-    target, fs = _path(spark, path)
-    if fs.exists(target):
-        fs.rename(target, _path(spark, old)[0])
-    if not fs.rename(_path(spark, new)[0], target):
-        raise OSError(f"can't rename {new}")
-    if fs.exists(_path(spark, old)[0]):
-        fs.delete(_path(spark, old)[0], True)
+def replace_all(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> None:
+    """Replace several tables of a folder at once: all of them or, after any failure, none."""
+    _publish(spark, root, {name: _written(df, root, name) for name, df in tables.items()})
 
 
-def load(spark: SparkSession, path: str, table: Table | None = None, must_exist: bool = False) -> DataFrame:
-    if table and not exists(spark, path):
-        if must_exist:
+def load(spark: SparkSession, path: str, table: Table | None = None, must_exist: bool = False, only: list[int] | None = None) -> DataFrame:
+    """only: of a table in buckets, these alone."""
+    if not exists(spark, path):
+        if must_exist or not table:
             raise FileNotFoundError(path)
         return empty(spark, table.schema)
-    return spark.read.schema(table.schema).parquet(path) if table else spark.read.parquet(path)
+    root, name = _split(path)
+    dirs = _pointers(spark, root)["tables"].get(name)
+    if only is not None and dirs:
+        dirs = {k: d for k, d in dirs.items() if k.rpartition("/")[2] in {str(b) for b in only}}
+        if not dirs:
+            return empty(spark, table.schema)
+    paths = [path] if dirs is None else [f"{root}/{d}" for d in dirs.values()]
+    reader = spark.read.schema(table.schema) if table else spark.read
+    return reader.parquet(*paths) if paths else empty(spark, table.schema)
 
 
 def merge(old: DataFrame, new: DataFrame, key: list[str], resolve: Resolver | None = None, update: bool = True) -> DataFrame:
@@ -70,8 +137,18 @@ PLAYER_RESOLVER: Resolver = {
 }
 
 
-def upsert(spark: SparkSession, path: str, table: Table, new: DataFrame, resolve: Resolver | None = None, update: bool = True) -> None:
-    replace(merge(load(spark, path, table), new, list(table.key), resolve, update), path)
+def upsert(spark: SparkSession, path: str, table: Table, new: DataFrame, resolve: Resolver | None = None, update: bool = True, buckets: int = 1) -> None:
+    """Merge new into the table. buckets: a table made so keeps that many pieces, and only those with a key of new are read and written."""
+    root, name = _split(path)
+    dirs = _pointers(spark, root)["tables"].get(name) or {}
+    made = next((int(k.partition("/")[0]) for k in dirs if k), buckets if not dirs else 1)
+    if made == 1:
+        replace(merge(load(spark, path, table), new, list(table.key), resolve, update), path)
+        return
+    typed = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema.fields])
+    touched = [r[0] for r in typed.select(bucket_of(table.key, made).alias("b")).distinct().collect()]  # as many as buckets at most
+    merged = merge(load(spark, path, table, only=touched) if dirs else empty(spark, table.schema), typed, list(table.key), resolve, update)
+    _publish(spark, root, {name: dirs | _written(merged, root, name, table.key, made)})
 
 
 def delete_keys(spark: SparkSession, path: str, table: Table, keys: DataFrame) -> None:

@@ -10,15 +10,15 @@ from tidemark.schemas import Table
 from tidemark.sources.store import Resolver, load, upsert
 
 
-def merge_stream(spark: SparkSession, source: str, target: str, checkpoint: str, table: Table, resolve: Resolver | None = None, order: str | None = None) -> StreamingQuery:
+def merge_stream(spark: SparkSession, source: str, target: str, checkpoint: str, table: Table, resolve: Resolver | None = None, order: str | None = None, buckets: int = 16) -> StreamingQuery:
     """Merge the Parquet files that arrive under source into target, all there are now, then stop.
 
     Within a batch the last row of a key by `order` counts. The merge is idempotent, so a batch that is
-    delivered again after a failure changes nothing.
+    delivered again after a failure changes nothing. A batch rewrites the buckets of the target that its keys fall in.
     """
 
     def put(batch: DataFrame, _: int) -> None:
-        upsert(spark, target, table, last_of_each(batch.select(*table.schema.names), list(table.key), order), resolve)
+        upsert(spark, target, table, last_of_each(batch.select(*table.schema.names), list(table.key), order), resolve, buckets=buckets)
 
     stream = spark.readStream.schema(table.schema).parquet(source)
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
