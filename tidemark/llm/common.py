@@ -20,13 +20,15 @@ def ship_by_value(module: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and Spark runs in one process (tests)."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = context._jsc.sc().getCheckpointDir()
         folder = folder.get() if folder.isDefined() else None
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a shared folder")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if not context._jsc.sc().getCheckpointDir().isDefined():
