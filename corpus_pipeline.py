@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, jaccard_dedup, language_id, packing, source_mixing
+from tidemark.llm import exact_dedup, language_id, near_dedup, packing, source_mixing
 from tidemark.llm.common import documents, materialise
 
 
@@ -20,7 +20,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles stays."""
-    return jaccard_dedup.drop_similar(docs, similarity=0.8, width=5)
+    return near_dedup.drop_near_duplicates(docs, similarity=0.8, width=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("language ID", identify_languages),
     ("exact dedup", drop_exact_copies),
-    ("near-dedup", drop_near_copies),
+    ("SimHash near-dedup", drop_near_copies),
     ("source mixing", mix_sources),
     ("packing", pack_sequences),
 ]
