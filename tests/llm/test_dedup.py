@@ -149,6 +149,7 @@ def test_empty_tables(spark):
 def slow_spans(texts: dict[int, str], least: int) -> set[tuple]:
     """(id, start, end, keeper): of every chunk the first document's stays; runs of later ones of enough words, cut where the keeper changes."""
     cut, first = {}, {}
+    chars = lambda part: sum(x & 0xC0 != 0x80 for x in part)  # noqa: E731 - a chunk may end inside a character
     for i in sorted(texts):
         data = texts[i].encode()
         ends = [0, *slow_boundaries(data), len(data)]
@@ -168,7 +169,7 @@ def slow_spans(texts: dict[int, str], least: int) -> set[tuple]:
                     if k and run[k - 1][2] == keeper:
                         continue
                     last = next((j - 1 for j in range(k, len(run)) if run[j][2] != keeper), len(run) - 1)
-                    out.add((i, len(data[:a].decode()), len(data[: run[last][1]].decode()), keeper))
+                    out.add((i, chars(data[:a]), chars(data[: run[last][1]]), keeper))
             run = []
     return out
 

@@ -81,7 +81,7 @@ def _base_sql() -> str:
         parts.append(f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, unnest(range(len(m))) AS i, m, v, g, {least} AS least
             FROM (SELECT doc_id, regexp_extract_all(t, {rx}) AS m, regexp_extract_all(t, {rx}, {group}) AS v, string_split_regex(t, {rx}) AS g FROM d)""")
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), hits AS ({' UNION ALL '.join(parts)}),
-        placed AS (SELECT doc_id, kind, rank, list_sum(list_transform(g[1:i + 1], x -> length(x))) + coalesce(list_sum(list_transform(m[1:i], x -> length(x))), 0) AS s, length(m[i + 1]) AS n FROM hits WHERE length(v[i + 1]) >= least),
+        placed AS (SELECT doc_id, kind, rank, list_sum(list_transform(g[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS s, length(m[i + 1]) AS n FROM hits WHERE length(v[i + 1]) >= least),
         told AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s + n AS BIGINT) AS VARCHAR), ',' ORDER BY s, rank) AS spans FROM placed GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN told ON d.doc_id = told.doc_id"""
 
