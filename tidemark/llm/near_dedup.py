@@ -87,8 +87,9 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int,
 def similar_sets(rows: DataFrame, similarity: float, width: int, seed: int) -> DataFrame:
     """rows (n, sim, fp, size, keys, text), n unique -> (fp, root): sets linked, directly or over others, by a similar pair.
 
-    The members of a band's key are first held against the least of them, so a group of m copies takes m pairs.
-    Then those that this has not joined to the least one are held against all members of other components: pairs
+    The members of a band's key are first held against its hub, so a group of m copies takes m pairs; the hub is the
+    member whose keys have most members in all: the text that its edited copies share most with.
+    Then those that this has not joined to the hub are held against all members of other components: pairs
     inside a component can't change it, so no link that matters is left out. Sets of one SimHash are held against the
     least of them, and those of near SimHashes against each other, in the same way.
     """
@@ -99,8 +100,11 @@ def similar_sets(rows: DataFrame, similarity: float, width: int, seed: int) -> D
     alike = alike.union(near.join(hub("a", "p", "x"), "a").join(hub("b", "q", "y"), "b").select("p", "q", "x", "y"))
     alike = materialise(alike.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "x", "y").distinct(), "jaccard-alike")
     keyed = rows.select("fp", "size", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("fp", "size")).alias("hub"), F.max("fp").alias("most")).where("hub.fp <> most").drop("most")
-    members = materialise(keyed.join(hubs, "key").select("key", "fp", "size", F.col("hub.fp").alias("hub"), F.col("hub.size").alias("hub_size")).distinct(), "jaccard-members")
+    shared = keyed.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.count("*").alias("c")).where("least <> most").select("key", "c")
+    shared = materialise(keyed.join(shared, "key").distinct(), "jaccard-shared")
+    central = shared.groupBy("fp").agg(F.sum("c").alias("w"))
+    hubs = shared.join(central, "fp").groupBy("key").agg(F.max_by(F.struct("fp", "size"), F.struct("w", "fp")).alias("hub"))
+    members = materialise(shared.join(hubs, "key").select("key", "fp", "size", F.col("hub.fp").alias("hub"), F.col("hub.size").alias("hub_size")), "jaccard-members")
     wanted = members.select("fp").union(alike.select("a")).union(alike.select("b")).distinct()
     shown = rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("n").alias("n"))
     texts = materialise(rows.select("n", "text").join(shown, "n").select("fp", "text"), "jaccard-texts")
