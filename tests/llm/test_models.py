@@ -125,9 +125,9 @@ def test_scores(spark):
 
 def test_held_out_texts_beat_the_base(spark):
     docs = documents(spark, str(DATA / "sf0.01")).withColumn("train", ~context_mixing.held_out())
-    got = [r for r in context_mixing.score_documents(docs, mixer_docs=400).collect() if not r.train]
+    got = [r for r in context_mixing.score_documents(docs).collect() if not r.train]
     tokens = sum(r.n_tokens for r in got)
-    assert sum(r.score for r in got) / tokens > sum(r.base_score for r in got) / tokens + 0.2
+    assert sum(r.score for r in got) / tokens > sum(r.base_score for r in got) / tokens + 0.15
     assert sum(r.score > r.base_score for r in got) > 0.6 * len(got) > 100
 
 
