@@ -112,7 +112,7 @@ def blocks(html: str) -> list[tuple[str, str, int, int, int]]:
     out: list[tuple[str, str, int, int, int]] = []
     held: list[tuple[str, bool]] = []
     stack: list[tuple[str, int | None]] = []  # open containers and what they say
-    at, links, kind, unseen, where = 0, 0, "d", 0, 0
+    at, links, kind, unseen, where, veiled = 0, 0, "d", 0, 0, False
 
     def close() -> None:
         if held:
@@ -126,7 +126,7 @@ def blocks(html: str) -> list[tuple[str, str, int, int, int]]:
     for found in TAG.finditer(html):
         if found.start() < at:
             continue
-        if found.start() > at and not unseen:
+        if found.start() > at and not (unseen or veiled):
             held.append((unescape(html[at : found.start()]), links > 0))
         at, tag = found.end(), (found[2] or "").lower()
         if not tag:
@@ -145,6 +145,7 @@ def blocks(html: str) -> list[tuple[str, str, int, int, int]]:
         if tag in BLOCKS:
             close()
             links = 0
+            veiled = not ends and tag not in CONTAINERS and place(tag, found[3], where > 0) is None
             if stack and stack[-1][0] == "head":  # its end may be left out
                 stack.pop()
                 unseen = sum(s is None for _, s in stack)
@@ -165,7 +166,7 @@ def blocks(html: str) -> list[tuple[str, str, int, int, int]]:
             stack.clear()
             unseen, where = 0, 0
     else:
-        if at < len(html) and not unseen:
+        if at < len(html) and not (unseen or veiled):
             held.append((unescape(html[at:]), links > 0))
     close()
     return out
