@@ -55,9 +55,12 @@ def effective_time(tipoff: str, date: str) -> Column:
 
 
 def gather_prior(df: DataFrame, tl: Timeline, post: Column, out: str = "prior") -> DataFrame:
-    """Add out: post as it was after the last event strictly before the row; of events of equal time, the last in order."""
-    order = F.when(F.col(tl.event), F.struct(*tl.order))
-    return df.withColumn(out, F.max_by(post, order).over(tl.before()))
+    """Add out: post as it was after the last event strictly before the row; of events of equal time, the last in order.
+
+    Of each time only the last event's post is offered, so the last one offered before the row is the one wanted."""
+    closes = F.col(tl.event) & ~F.coalesce(F.lead(tl.time).over(tl.events()) == F.col(tl.time), F.lit(False))
+    offered = df.withColumn("_offered", F.when(closes, F.struct(post.alias("v"))))
+    return offered.withColumn(out, F.last("_offered", ignorenulls=True).over(tl.before())["v"]).drop("_offered")
 
 
 def rolling_slope(value: str, number: str, tl: Timeline, n: int, least: int = 3) -> Column:

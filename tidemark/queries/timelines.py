@@ -56,10 +56,11 @@ GAMES_SQL = """
         UNION ALL SELECT gamecode, season, game_date, coalesce(tipoff, CAST(game_date AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 1 SECOND), away_code, home_code, false, away_score, home_score FROM games)"""
 
 
-def sides(spark, sf_dir) -> DataFrame:
+def sides(spark, sf_dir, spread: bool = True) -> DataFrame:
     g = games(spark, sf_dir).withColumn("ts", tm.effective_time("tipoff", "game_date"))
     rows = league.two_sided(g.withColumn("t_us", tm.micros("ts")), ("gamecode", "season", "game_date", "ts", "t_us"))
-    return TG.spread(rows.withColumn("is_event", F.col("own_score") + F.col("opp_score") > 150))
+    rows = rows.withColumn("is_event", F.col("own_score") + F.col("opp_score") > 150)
+    return TG.spread(rows) if spread else rows
 
 
 _TA = """WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate AS ts, o_orderstatus <> 'F' AS is_event, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, CAST(year(o_orderdate) AS INT) AS season FROM orders),
@@ -174,10 +175,9 @@ def team_strength(spark, sf_dir):
 
 
 def opponent_allowed_vs_league(spark, sf_dir):
-    df = sides(spark, sf_dir)
-    df = df.withColumn("allowed", F.sum("opp_score").over(TG.last(5)) / F.count("opp_score").over(TG.last(5)))
+    df = league.league_mean_before(sides(spark, sf_dir, spread=False), "season", "t_us", "opp_score", "is_event")
+    df = TG.spread(df).withColumn("allowed", F.sum("opp_score").over(TG.last(5)) / F.count("opp_score").over(TG.last(5)))
     df = tm.gather_prior(df, TG, F.struct("allowed"))
-    df = league.league_mean_before(df, "season", "t_us", "opp_score", ("t_us", "gamecode"), "is_event")
     return df.select("team", "gamecode", "league_mean", F.when(F.col("league_mean") > 0, F.try_divide(F.col("prior.allowed"), F.col("league_mean"))).alias("allowed_vs_league"))
 
 
