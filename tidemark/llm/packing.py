@@ -4,8 +4,10 @@ Every source is a queue of documents cut into packets. Each round adds window *
 source's deficit counter, and a source sends packets while its counter covers them; what is left carries
 over. While a queue is not empty, a packet that ends at token e of its queue therefore leaves in round
 ceil(e / quantum): rounds, and with them windows, need prefix sums only and carry their deficits across
-all partitions. The stream of rounds is cut into sequences of exactly window tokens, so a window holds
-each source's target but for two packets, as long as no queue has run out.
+all partitions. A packet is one token unless larger ones are asked for, so after r rounds each source has sent
+what r windows owe it less a part of a token, and all together r windows less a token for each source at most. The
+stream of rounds is cut into sequences of exactly window tokens: as long as no queue has run out, a window is a round but
+for that shift, and holds each source's target but for one packet for each source and two of its own.
 """
 
 from __future__ import annotations
@@ -75,7 +77,7 @@ def pack(
     docs: DataFrame,
     path: str | None = None,
     window: int = 2048,
-    packet: int = 64,
+    packet: int = 1,
     weights: dict[str | None, float] | None = None,
     exponent: float = 1.0,
     end_id: int = 1,
