@@ -19,12 +19,13 @@ BASE = (
     ("access", r"""AKIA[A-Z0-9]+""", 16, 0),
     ("hex", r"""[0-9a-f]{32,}""", 32, 0),
 )
-#: The parts that only count together: kind, role, pattern. Values are shorter than a line, so parts stay local.
+#: The parts that only count together: kind, role, pattern. Values are shorter than a line, so parts stay local. A name may
+#: follow a sign of its own (DB_PASS, db.user, my-key), no letter or digit.
 PARTS = (
-    ("ident", "identifier", r"""(?i:\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""),
-    ("weak", "secret", r"""(?i:\b(?:pass|pwd|pw|auth|key|credential))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""),
+    ("ident", "identifier", r"""(?i:(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""),
+    ("weak", "secret", r"""(?i:(?<![A-Za-z0-9])(?:pass|pwd|pw|auth|key|credential))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""),
     ("opaque", "secret", r"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,39}[0-9])(?=[A-Z0-9+/_-]{0,39}[a-z])(?=[a-z0-9+/_-]{0,39}[A-Z])[A-Za-z0-9+/_-]{40}(?![A-Za-z0-9+/_-])"""),
-    ("endpoint", "endpoint", r"""(?i:\b(?:https?|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|redis|amqp|mongodb|ftp|ssh)://)[A-Za-z0-9._~:@%/?#=&+-]{4,}"""),
+    ("endpoint", "endpoint", r"""(?i:(?<![A-Za-z0-9])(?:https?|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|redis|amqp|mongodb|ftp|ssh)://)[A-Za-z0-9._~:@%/?#=&+-]{4,}"""),
 )
 #: What every match of a kind contains: most texts are told from these at once.
 LITERALS = {"access": "AKIA", "endpoint": "://"}
