@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tests.conftest import DATA
 from tests.llm.helpers import CLASHING, frame, rows
 from tidemark.llm import order_minhash, packing, token_store
 from tidemark.llm.word_ids import WordEncoder, tokenizer_path
@@ -112,6 +113,19 @@ def test_packing(spark, weights, exponent):
         assert all(abs(inside[s][k] - window * target[k]) <= 2 * 16 for k in share)
 
 
+def test_windows_of_many_sources_hold_their_shares(spark):
+    """As registered: windows of 2048 over all documents' sources."""
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    inside, share = defaultdict(Counter), Counter()
+    for r in packing.pack(docs, exponent=0.7).groupBy("sequence_id", "source").agg(F.sum("length").alias("n")).collect():
+        inside[r.sequence_id][r.source] = r.n
+        share[r.source] += r.n
+    wanted = {k: n**0.7 for k, n in share.items()}
+    target = {k: 2048 * w / sum(wanted.values()) for k, w in wanted.items()}
+    whole = int(min(n / target[k] for k, n in share.items())) - 1
+    assert len(share) >= 20 and whole > 300 and max(abs(inside[s][k] - target[k]) for s in range(whole) for k in share) <= 64
+
+
 def test_a_source_without_a_weight_is_an_error(spark):
     with pytest.raises(Exception, match="no weight for source"):
         packing.pack(frame(spark), weights={"big": 1.0}).collect()
