@@ -84,13 +84,49 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int,
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def common_shingles(texts: DataFrame, width: int, seed: int) -> DataFrame:
+    """texts (fp, text) -> (fp, common): the shingles that another of these texts has too."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t, width, seed).view(np.int64) for t in text_bytes(b.column(1))]
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(sets)), sizes))), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["fp", "g"])
+
+    each = materialise(texts.select("fp", "text").mapInArrow(run, "fp long, g long"), "jaccard-shingles")
+    often = each.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
+    return each.join(often, "g").groupBy("fp").agg(F.collect_list("g").alias("common"))  # at most the text's own shingles
+
+
+def overlaps(pairs: DataFrame, texts: DataFrame, common: DataFrame, width: int, seed: int) -> DataFrame:
+    """pairs (fp, hub) -> (fp, hub, inside, other): how many shingles of the hub fp has, and how many others that are common."""
+
+    def run(batches):
+        last, held = None, None
+        for b in batches:
+            inside, other = [], []
+            for hub, own, shared in zip(text_bytes(b.column(2)), text_bytes(b.column(3)), b.column(4)):
+                if hub != last:
+                    last, held = hub, shingles(hub, width, seed)
+                inside.append(len(np.intersect1d(held, shingles(own, width, seed), assume_unique=True)))
+                mine = shared.values.to_numpy().view(np.uint64) if shared.is_valid else np.zeros(0, np.uint64)
+                other.append(len(np.setdiff1d(mine, held, assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(inside, pa.int64()), pa.array(other, pa.int64())], names=["fp", "hub", "inside", "other"])
+
+    both = pairs.join(texts.toDF("fp", "text"), "fp").join(common, "fp", "left").join(texts.toDF("hub", "hub_text"), "hub")
+    return both.select("fp", "hub", "hub_text", "text", "common").mapInArrow(run, "fp long, hub long, inside long, other long")
+
+
 def similar_sets(rows: DataFrame, similarity: float, width: int, seed: int) -> DataFrame:
     """rows (n, sim, fp, size, keys, text), n unique -> (fp, root): sets linked, directly or over others, by a similar pair.
 
     The members of a band's key are first held against its hub, so a group of m copies takes m pairs; the hub is the
     member whose keys have most members in all: the text that its edited copies share most with.
-    Then those that this has not joined to the hub are held against all members of other components: pairs
-    inside a component can't change it, so no link that matters is left out. Sets of one SimHash are held against the
+    Then those that this has not joined to the hub are held against members of other components: pairs inside a
+    component can't change it. What two members share lies in the hub, and is at most what the one with less of
+    the hub has of it, or outside, and is at most what either has there in common with any text; pairs for which these
+    two do not reach the similarity are left out unread, so copies that lie apart by edits of their own are
+    no candidates. No link that matters is lost. Sets of one SimHash are held against the
     least of them, and those of near SimHashes against each other, in the same way.
     """
     sims = rows.where("size > 0").groupBy("sim").agg(F.min(F.struct("fp", "size")).alias("hub"))
@@ -116,9 +152,18 @@ def similar_sets(rows: DataFrame, similarity: float, width: int, seed: int) -> D
     named = members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     hub_roots = named.where("fp = hub").select("key", F.col("root").alias("hub_root"))
     apart = materialise(named.join(hub_roots, "key"), "jaccard-named")
-    a = apart.where("root <> hub_root").select("key", F.col("fp").alias("a"), F.col("size").alias("x"), F.col("root").alias("root_a"))
-    b = apart.where("fp <> hub").select("key", F.col("fp").alias("b"), F.col("size").alias("y"), F.col("root").alias("root_b"), (F.col("root") == F.col("hub_root")).alias("near_hub"))
-    crossed = a.join(b, "key").where(f"root_a <> root_b and (near_hub or a < b) and {close}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    unsettled = apart.where("root <> hub_root").select("key").distinct()
+    left = apart.join(unsettled, "key", "left_semi").where("fp <> hub")
+    asked = materialise(left.select("fp", "hub").distinct(), "jaccard-asked")
+    if asked.isEmpty():
+        return roots
+    own = texts.join(asked.select("fp").distinct(), "fp", "left_semi")
+    left = left.join(materialise(overlaps(asked, texts, common_shingles(own, width, seed), width, seed), "jaccard-overlaps"), ["fp", "hub"])
+    side = lambda c, x: [F.col("fp").alias(c), F.col("size").alias(x), F.col("root").alias(f"root_{c}"), F.col("inside").alias(f"inside_{c}"), F.col("other").alias(f"other_{c}")]
+    a = left.where("root <> hub_root").select("key", *side("a", "x"))
+    b = left.select("key", *side("b", "y"), (F.col("root") == F.col("hub_root")).alias("near_hub"))
+    reach = f"least(inside_a, inside_b) + least(other_a, other_b) >= {similarity / (1 + similarity)!r}D * (x + y) - 1e-6D"
+    crossed = a.join(b, "key").where(f"root_a <> root_b and (near_hub or a < b) and {close} and {reach}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialise(verified(crossed.distinct(), texts, similarity, width, seed), "jaccard-more-links")
     return roots if more.isEmpty() else components(links.union(more)).toDF("fp", "root")
 
