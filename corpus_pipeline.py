@@ -24,8 +24,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, those of small sources more often, up to four times."""
-    return source_mixing.mix(docs, target_entropy=0.95, max_repetition=4.0)
+    """Every document at least once, those of small sources more often, up to twice: shares near to equal ones."""
+    return source_mixing.mix(docs, target_entropy=0.999, max_repetition=2.0)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
