@@ -66,20 +66,21 @@ def name_key(names: pd.Series) -> pd.Series:
 LETTERS = {"đ": "d", "ł": "l", "ø": "o", "ı": "i", "æ": "ae", "œ": "oe"}
 
 
-@F.pandas_udf(StringType())
-def search_key(names: pd.Series) -> pd.Series:
+def search_text(x: str) -> str:
     """Case-folded, without marks, LETTERS replaced, apostrophes and full stops dropped, '-', '/' and ',' as spaces."""
+    folded = unicodedata.normalize("NFKD", x.casefold())
+    kept = "".join(LETTERS.get(c, c) for c in folded if not unicodedata.combining(c))
+    for c in "'’.":
+        kept = kept.replace(c, "")
+    for c in "-/,":
+        kept = kept.replace(c, " ")
+    return " ".join(kept.split())
 
-    def key(x: str) -> str:
-        folded = unicodedata.normalize("NFKD", x.casefold())
-        kept = "".join(LETTERS.get(c, c) for c in folded if not unicodedata.combining(c))
-        for c in "'’.":
-            kept = kept.replace(c, "")
-        for c in "-/,":
-            kept = kept.replace(c, " ")
-        return " ".join(kept.split())
 
-    return names.map(key, na_action="ignore")
+@F.pandas_udf(StringType())
+def search_key(names: pd.Series) -> pd.Series:
+    """search_text of a column (Unicode decomposition has no built-in)."""
+    return names.map(search_text, na_action="ignore")
 
 
 def ascii_search_key(text: Column | str) -> Column:

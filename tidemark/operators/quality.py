@@ -116,12 +116,20 @@ def table_issues(table: Table, df: DataFrame, others: dict[str, DataFrame]) -> D
     required = [f.name for f in table.schema.fields if not f.nullable]
     out = [df.groupBy(*table.key).count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit(f"{table.name} key").alias("check"), "n")]
     out.append(df.where(F.size(null_columns(required)) > 0).agg(F.count("*").alias("n")).select(F.lit(f"{table.name} null").alias("check"), "n"))
+    if table.references:
+        out.append(dangling(table, df, others))
+    for name, rule in table.checks.items():
+        out.append(df.where(~F.expr(rule)).agg(F.count("*").alias("n")).select(F.lit(f"{table.name} check {name}").alias("check"), "n"))
+    return reduce(DataFrame.unionByName, out).where("n > 0")
+
+
+def dangling(table: Table, df: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
+    """(check, n): rows that refer to a key which is not there."""
+    out = []
     for own, name, theirs in table.references:
         target = others[name].select(*[F.col(t).alias(f"_{t}") for t in theirs])
         loose = df.join(target, [df[a] == target[f"_{t}"] for a, t in zip(own, theirs)], "left_anti")
         out.append(loose.agg(F.count("*").alias("n")).select(F.lit(f"{table.name} -> {name}").alias("check"), "n"))
-    for name, rule in table.checks.items():
-        out.append(df.where(~F.expr(rule)).agg(F.count("*").alias("n")).select(F.lit(f"{table.name} check {name}").alias("check"), "n"))
     return reduce(DataFrame.unionByName, out).where("n > 0")
 
 

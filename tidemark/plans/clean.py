@@ -11,7 +11,9 @@ from tidemark.functions.parsing import local_to_utc, minutes_played, month_day_y
 from tidemark.functions.scoring import bonus_score, rating
 from tidemark.operators import quality
 from tidemark.operators.relational import flagged_outer_join, latest, unique
+from tidemark.operators.scratch import discard, written
 from tidemark.schemas import COUNTERS, assert_columns
+from tidemark.sources import store
 from tidemark.sources.store import union_all
 
 #: The source's names of COUNTERS, in their order, then of the rest.
@@ -27,10 +29,12 @@ class Clean:
     games: DataFrame
     player_games: DataFrame
     issues: DataFrame
+    written: tuple[DataFrame, ...] = ()
 
     def release(self) -> None:
-        for df in (self.games, self.player_games):
-            df.unpersist()
+        """Delete the scratch tables; the frames above can't be read any more."""
+        for df in self.written:
+            discard(df)
 
 
 def split_rows(box: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -109,12 +113,14 @@ def attach_context(rows: DataFrame, games: DataFrame) -> DataFrame:
 def clean(box: DataFrame, results: DataFrame, schedule: DataFrame) -> Clean:
     """All tables and all issues; nothing is written and errors do not raise here (see quality.gate).
 
-    Parsed rows, games and scored rows are persisted, since every table and check reads them again.
+    Parsed rows, both sources' games and the games are written once, since every table and check reads them again.
     """
     players, team, total = split_rows(box)
-    rows, totals, team_part = player_rows(players).persist(), player_rows(total).persist(), player_rows(team)
-    r, s = results_rows(results).persist(), schedule_rows(schedule).persist()
-    games = game_rows(r, s, totals).persist()
+    kinds = store.union_all([player_rows(df).withColumn("_kind", F.lit(k)) for k, df in enumerate((players, team, total))])
+    lines = written(kinds, "box")
+    rows, team_part, totals = (lines.where(F.col("_kind") == k).drop("_kind") for k in range(3))
+    r, s = written(results_rows(results), "results"), written(schedule_rows(schedule), "schedule")
+    games = written(game_rows(r, s, totals), "games")
     found = union_all(
         [
             quality.box_score_issues(rows),
@@ -126,7 +132,7 @@ def clean(box: DataFrame, results: DataFrame, schedule: DataFrame) -> Clean:
         ]
     )
     whole = rows.where(F.size(quality.null_columns(["season", "gamecode", "player_id", "team_code", *COUNTERS])) == 0)
-    return Clean(team_rows(r, s), player_table(rows, games), games.drop("home_name", "away_name").persist(), attach_context(whole, games).persist(), found)
+    return Clean(team_rows(r, s), player_table(rows, games), games.drop("home_name", "away_name"), attach_context(whole, games), found, (lines, r, s, games))
 
 
 def season_summary(player_games: DataFrame, games: DataFrame) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.parsing import bucket
+from tidemark.functions.parsing import bucket as bucketed
+from tidemark.operators.scratch import written
 
 
 def metrics(rows: DataFrame, predicted: str, target: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -19,8 +24,8 @@ def metrics(rows: DataFrame, predicted: str, target: str, by: tuple[str, ...] =
 
 def segment_labels() -> dict[str, Column]:
     return {
-        "minutes": bucket("minutes", [(10, "<10"), (20.0000001, "10-20")], ">20", "none"),
-        "prior": bucket("games_played_total", [(5, "<5")], ">=5", "none"),
+        "minutes": bucketed("minutes", [(10, "<10"), (20.0000001, "10-20")], ">20", "none"),
+        "prior": bucketed("games_played_total", [(5, "<5")], ">=5", "none"),
         "phase": F.when(F.col("phase").isNull(), "unknown").when(F.col("phase") == "RS", "RS").otherwise("other"),
     }
 
@@ -38,24 +43,61 @@ def comparison(parts: dict[str, DataFrame], predictors: list[str], target: str)
     return reduce(DataFrame.unionByName, stacked).groupBy("split", "x.predictor").agg(F.avg("x.e").alias("mae"))
 
 
-def cluster_bootstrap(rows: DataFrame, value: Column, cluster: list[str], rounds: int = 1000, seed: int = 42, buckets: int = 64) -> DataFrame:
-    """(mean, low, high, share_below): the mean of value with clusters drawn with replacement.
+def drawn_from(bucket: int, sizes: list[int], rounds: int, seed: int) -> np.ndarray:
+    """How many of each round's draws fall on a bucket, when as many as there are clusters are drawn evenly with
+    replacement: the draws are split binomially down a tree of buckets, whose nodes have generators of their own, so
+    every task finds its own number and all of a round's numbers add up."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    low, high, node, left = 0, len(sizes), 1, np.full(rounds, upto[-1], dtype=np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        whole = upto[high] - upto[low]
+        first = np.random.default_rng([seed, 1, node]).binomial(left, (upto[middle] - upto[low]) / whole if whole else 0.0)
+        left, low, high, node = (first, low, middle, 2 * node) if bucket < middle else (left - first, middle, high, 2 * node + 1)
+    return left
 
-    Clusters are summed first. Drawing n of n clusters gives each a Poisson(1) number of copies, all but
-    exactly; each round sums count * value over clusters, so no draw is listed and no cluster index is needed.
-    """
+
+def _drawn(sizes: list[int], rounds: int, seed: int):
+    """A bucket's clusters -> their share of every round: (round, drawn, sum, number)."""
+
+    def run(clusters: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(clusters["_bucket"].iloc[0])
+        clusters = clusters.sort_values("_key", kind="stable")
+        s, n, size = clusters["s"].to_numpy(float), clusters["n"].to_numpy(float), len(clusters)
+        draws = drawn_from(bucket, sizes, rounds, seed)
+        rng = np.random.default_rng([seed, 0, bucket])
+        sums = np.zeros((rounds, 2))
+        for i, k in enumerate(draws):
+            picks = rng.integers(0, size, k)
+            sums[i] = s[picks].sum(), n[picks].sum()
+        return pd.DataFrame({"i": np.arange(rounds), "drawn": draws, "s": sums[:, 0], "n": sums[:, 1]})
+
+    return run
+
+
+#: Clusters of a bucket, about: one task holds them.
+BUCKET = 20_000
+
+
+def bootstrap_rounds(rows: DataFrame, value: Column, cluster: list[str], rounds: int = 1000, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
+    """(i, drawn, s, n): each round's draws of whole clusters, evenly and with replacement, as many as there are; the sum
+    and number of the values drawn. Clusters are summed first and dealt into buckets by hash; a bucket's part of every
+    round is drawn in one task, and no draw is listed."""
     sums = rows.where(value.isNotNull()).groupBy(*cluster).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    drawn = sums.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    # a uniform from the hash of (seed, round, cluster), turned into a Poisson(1) count by its distribution function
-    u = (F.pmod(F.xxhash64(F.lit(seed), "i", *cluster), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    steps, p, total = [], 0.36787944117144233, 0.0
-    for k in range(12):
-        total += p
-        steps.append(total)
-        p /= k + 1
-    copies = reduce(lambda a, b: a + b, [(u > x).cast("int") for x in steps])
-    per_round = drawn.withColumn("c", copies).groupBy("i").agg(F.try_divide(F.sum(F.col("c") * F.col("s")), F.sum(F.col("c") * F.col("n")).cast("double")).alias("m"))
-    whole = sums.agg((F.sum("s") / F.sum("n")).alias("mean"))
+    key = F.xxhash64(*cluster)
+    sums = written(sums.select(key.alias("_key"), F.col("s").cast("double").alias("s"), "n"), "clusters")
+    buckets = max(1, -(-sums.count() // bucket))
+    sums = sums.withColumn("_bucket", F.pmod("_key", F.lit(buckets)).cast("int"))
+    found = dict(sums.groupBy("_bucket").count().collect())  # one row for each bucket
+    sizes = [found.get(b, 0) for b in range(buckets)]
+    parts = sums.groupBy("_bucket").applyInPandas(_drawn(sizes, rounds, seed), "i int, drawn long, s double, n double")
+    return parts.groupBy("i").agg(F.sum("drawn").alias("drawn"), F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def cluster_bootstrap(rows: DataFrame, value: Column, cluster: list[str], rounds: int = 1000, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
+    """(mean, low, high, share_below): the mean of value, and what it is with clusters drawn with replacement."""
+    per_round = bootstrap_rounds(rows, value, cluster, rounds, seed, bucket).select(F.try_divide("s", "n").alias("m"))
+    whole = rows.agg(F.avg(value).alias("mean"))
     spread = per_round.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), (F.count_if(F.col("m") < 0) / F.count("*")).alias("share_below"))
     return whole.crossJoin(spread)  # one row each
 
@@ -95,3 +137,6 @@ def latest_of_each(predictions: DataFrame) -> DataFrame:
     """The last recorded prediction for each player, game and version."""
     w = Window.partitionBy("player_id", "season", "gamecode", "model_version").orderBy(F.desc("as_of"), F.desc("created_at"))
     return predictions.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

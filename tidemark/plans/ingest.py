@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.operators import quality
+from tidemark.operators.scratch import discard, written
 from tidemark.plans import clean as cleaning
 from tidemark.sources.raw_cache import RawCache
 from tidemark.sources.store import PLAYER_RESOLVER, load, merge, replace_all
@@ -52,7 +53,7 @@ def run(spark: SparkSession, cache: RawCache, root: str, seasons: list[int], rep
     """
     raw = cache.load_all(seasons)
     made = cleaning.clean(raw["boxscores"], raw["results"], raw["schedule"])
-    found = made.issues.persist()
+    found = written(made.issues, "issues")
     if reports:
         report(found, reports, "issues")
         report(quality.name_anomalies(cleaning.player_rows(cleaning.split_rows(raw["boxscores"])[0]), "player_id", "name"), reports, "name_anomalies")
@@ -63,8 +64,9 @@ def run(spark: SparkSession, cache: RawCache, root: str, seasons: list[int], rep
     newest = stored is None or max(seasons) >= stored
     parts = {"teams": (schemas.TEAMS, made.teams, None, newest), "players": (schemas.PLAYERS, made.players, PLAYER_RESOLVER, True), "games": (schemas.GAMES, made.games, None, True), "player_games": (schemas.PLAYER_GAMES, made.player_games, None, True)}
     merged = {name: merge(load(spark, f"{root}/{name}", t), rows, list(t.key), resolve, update) for name, (t, rows, resolve, update) in parts.items()}
-    replace_all(spark, root, merged)
+    replace_all(spark, root, merged, {t.name: t for t, *_ in parts.values()})
     made.release()
+    discard(found)
     return verify(spark, root, seasons, accepted)
 
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.parsing import canonical_id, contains_words, round2, search_key
+from tidemark import schemas
+from tidemark.functions.parsing import canonical_id, contains_words, round2, search_key, search_text
 from tidemark.operators.league import two_sided
 from tidemark.operators.relational import latest_row, page, ranked
 from tidemark.operators.timeline import effective_time, micros
-from tidemark.plans.features import build_features
-from tidemark.sources import tables
+from tidemark.plans.features import FEATURES, build_features
+from tidemark.plans.model import load_model
+from tidemark.sources import store, tables
 
 ACTIVE_DAYS = 45
 
@@ -75,24 +79,67 @@ def predict_player(history: DataFrame, games: DataFrame, player_id: str, as_of:
 
 
 class Loaded:
-    """History and games of a folder of stored tables, persisted until refreshed."""
+    """History and games of a folder of stored tables, persisted until refreshed; predictions are kept by day.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    Kept predictions lie in the folder, under a digest of the tables' and the model's current directories: any
+    process that asks for the same day reads them, and none does once a table or the model has been replaced.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, model: str | None = None):
+        self.spark, self.root, self.model = spark, root.rstrip("/"), model
         self._read()
 
     def _read(self) -> None:
         self.history, self.games = tables.history(self.spark, self.root).persist(), tables.games(self.spark, self.root).persist()
         self.latest = self.history.agg(F.max("game_date")).first()[0]
+        self.state = self._state()
+
+    def _state(self) -> str:
+        now = {n: d for n, d in store.pointers(self.spark, self.root)["tables"].items() if n in ("games", "player_games")}
+        told = [now, store.pointers(self.spark, self.model)["tables"] if self.model else None]
+        return hashlib.sha256(json.dumps(told, sort_keys=True).encode()).hexdigest()[:16]
 
     def refresh(self) -> tuple:
-        """Read the tables again; the latest played day before and after."""
+        """Read the tables again and drop kept predictions; the latest played day before and after."""
         old, before = (self.history, self.games), self.latest
         self._read()
         for df in old:
             df.unpersist()
+        store.delete_folder(self.spark, f"{self.root}/kept")
         return before, self.latest
 
+    def predictions(self, as_of: str, model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """predict() for every player, active or not, from what is kept or else made now. model: what is loaded from the path unless given."""
+        if self._state() != self.state:
+            self.refresh()
+        path = f"{self.root}/kept/{self.state}/{as_of}"
+        if not store.exists(self.spark, path):
+            made = model or load_model(self.spark, self.model).predict
+            store.replace(predict(self.history, self.games, as_of, made, active_only=False), path)
+        return store.load(self.spark, path)
+
+    def served(self, player_id: str, as_of: str, model: Callable[[DataFrame], DataFrame] | None = None, with_features: bool = False) -> DataFrame:
+        """One row for the player (none for an unknown one): names, next game, the model's value and what is left of it by
+        availability, notes, and if wanted all features to four places."""
+        root, wanted = self.root, canonical_id(F.lit(player_id))
+        availability = store.load(self.spark, f"{root}/player_availability", schemas.AVAILABILITY)
+        rows = with_availability(self.predictions(as_of, model).where(F.col("player_id") == wanted), availability, as_of)
+        teams = F.broadcast(store.load(self.spark, f"{root}/teams", schemas.TEAMS))  # a league's teams
+        for side in ("team", "opp"):
+            rows = rows.join(teams.select(F.col("team_code").alias(f"{side}_code"), F.col("name").alias(f"{side}_name")), f"{side}_code", "left")
+        rows = rows.join(tables.players(self.spark, root).select("player_id", "name"), "player_id", "left")
+        appeared = self.history.where((F.col("player_id") == wanted) & ~F.col("dnp") & (F.col("minutes") > 0) & (F.col("game_date") < F.lit(as_of).cast("date")))
+        rows = rows.crossJoin(appeared.agg(F.max("game_date").alias("last_appearance")))  # one row
+        game = F.when(F.col("gamecode") >= 0, F.struct("season", "gamecode", "game_date", "tipoff_utc", F.col("opp_code").alias("opponent_code"), F.coalesce("opp_name", "opp_code").alias("opponent_name"), (F.col("home") == 1).alias("home")))
+        inactive = F.array(F.when(~F.col("active"), "not on a current roster"))
+        out = [
+            "player_id", "name", "team_code", F.coalesce("team_name", "team_code").alias("team_name"), "active", game.alias("next_game"), round2("effective").alias("predicted_fantasy"), round2("predicted").alias("model_predicted_fantasy"),
+            F.when(F.col("status").isNotNull(), F.struct("status", "expected_return")).alias("availability"), F.coalesce("games_played_total", F.lit(0.0)).cast("long").alias("n_prior_appearances"), "last_appearance", F.array_compact(F.concat("notes", inactive)).alias("notes"),
+        ]
+        if with_features:
+            out.append(F.map_from_arrays(F.array(*[F.lit(c) for c in FEATURES]), F.array(*[F.round(c, 4) for c in FEATURES])).alias("features"))
+        return rows.select(*out)
+
 
 def with_availability(predictions: DataFrame, availability: DataFrame, today: str | None = None) -> DataFrame:
     """effective: 0 for players who are out. notes: status, and a return date that has passed (only where today is given)."""
@@ -126,8 +173,8 @@ def search_players(players: DataFrame, query: str, limit: int = 20, team: str |
     """Players whose normalised name has every word of the query; active ones first, then by name; total before the limit."""
     if len(query) > 100 or not 1 <= limit <= 100:
         raise ValueError("query: up to 100 characters; limit: 1 to 100")
-    rows = players.withColumns({"key": search_key(F.col("name")), "query": search_key(F.lit(query))})
-    rows = rows.where(contains_words("key", "query")).drop("query")
+    rows = players.withColumn("key", search_key(F.col("name")))
+    rows = rows.where(contains_words("key", F.lit(search_text(query))))
     if team:
         rows = rows.where(F.col("team_code") == team.strip().upper())
     return page(rows, [F.desc("active"), F.asc("name"), F.asc("player_id")], 0, limit)

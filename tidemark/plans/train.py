@@ -15,7 +15,8 @@ from tidemark.plans.features import FEATURES
 ALPHAS = (0.1, 1.0, 10.0, 25.0, 100.0, 400.0)
 #: What boosted candidates are drawn from.
 GRID = {"depth": (3, 4, 5, 6), "step": (0.03, 0.05, 0.1), "rounds": (40, 60, 100)}
-LOSSES = ("absolute", "squared")
+LOSSES = ("squared", "absolute", "pseudo_huber")
+SLOPES = (2.0, 5.0, 10.0)
 
 
 def finite(value: Column, digits: int = 6) -> Column:
@@ -36,23 +37,32 @@ def finite_values(value):
 
 
 def candidates(draws: int = 10, seed: int = 42, alphas: tuple[float, ...] = ALPHAS, losses: tuple[str, ...] = LOSSES) -> list[dict]:
-    """Ridge for each alpha, then `draws` different points of the grid, each with every loss."""
+    """Ridge for each alpha, then `draws` different points of the grid with every loss; pseudo-Huber with a slope drawn for each."""
     grid = [dict(zip(GRID, (d, s, r))) for d in GRID["depth"] for s in GRID["step"] for r in GRID["rounds"]]
-    chosen = random.Random(seed).sample(grid, min(draws, len(grid)))
-    return [{"kind": "ridge", "alpha": a} for a in alphas] + [{"kind": "trees", "loss": loss, **c} for c in chosen for loss in losses]
+    rnd = random.Random(seed)
+    chosen, out = rnd.sample(grid, min(draws, len(grid))), [{"kind": "ridge", "alpha": a} for a in alphas]
+    for loss in losses:
+        for k, c in enumerate(chosen):
+            bent = loss == "pseudo_huber"
+            out.append({"kind": "boosted" if bent else "trees", "name": f"{loss}_{k:02d}", "loss": loss, **c} | ({"slope": rnd.choice(SLOPES)} if bent else {}))
+    return out
 
 
 def fitted(c: dict, rows: DataFrame, validation: DataFrame | None, target: str, preparation: m.Preparation | None = None) -> m.Model:
     if c["kind"] == "ridge":
         return m.fit_ridge(rows, c["alpha"], target, preparation)
+    if c["kind"] == "boosted":
+        return m.fit_boosted(rows, validation, target, **{k: c[k] for k in ("loss", "slope", "step", "depth", "rounds") if k in c})
     return m.fit_trees(rows, validation, target, c["loss"], c["rounds"], c["depth"], c["step"], preparation=preparation)
 
 
 def search(parts: dict[str, DataFrame], tried: list[dict], target: str = "fantasy_score") -> tuple[dict, list[dict]]:
     """(the candidate of least validation error, ties to the first, with the rounds it stopped at; all with their errors)."""
     p, out = m.prepare(parts["train"]), []
+    alphas = [c["alpha"] for c in tried if c["kind"] == "ridge"]
+    ridges = dict(zip(alphas, m.fit_ridges(parts["train"], alphas, target, p))) if alphas else {}  # one pass for all
     for c in tried:
-        made = fitted(c, parts["train"], parts["validation"], target, p)
+        made = ridges[c["alpha"]] if c["kind"] == "ridge" else fitted(c, parts["train"], parts["validation"], target, p)
         out.append(c | {"rounds": made.settings.get("rounds")} | {"validation_mae": m.mae(made.predict(parts["validation"]), "predicted", target)})
     best = min(range(len(out)), key=lambda i: (out[i]["validation_mae"], i))
     return out[best], out
@@ -71,7 +81,7 @@ def train(
     models, report = {}, {"chosen": best, "candidates": every, "out_of_sample": later is None, "targets": {}}
     for target in targets:
         c = best
-        if target != targets[0] and c["kind"] == "trees":
+        if target != targets[0] and c["kind"] != "ridge":
             c = c | {"rounds": fitted(c, parts["train"], parts["validation"], target).settings["rounds"]}
         models[target] = (c, fitted(c, parts["fit"], None, target))
         report["targets"][target] = {"settings": c, "test_mae": m.mae(models[target][1].predict(parts["test"]), "predicted", target)}

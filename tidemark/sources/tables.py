@@ -24,6 +24,12 @@ def games(spark: SparkSession, root: str) -> DataFrame:
     return load(spark, f"{root}/games", schemas.GAMES)
 
 
+def played_games(spark: SparkSession, root: str) -> DataFrame:
+    """Games that were played, those without player rows too; scores as doubles."""
+    g = games(spark, root).where("played")
+    return g.select("season", "gamecode", "game_date", "tipoff_utc", "phase", "home_code", "away_code", F.col("home_score").cast("double").alias("home_score"), F.col("away_score").cast("double").alias("away_score"))
+
+
 def schedule(spark: SparkSession, root: str) -> DataFrame:
     """Games still to be played."""
     return games(spark, root).where("not played").select("season", "gamecode", "phase", "round", "game_date", "tipoff_utc", "home_code", "away_code")
