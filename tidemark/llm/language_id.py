@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fold, materialise, ship_by_value, small_table
-from tidemark.llm.word_ids import groups, text_bytes
+from tidemark.llm.word_ids import groups, small_batches, text_bytes
 
 ORDER = 4
 CACHE_WORDS = 300_000
+#: Bytes of texts whose new words are scored at once: some 120 bytes are held for each.
+TOGETHER = 1_000_000
 
 
 def frame(word: bytes) -> str:
@@ -191,7 +193,7 @@ class WordScores:
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         """One row a text: characters, then log p for each language."""
         out = np.zeros((len(texts), len(self.model.languages) + 1))
-        for lo, hi in groups([len(t) for t in texts], 4_000_000):
+        for lo, hi in groups([len(t) for t in texts], TOGETHER):
             split = [t.split() for t in texts[lo:hi]]
             every = set().union(*split)
             new = every - self.at.keys()
@@ -325,7 +327,7 @@ def identify(docs: DataFrame, model: LanguageModel, spread: float | None = None,
 
     def run(batches):
         score = WordScores(model) if languages else None
-        for b in batches:
+        for b in small_batches(batches):
             pred, prob, h, bad = _judge(text_bytes(b.column(1)), score, model, spread)
             names = [languages[i] if i >= 0 else "und" for i in pred]
             h = pa.array(h, from_pandas=True)
@@ -341,7 +343,7 @@ def accept(docs: DataFrame, model: LanguageModel, spread: float | None = None, t
 
     def run(batches):
         score = WordScores(model) if model.languages else None
-        for b in batches:
+        for b in small_batches(batches):
             yield b.filter(pa.array(~_judge(text_bytes(b.column(at)), score, model, spread)[3]))
 
     return docs.mapInArrow(run, docs.schema)

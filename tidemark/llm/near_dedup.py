@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import materialise, ship_by_value
 from tidemark.llm.graph import components
 from tidemark.llm.simhash import fingerprint_of, near_pairs, shingle_hashes
-from tidemark.llm.word_ids import text_bytes
+from tidemark.llm.word_ids import small_batches, text_bytes
 
 BANDS, ROWS, STEP, RADIUS = 25, 6, 1024, 3
 _rng = np.random.default_rng(42)
@@ -52,7 +52,7 @@ def signatures(docs: DataFrame, width: int, seed: int) -> DataFrame:
     schema = T.StructType([*docs.schema.fields[:-1], T.StructField("sim", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches):
             sims, fps, sizes, keys = [], [], [], []
             for text in text_bytes(b.columns[-1]):
                 every = shingle_hashes(text, width, seed)
@@ -72,7 +72,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int,
 
     def run(batches):
         last, held = None, None
-        for b in batches:
+        for b in small_batches(batches):
             keep = []
             for x, y in zip(text_bytes(b.column(2)), text_bytes(b.column(3))):
                 if x != last:
@@ -88,7 +88,7 @@ def common_shingles(texts: DataFrame, width: int, seed: int) -> DataFrame:
     """texts (fp, text) -> (fp, common): the shingles that another of these texts has too."""
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches):
             sets = [shingles(t, width, seed).view(np.int64) for t in text_bytes(b.column(1))]
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(sets)), sizes))), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["fp", "g"])
@@ -103,7 +103,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, common: DataFrame, width: int,
 
     def run(batches):
         last, held = None, None
-        for b in batches:
+        for b in small_batches(batches):
             inside, other = [], []
             for hub, own, shared in zip(text_bytes(b.column(2)), text_bytes(b.column(3)), b.column(4)):
                 if hub != last:

@@ -185,6 +185,16 @@ def groups(sizes: list[int], most: int):
         yield lo, len(sizes)
 
 
+def small_batches(batches, rows: int = 1000):
+    """Record batches in parts of at most so many rows, so that few texts are Python objects at once; what Arrow holds of
+    batches that are done goes back."""
+    for b in batches:
+        for lo in range(0, len(b), rows):
+            yield b.slice(lo, rows)
+        del b
+        pa.default_memory_pool().release_unused()
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
