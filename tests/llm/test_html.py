@@ -47,6 +47,7 @@ def test_the_tree_has_learnt_its_table(tree):
         (f"<body class='has-sidebar'><div class='content'><p>{LONG}</p><p hidden>gone</p><div style='display: none'>gone</div></div><div class='sidebar'><div class='content'>{LONG}</div></div>", LONG),
         (f"<article><p>{LONG}</p><p>cut <a href='x", f"{LONG}\ncut"),
         (f"<article><p>{LONG}</p><style>p{{}}</article><p>the style was not closed", LONG),
+        (f"<div class='page-header'>{LONG}</div><article><div class='entry-header'><h1>Head</h1><p class='byline'>By me</p></div><p>{LONG}</p><div class='ad-slot'>{LONG}</div><div class='share-buttons'>Share</div></article><div class='copyright'>{LONG}</div>", f"Head\nBy me\n{LONG}"),
         (f"<ARTICLE><P CLASS=lead>{LONG}</P><TEXTAREA><p>{LONG}</TEXTAREA></ARTICLE>", LONG),
     ],
 )

@@ -2,49 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.scratch import clear_scratch, scratch_path, shared_dir, written
 
-def ship_by_value(module: str) -> None:
-    """Pickle the module's functions whole, so executors need no copy of this package."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and Spark runs in one process (tests)."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = context._jsc.sc().getCheckpointDir()
-        folder = folder.get() if folder.isDefined() else None
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a shared folder")
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
+__all__ = ["checkpointed", "clear_scratch", "documents", "fold", "materialise", "ordered_offsets", "scratch_path", "shared_dir", "ship_by_value", "small_table"]
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+#: Write a table to the shared folder and read it back.
+materialise = written
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def ship_by_value(module: str) -> None:
+    """Pickle the module's functions whole, so executors need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -52,12 +27,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete this application's scratch tables; results that still read them become unreadable."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Small tables are broadcast up to this many rows; they are counted before.
 BROADCAST_ROWS = 100_000
 

@@ -26,6 +26,8 @@ OUTSIDE = set("ad ads advert adverts advertisement advertising alert banner brea
 REPLIES = set("comment comments discussion disqus replies reply respond".split())
 INSIDE = set("article content entry main post story".split())
 NEUTRAL = set("has no with without".split())
+#: What an article has parts of its own of: its head, its author's line, its terms.
+OWN = set("byline bylines copyright disclaimer header legal tags".split())
 
 #: The labelled table, by page: what a block is (t heading, p paragraph, i list item, d other), where it stands (+ in an
 #: element named as the article, - in one named as menu, advert, notice and so on, . in neither), words, linked words,
@@ -84,7 +86,7 @@ def place(tag: str, attributes: str, inside: bool) -> int | None:
     if said:
         return said
     if words & OUTSIDE and not words & NEUTRAL:
-        return 0 if inside and words & INSIDE and words & OUTSIDE <= {"header", "byline", "tags"} else APART_FROM
+        return 0 if inside and words & OUTSIDE <= OWN else APART_FROM
     return NAMED_SO if words & INSIDE else 0
 
 
