@@ -62,6 +62,14 @@ def test_command_line(spark, cache, tmp_path, capsys):
     assert run("features", "--root", root, "--out", f"{tmp_path}/features") == 0 and spark.read.parquet(f"{tmp_path}/features").count() == 20
     assert run("train", "--root", root, "--model", f"{tmp_path}/m", "--train", "2021-2022", "--validation", "2023", "--test", "2023") == 2  # no rows of those seasons
     assert "split is empty" in capsys.readouterr().err
+    # copies, availability, hold-outs
+    assert run("copy", "--source", root, "--target", f"{tmp_path}/copy", "--dry-run") == 0 and not store.exists(spark, f"{tmp_path}/copy/teams")
+    assert run("copy", "--source", root, "--target", f"{tmp_path}/copy") == 0 and "player_games: 20" in capsys.readouterr().out
+    assert run("availability", "--root", root, "--player", " paaa1", "--status", "Out ", "--until", "2023-12-01", "--note", "knee") == 0
+    assert run("availability", "--root", root, "--player", "nobody", "--status", "out") == 2 and run("availability", "--root", root, "--status", "out") == 0
+    assert "PAAA1\tNAME PAAA1\tout\t2023-12-01\tknee" in capsys.readouterr().out
+    assert run("availability", "--root", root, "--player", "PAAA1", "--remove") == 0 and store.load(spark, f"{root}/player_availability").count() == 0
+    assert run("holdout", "--root", root, "--out", f"{tmp_path}/h", "--train", "2021-2022", "--validation", "2022", "--test", "2023") == 2
 
 
 def test_season_lists_and_game_keys():
@@ -89,6 +97,9 @@ def test_training_run(spark, parts, tmp_path):  # noqa: F811
     mean, median = model.fit_values(parts["fit"])
     train.export_hold_out(spark, parts["test"], mean, median, f"{tmp_path}/h", {"season": 2023})
     rows, told = train.import_hold_out(spark, f"{tmp_path}/h")
+    from tidemark import __main__ as tool
+
+    assert tool.main(["judge", "--model", f"{tmp_path}/m", "--holdout", f"{tmp_path}/h"], spark) == 0
     assert told["season"] == 2023 and rows.count() == parts["test"].count() and dict(rows.dtypes)[ft.FEATURES[0]] == "float"
 
 

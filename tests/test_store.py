@@ -97,3 +97,11 @@ def test_equal_tables_of_other_layouts_verify(spark):
         assert "digest" in {r.metric for r in store.verify(table, one, schemas.PLAYER_GAMES).collect()}
     gone = {r.metric: (r.source, r.target) for r in store.verify(table, table.where("player_id <> '77'"), schemas.PLAYER_GAMES).collect()}
     assert gone["rows"] == ("200000", "199999")
+
+
+def test_values_take_the_tables_types(spark):
+    ddl = "season string, gamecode long, phase string, round string, game_date string, tipoff_utc string, home_code string, away_code string, home_score double, away_score float, played string, winner_code string"
+    row = spark.createDataFrame([("2023", 7, "RS", " ", "2023-10-05", "", "AAA", "BBB", float("nan"), 70.0, "true", " ")], ddl)
+    got = store.coerced(row, schemas.GAMES)
+    assert got.schema.simpleString() == spark.createDataFrame([], schemas.GAMES.schema).schema.simpleString()
+    assert tuple(got.first()) == (2023, 7, "RS", None, dt.date(2023, 10, 5), None, "AAA", "BBB", None, 70, True, " ")

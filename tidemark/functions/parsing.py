@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -126,3 +128,6 @@ def bucket(x: Column | str, bounds: list[tuple[float, str]], last: str, missing:
     for bound, name in bounds:
         out = out.when(c < bound, name)
     return out.otherwise(last)
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package

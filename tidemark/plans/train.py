@@ -112,8 +112,8 @@ def check_out_of_sample(report: dict, season: int) -> None:
 
 
 def export_hold_out(spark: SparkSession, rows: DataFrame, mean: float, median: float, path: str, metadata: dict) -> None:
-    """Test rows with float features and baselines as zstandard Parquet, with what they are in a file beside them, written last."""
-    m.hold_out(rows, mean, median).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/rows")
+    """Test rows with float features and baselines as zstandard Parquet of level 19, with what they are in a file beside them, written last."""
+    m.hold_out(rows, mean, median).write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "19").parquet(f"{path}/rows")
     spark.createDataFrame([(json.dumps(metadata | {"features": FEATURES, "rows": rows.count()}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 

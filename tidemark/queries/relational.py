@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import parsing, scoring
-from tidemark.operators import league, quality
+from tidemark.operators import league, quality, quantiles
 from tidemark.operators import relational as rel
 from tidemark.operators import timeline as tm
 from tidemark.operators.ordering import numbered
 from tidemark.queries.timelines import GAMES_SQL, games, orders_timeline, read, sides
+from tidemark.schemas import Table
 from tidemark.sources import store
 
 
@@ -299,13 +301,43 @@ def neutral_rows(spark, sf_dir):
     return joined.select("c_custkey", F.coalesce("o_orderkey", F.lit(-1)).alias("gamecode"), F.coalesce("day", F.lit("1998-07-01").cast("date")).cast("string").alias("day"), F.when(known, F.col("cents")).alias("cents"))
 
 
-QUERIES = {f.__name__: f for f in (history_scan, full_outer_flags, validated_left_join, rows_per_customer, two_side_feature_join, anti_semi, outer_arith, three_way_eval, group_complete_flag, latest_name, distinct_gt_one, season_summary, two_level_winner, table_aggregates, content_digest, reg_metrics, segments, baseline_chain, bootstrap_stat, capped_top_k, lineup_total, page_with_total, ranked_slice, union_precedence, set_diff, score_formula, date_time_parse, search_tokens, override_status, quality_issues, keyed_merge, post_load_verify, latest_next_row, active_set, neutral_rows)}
+def search_keys(spark, sf_dir):
+    """The normalised key of every whole text, by its digest."""
+    d = read(spark, sf_dir, "documents").select("doc_id", parsing.search_key("text").alias("key"))
+    return d.select("doc_id", F.length("key").cast("long").alias("key_chars"), F.md5("key").alias("key_md5"))
+
+
+_PRICED = Table("priced", T.StructType([T.StructField("o_orderkey", T.LongType(), False), T.StructField("cents", T.LongType()), T.StructField("price", T.DoubleType()), T.StructField("day", T.DateType())]), ("o_orderkey",))
+
+
+def copy_differences(spark, sf_dir):
+    """What tells orders from a copy in another layout in which a thousand was put on one order in 97; the sum of their prices as doubles is no difference."""
+    own = _orders(spark, sf_dir).select("o_orderkey", "cents", F.col("o_totalprice").cast("double").alias("price"), "day")
+    other = own.repartition(5, "day").withColumn("cents", F.col("cents") + F.when(F.col("o_orderkey") % 97 == 5, 100_000).otherwise(0))
+    found = store.verify(own, other, _PRICED).where("metric <> 'digest'")
+    return found.select("metric", F.col("source").cast("double").alias("source"), F.col("target").cast("double").alias("target"))
+
+
+def exact_quantiles(spark, sf_dir):
+    """Median and 97.5 % point of the lines' numbers, by counting."""
+    li, columns = read(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    rows = [(c, share, v) for share in (0.5, 0.975) for c, v in quantiles.exact_quantiles(li, columns, share).items()]
+    return spark.createDataFrame(rows, "name string, share double, value double").withColumn("value", F.round("value", 6))
+
+
+QUERIES = {f.__name__: f for f in (search_keys, copy_differences, exact_quantiles, history_scan, full_outer_flags, validated_left_join, rows_per_customer, two_side_feature_join, anti_semi, outer_arith, three_way_eval, group_complete_flag, latest_name, distinct_gt_one, season_summary, two_level_winner, table_aggregates, content_digest, reg_metrics, segments, baseline_chain, bootstrap_stat, capped_top_k, lineup_total, page_with_total, ranked_slice, union_precedence, set_diff, score_formula, date_time_parse, search_tokens, override_status, quality_issues, keyed_merge, post_load_verify, latest_next_row, active_set, neutral_rows)}
 
 _pir = " + ".join(_TERMS[t] for t in scoring.PLUS) + "".join(f" - ({_TERMS[a]} - {_TERMS[m]})" for a, m in scoring.MISSES) + "".join(f" - {_TERMS[t]}" for t in scoring.MINUS)
 _names = "SELECT CAST(o_custkey AS VARCHAR) AS id, o_orderpriority AS name FROM orders"
 _issue = lambda check, severity, where: f"SELECT '{check}' AS check_, '{severity}' AS severity, player_id AS key FROM w WHERE {where}"
 
 SQL = {
+    "search_keys": r"""WITH k AS (SELECT doc_id, trim(regexp_replace(translate(replace(replace(replace(replace(strip_accents(lower(replace(text, 'ß', 'ss'))), chr(39), ''), '’', ''), '.', ''), 'æ', 'ae'), 'đłøı-/,', 'dloi   '), '\s+', ' ', 'g')) AS key FROM documents)
+        SELECT doc_id, length(key) AS key_chars, md5(key) AS key_md5 FROM k""",
+    "copy_differences": f"""WITH {_O}, a AS (SELECT o_orderkey, cents, cents + CASE WHEN o_orderkey % 97 = 5 THEN 100000 ELSE 0 END AS other FROM o),
+        m AS (SELECT unnest(['sum cents', 'min cents', 'max cents']) AS metric, unnest([sum(cents)::DOUBLE, min(cents)::DOUBLE, max(cents)::DOUBLE]) AS source, unnest([sum(other)::DOUBLE, min(other)::DOUBLE, max(other)::DOUBLE]) AS target FROM a)
+        SELECT * FROM m WHERE abs(source - target) > greatest(1e-9 * greatest(abs(source), abs(target)), 1e-6)""",
+    "exact_quantiles": " UNION ALL ".join(f"SELECT '{c}' AS name, {s}::DOUBLE AS share, round(quantile_cont({c}::DOUBLE, {s}), 6) AS value FROM lineitem" for s in (0.5, 0.975) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")),
     "history_scan": "SELECT o_orderkey, o_custkey, count(*) AS lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS returned FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY ALL",
     "full_outer_flags": f"""WITH {_O}, a AS (SELECT o_orderkey, cents, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS s FROM o WHERE day < '1997-07-01'), b AS (SELECT o_orderkey, cents, o_orderstatus AS s FROM o WHERE day >= '1994-01-01')
         SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'right_only' WHEN b.o_orderkey IS NULL THEN 'left_only' ELSE 'both' END AS side, coalesce(a.cents, b.cents) AS cents, coalesce(a.s, b.s) AS status FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey""",

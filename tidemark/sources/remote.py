@@ -123,4 +123,5 @@ def fetch(cache: RawCache, seasons: list[int], client: str, schemas: dict[str, s
     return gaps
 
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+for _name in (__name__, RateLimiter.__module__):
+    cloudpickle.register_pickle_by_value(sys.modules[_name])

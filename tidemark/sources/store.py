@@ -175,6 +175,21 @@ def merge(old: DataFrame, new: DataFrame, key: list[str], resolve: Resolver | No
     return joined.select(*[pick(c) for c in columns])
 
 
+def coerced(rows: DataFrame, table: Table) -> DataFrame:
+    """The table's columns in its types: NaN becomes null, and so does a blank text where the table has another type."""
+    kinds = dict(rows.dtypes)
+
+    def typed(name: str, kind) -> Column:
+        value = F.col(name)
+        if kinds[name] in ("double", "float"):
+            value = F.when(~F.isnan(value), value)
+        elif kinds[name] == "string" and kind.typeName() != "string":
+            value = F.when(F.trim(value) != "", F.trim(value))
+        return value.cast(kind).alias(name)
+
+    return rows.select(*[typed(f.name, f.dataType) for f in table.schema.fields])
+
+
 #: A player's seasons only widen; the name changes only with data that is not older.
 PLAYER_RESOLVER: Resolver = {
     "first_season": lambda o, n: F.least(o, n),
@@ -190,7 +205,7 @@ def upsert(spark: SparkSession, path: str, table: Table, new: DataFrame, resolve
     dirs = pointers(spark, root)["tables"].get(name) or {}
     made = next((int(k.partition("/")[0]) for k in dirs if k), buckets if not dirs else 1)
     assert_columns(new, table.schema.names, "new rows")
-    typed = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema.fields])
+    typed = coerced(new, table)
     if made == 1:
         pieces, kept = _written(merge(load(spark, path, table), typed, list(table.key), resolve, update), root, name), {}
     else:
