@@ -38,3 +38,13 @@ def test_query(spark, duck, sf, name):
     got, want = canonical(QUERIES[name](spark, sf).toPandas()), canonical(duck.execute(SQL[name]).df())
     assert list(got.columns) == list(want.columns)
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9, atol=1e-6)
+
+
+def test_bootstrap_of_many_clusters(spark, tmp_path):
+    """More clusters than the root of 2^31, whose squared numbers don't fit 32 bits."""
+    events = "SELECT i AS event_id, i AS user_id, CAST(i * 37 % 101 AS DOUBLE) AS value FROM range(50000) r(i)"
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS {events}")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    want = con.execute(SQL["bootstrap_stat"].replace("range(1000)", "range(5)")).df()
+    pd.testing.assert_frame_equal(canonical(relational.bootstrap_stat(spark, str(tmp_path), rounds=5).toPandas()), canonical(want), check_dtype=False)
