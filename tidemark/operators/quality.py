@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.league import complete_minutes
@@ -30,28 +30,39 @@ def null_columns(columns: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns]))
 
 
+def issues_of_rows(df: DataFrame, checks: list[tuple[str, str, Column, Column, Column]]) -> DataFrame:
+    """Issues of several checks (check, severity, where, key, detail) in one pass over df."""
+    made = [F.when(where, F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"), key.cast("string").alias("key"), detail.cast("string").alias("detail"))) for check, severity, where, key, detail in checks]
+    listed = df.select(F.col("season").cast("int").alias("season"), F.col("gamecode").cast("int").alias("gamecode"), F.explode(F.array_compact(F.array(*made))).alias("i"))
+    return listed.select("i.check", "i.severity", "season", "gamecode", "i.key", "i.detail")
+
+
+def duplicate_key_issues(rows: DataFrame) -> DataFrame:
+    """An issue for each row whose key repeats, of the keys' counts alone."""
+    counts = rows.groupBy("season", "gamecode", "player_id").agg(F.count("*").alias("n")).where("n > 1")
+    each = counts.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_i"))
+    return issues(each, "duplicate_key", "error", F.lit(True), F.col("player_id"), F.concat(F.col("n").cast("string"), F.lit(" rows")))
+
+
 def box_score_issues(rows: DataFrame) -> DataFrame:
     """All checks of single rows: player rows with COUNTERS, minutes and dnp. Rows with nulls fail only missing_values."""
     key = F.col("player_id")
-    keyed = rows.withColumn("_n", F.count("*").over(Window.partitionBy("season", "gamecode", "player_id")))
     needed = ["season", "gamecode", "player_id", "team_code", "minutes", "dnp", *COUNTERS]
-    keyed = keyed.withColumn("_nulls", null_columns(needed))
-    whole = keyed.where("size(_nulls) = 0")
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in needed])
     points = 2 * F.col("fg2_made") + 3 * F.col("fg3_made") + F.col("ft_made")
     made = [("fg2_made", "fg2_att"), ("fg3_made", "fg3_att"), ("ft_made", "ft_att")]
     any_of = lambda conditions: reduce(lambda a, b: a | b, conditions)
     some = any_of([F.col(c) != 0 for c in COUNTERS])
-    parts = [
-        issues(keyed, "duplicate_key", "error", F.col("_n") > 1, key, F.concat(F.col("_n").cast("string"), F.lit(" rows"))),
-        issues(keyed, "missing_values", "error", F.size("_nulls") > 0, F.coalesce(key, F.lit("")), F.concat(F.lit("NULL in "), F.concat_ws(", ", "_nulls"))),
-        issues(whole, "points_formula", "error", F.col("points") != points, key, _pairs("points", "fg2_made", "fg3_made", "ft_made")),
-        issues(whole, "rebounds_sum", "error", F.col("total_reb") != F.col("off_reb") + F.col("def_reb"), key, _pairs("total_reb", "off_reb", "def_reb")),
-        issues(whole, "made_exceeds_attempted", "warning", any_of([F.col(m) > F.col(a) for m, a in made]), key, F.concat_ws(" ", *[F.when(F.col(m) > F.col(a), _pairs(m, a)) for m, a in made])),
-        issues(whole, "negative_stat", "warning", F.least(*COUNTERS) < 0, key, F.concat_ws(" ", *[F.when(F.col(c) < 0, _pairs(c)) for c in COUNTERS])),
-        issues(whole, "dnp_with_stats", "warning", F.col("dnp") & (some | (F.col("minutes") > 0)), key, _pairs("minutes")),
-        issues(whole, "zero_minutes_not_dnp", "warning", ~F.col("dnp") & (F.col("minutes") == 0), key, F.lit("0 minutes")),
+    checks = [
+        ("missing_values", "error", ~whole, F.coalesce(key, F.lit("")), F.concat(F.lit("NULL in "), F.concat_ws(", ", null_columns(needed)))),
+        ("points_formula", "error", whole & (F.col("points") != points), key, _pairs("points", "fg2_made", "fg3_made", "ft_made")),
+        ("rebounds_sum", "error", whole & (F.col("total_reb") != F.col("off_reb") + F.col("def_reb")), key, _pairs("total_reb", "off_reb", "def_reb")),
+        ("made_exceeds_attempted", "warning", whole & any_of([F.col(m) > F.col(a) for m, a in made]), key, F.concat_ws(" ", *[F.when(F.col(m) > F.col(a), _pairs(m, a)) for m, a in made])),
+        ("negative_stat", "warning", whole & (F.least(*COUNTERS) < 0), key, F.concat_ws(" ", *[F.when(F.col(c) < 0, _pairs(c)) for c in COUNTERS])),
+        ("dnp_with_stats", "warning", whole & F.col("dnp") & (some | (F.col("minutes") > 0)), key, _pairs("minutes")),
+        ("zero_minutes_not_dnp", "warning", whole & ~F.col("dnp") & (F.col("minutes") == 0), key, F.lit("0 minutes")),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return duplicate_key_issues(rows).unionByName(issues_of_rows(rows, checks))
 
 
 def team_total_issues(players: DataFrame, totals: DataFrame, columns: list[str] = list(COUNTERS)) -> DataFrame:
@@ -71,12 +82,12 @@ def context_issues(rows: DataFrame, games: DataFrame) -> DataFrame:
     joined = rows.join(games.select("season", "gamecode", "home_code", "away_code"), ["season", "gamecode"], "left")
     key, team = F.col("player_id"), F.col("team_code")
     known = F.col("home_code").isNotNull()
-    parts = [
-        issues(joined, "missing_game", "error", ~known, key, F.lit("no such game")),
-        issues(joined, "team_not_in_game", "error", known & (team != F.col("home_code")) & (team != F.col("away_code")), key, _pairs("team_code", "home_code", "away_code")),
-        issues(joined, "home_flag_mismatch", "warning", known & ((team == F.col("home_code")) != F.col("home")) & team.isin(F.col("home_code"), F.col("away_code")), key, _pairs("team_code", "home_code")),
+    checks = [
+        ("missing_game", "error", ~known, key, F.lit("no such game")),
+        ("team_not_in_game", "error", known & (team != F.col("home_code")) & (team != F.col("away_code")), key, _pairs("team_code", "home_code", "away_code")),
+        ("home_flag_mismatch", "warning", known & ((team == F.col("home_code")) != F.col("home")) & team.isin(F.col("home_code"), F.col("away_code")), key, _pairs("team_code", "home_code")),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return issues_of_rows(joined, checks)
 
 
 def score_issues(games: DataFrame, totals: DataFrame) -> DataFrame:
