@@ -262,3 +262,14 @@ def test_predict_rank_search_and_record(spark, league):
     with pytest.raises(Exception, match="status"):
         serve.valid_availability(ill.withColumn("status", F.lit("gone"))).collect()
     assert math.isfinite(h.players)
+
+
+def test_cleaning_reads_the_box_once(spark, tmp_path, monkeypatch):
+    from tidemark.queries import plans as queries
+
+    scans, real = {}, clean.written
+    monkeypatch.setattr(clean, "written", lambda df, name: (scans.update({name: df._jdf.queryExecution().executedPlan().toString().count("FileScan")}), real(df, name))[1])
+    made = clean.clean(*queries.raw_box(spark, "/root/testdata/sf0.001"))
+    assert scans["box"] == 2  # the players' rows and the sums by side, each once
+    clean.load_checks(made.player_games, made.games).count()
+    assert "sides" in scans  # the rows are summed by side once, for all rules

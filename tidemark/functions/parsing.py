@@ -35,7 +35,7 @@ def minutes_played(text: Column | str) -> Column:
     """Struct (minutes, dnp): 'MM:SS' in decimal minutes, 'DNP' as (0, true), blank as (0, false); else an error."""
     t = F.upper(F.trim(F.coalesce(_c(text), F.lit(""))))
     clock = r"^(\d{1,3}):([0-5]\d)$"
-    played = F.regexp_extract(t, clock, 1).try_cast("double") + F.regexp_extract(t, clock, 2).try_cast("double") / 60
+    played = F.substring_index(t, ":", 1).try_cast("double") + F.substring_index(t, ":", -1).try_cast("double") / 60
     minutes = F.when(t.isin("", "DNP"), F.lit(0.0)).when(t.rlike(clock), played).otherwise(F.raise_error(F.concat(F.lit("minutes: "), t)).cast("double"))
     return F.struct(minutes.alias("minutes"), (t == "DNP").alias("dnp"))
 

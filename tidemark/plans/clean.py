@@ -115,8 +115,9 @@ def clean(box: DataFrame, results: DataFrame, schedule: DataFrame) -> Clean:
 
     Parsed rows, both sources' games and the games are written once, since every table and check reads them again.
     """
-    players, team, total = split_rows(box)
-    kinds = store.union_all([player_rows(df).withColumn("_kind", F.lit(k)) for k, df in enumerate((players, team, total))])
+    every = player_rows(assert_columns(box, RAW_BOX, "box scores").withColumn("Player_ID", F.trim("Player_ID")))
+    kind = F.upper("player_id")
+    kinds = every.where("player_id is not null").withColumn("_kind", F.when(kind == SENTINELS[0], 1).when(kind == SENTINELS[1], 2).otherwise(0))  # as split_rows, in one pass
     lines = written(kinds, "box")
     rows, team_part, totals = (lines.where(F.col("_kind") == k).drop("_kind") for k in range(3))
     r, s = written(results_rows(results), "results"), written(schedule_rows(schedule), "schedule")
@@ -143,20 +144,27 @@ def season_summary(player_games: DataFrame, games: DataFrame) -> DataFrame:
 
 def load_checks(player_games: DataFrame, games: DataFrame, accepted: list[tuple[int, int]] = ()) -> DataFrame:
     """(rule, broken) after a load; accepted: games known to have no rows."""
-    sides = player_games.groupBy("season", "gamecode", "team_code").agg(F.max("won").alias("won"))
+    again, score = rating(), bonus_score("pir", "won")
+    rules = {"rating equals the source's": F.col("pir") != F.col("valuation"), "rating as recomputed": F.col("pir") != again, "score rule": F.abs(score - F.col("fantasy_score")) > 1e-9}
+    # the rows are read once: each rule's count goes along with its side
+    broken = [F.count_if(rule).alias(f"r{i}") for i, rule in enumerate(rules.values())]
+    sides = written(player_games.groupBy("season", "gamecode", "team_code").agg(F.max("won").alias("won"), *broken), "sides")
     pair = sides.groupBy("season", "gamecode").agg(F.count("*").alias("teams"), F.sum(F.col("won").cast("int")).alias("winners"))
-    bare = games.where("played").join(player_games.select("season", "gamecode").distinct(), ["season", "gamecode"], "left_anti")
+    bare = games.where("played").join(sides.select("season", "gamecode").distinct(), ["season", "gamecode"], "left_anti")
     if accepted:
         bare = bare.join(bare.sparkSession.createDataFrame(list(accepted), "season int, gamecode int"), ["season", "gamecode"], "left_anti")
-    again, score = rating(), bonus_score("pir", "won")
-    rules = {"rating equals the source's": F.col("pir") != F.col("valuation"), "rating as recomputed": F.col("pir") != again, "score rule": F.abs(score - F.col("fantasy_score")) > 1e-9}
     by_side = {"one winner": F.col("winners") != 1, "two teams": F.col("teams") != 2}
-    parts = [_counted(player_games, rules), _counted(pair, by_side), _counted(bare, {"games without rows": F.lit(True)})]
+    by_row = _listed(sides.agg(*[F.coalesce(F.sum(f"r{i}"), F.lit(0)).alias(f"r{i}") for i in range(len(rules))]), rules)
+    parts = [by_row, _counted(pair, by_side), _counted(bare, {"games without rows": F.lit(True)})]
     return union_all(parts)
 
 
 def _counted(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(rule, broken) of all rules that read df, in one aggregate."""
-    one = df.agg(*[F.count_if(broken).alias(f"r{i}") for i, broken in enumerate(rules.values())])
+    return _listed(df.agg(*[F.count_if(broken).alias(f"r{i}") for i, broken in enumerate(rules.values())]), rules)
+
+
+def _listed(one: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """A row of counts r0, r1, ... as (rule, broken)."""
     listed = F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"r{i}").alias("broken")) for i, k in enumerate(rules)])
     return one.select(F.explode(listed).alias("r")).select("r.*")
