@@ -13,7 +13,6 @@ from tidemark.operators import quality
 from tidemark.operators.relational import flagged_outer_join, latest, unique
 from tidemark.operators.scratch import discard, written
 from tidemark.schemas import COUNTERS, assert_columns
-from tidemark.sources import store
 from tidemark.sources.store import union_all
 
 #: The source's names of COUNTERS, in their order, then of the rest.
