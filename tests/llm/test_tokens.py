@@ -1,8 +1,10 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,6 +33,22 @@ def test_ids_by_words_are_those_of_whole_texts(text):
     assert got.tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
+def test_parts_of_texts_bound_what_encoding_holds():
+    rnd = random.Random(8)
+    texts = pa.array([" ".join(f"{rnd.choice('abcdefgh')}{rnd.randrange(500)}" for _ in range(20_000)) for _ in range(20)])
+
+    def held(together):
+        tracemalloc.start()
+        ids = ENCODER.encode(texts, b"\1\0", together)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return ids, peak
+
+    held(8_000_000)  # its words are known now
+    (whole, most), (parts, least) = held(8_000_000), held(200_000)
+    assert parts.equals(whole) and least < most / 3
+
+
 def with_null_ids() -> list[tuple]:
     data = rows()
     return data + [(None, "no id", *data[0][2:]), (None, None, *data[1][2:]), (-5, "below nought", *data[0][2:])]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import materialise, ordered_offsets, ship_by_value, small_table
-from tidemark.llm.word_ids import encode_documents, tokenizer_path, wide, width_of
+from tidemark.llm.word_ids import encode_documents, small_batches, tokenizer_path, wide, width_of
 
 
 def _queue_key(column: str):
@@ -110,7 +110,7 @@ def pack(
     cuts = plan.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts"))  # those of one document
 
     def cut(batches):
-        for b in batches:
+        for b in small_batches(batches):
             cuts = b.column(4)
             start, length, sequence, offset = (x.to_numpy() for x in cuts.flatten().flatten())
             at = np.repeat(np.arange(len(b)), cuts.value_lengths().to_numpy())

@@ -140,9 +140,10 @@ class WordEncoder:
     def __call__(self, texts: list[bytes], end: bytes = b"") -> list[bytes]:
         return [x.as_py() for x in self.encode(pa.array(texts, pa.binary()).cast(pa.string()), end)]
 
-    def encode(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
-        """Strings (null: empty) -> their ids as binary: distinct words of about 8 MB of text at once."""
-        parts = [self._encoded(texts[lo:hi], end) for lo, hi in groups(pc.binary_length(texts).fill_null(0).to_pylist(), 8_000_000)]
+    def encode(self, texts: pa.Array, end: bytes = b"", together: int = 8_000_000) -> pa.Array:
+        """Strings (null: empty) -> their ids as binary: distinct words of about so many bytes of text at once, whose arrays
+        take some 20 times as much memory."""
+        parts = [self._encoded(texts[lo:hi], end) for lo, hi in groups(pc.binary_length(texts).fill_null(0).to_pylist(), together)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
     def _encoded(self, texts: pa.Array, end: bytes) -> pa.Array:
@@ -207,8 +208,8 @@ def encode_documents(docs: DataFrame, path: str, end_id: int | None = 1, text_co
 
     def run(batches):
         encoder = WordEncoder(path, width)
-        for b in batches:
-            ids = encoder.encode(b.column(len(keep)), end)
+        for b in small_batches(batches):
+            ids = encoder.encode(b.column(len(keep)), end, 2_000_000)
             n_tokens = pc.divide(pc.binary_length(ids), width).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids, n_tokens], names=[*keep, "ids", "n_tokens"])
 
