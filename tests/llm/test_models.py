@@ -289,6 +289,40 @@ def test_counts_and_learning_make_repeated_text_cheap():
     assert bits < 1.6
 
 
+def test_maps_come_from_all_that_the_tables_count():
+    rnd, shape = random.Random(6), mixing_model().shape
+    stream = bit_mixer.Stream([sentence(rnd, "de", 40).encode().lower() for _ in range(30)], shape)
+    tables, matches = [np.zeros(2 << s, np.uint32) for s in shape.slots], np.zeros(2 * bit_mixer.CODES, np.int64)
+    bit_mixer.add_counts(tables, stream, matches)
+    small = [t.astype(np.uint16).reshape(-1, 2) for t in tables]
+    model = bit_mixer.MixingModel(shape, [bit_mixer.codes_of(t) for t in small], [bit_mixer.left_out(t) for t in small], None, None)
+    seen = np.zeros((bit_mixer.HASHED + 1, bit_mixer.CODES, 2))
+    bit_mixer.see_codes(seen, model, stream)
+    assert np.array_equal(np.stack([*map(bit_mixer.seen_in, small), matches.reshape(-1, 2)]), seen)
+
+
+def test_fits_cover_all_training_texts_whatever_their_length(spark, monkeypatch):
+    rnd = random.Random(7)
+    texts = [sentence(rnd, "en", 30) for _ in range(40)] + [sentence(rnd, "de", 20_000), None]
+    taught = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    data = [(t or "").lower().encode() for t in texts]
+    triples, times = context_mixing.byte_triples(taught)
+    want = np.unique(np.concatenate([bit_mixer.byte_triples(t) for t in data]), return_counts=True)
+    assert triples.tolist() == want[0].tolist() and times.tolist() == want[1].tolist()
+    words = [b"the", b"of", b"nacht", b"never"]
+    counts = np.array([[t.split().count(w) for w in words] for t in data], float)
+    share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    assert np.allclose(context_mixing.word_company(taught, words, 2), share.T @ counts, rtol=1e-5)
+    shape = context_mixing.fit_shape(taught, words, (10, 13, 11), 2)
+    tables, matches = context_mixing.count_contexts(taught, shape, 2)
+    decisions = sum(int(shape.sizes[shape.contexts[x >> 8], x & 255]) for t in data for x in bit_mixer.byte_triples(t))
+    assert matches.sum() == decisions and all(t.sum() == decisions for t in tables if t.max() < 30_000)
+    read = []
+    monkeypatch.setattr(bit_mixer, "joined", lambda states, own=bit_mixer.joined: (read.extend(s[3].sum() for s in states), own(states))[1])
+    fitted = context_mixing.fit_mixer(taught, shape, tables, matches, 2)
+    assert read == [decisions] and np.isfinite(fitted.weights).all()  # the refinement has seen every decision
+
+
 def test_codes_follow_the_counts():
     n = np.array([[0, 0], [0, 1], [1, 0], [3, 3], [2, 40], [900, 30], [30, 900], [60_000, 60_000]], np.uint16)
     codes = bit_mixer.codes_of(n)

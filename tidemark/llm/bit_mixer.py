@@ -340,12 +340,14 @@ class MixingModel:
         return out
 
 
-def add_counts(tables: list[np.ndarray], stream: Stream) -> None:
-    """tables: uint32 [2 * slots] of each predictor: counts of zeros and ones."""
+def add_counts(tables: list[np.ndarray], stream: Stream, matches: np.ndarray | None = None) -> None:
+    """tables: uint32 [2 * slots] of each predictor: counts of zeros and ones. matches [2 * CODES]: those after match codes."""
     for places, _ in stream.chunks():
-        for _, place, _, path, bit, _ in stream.levels(places):
+        for _, place, _, path, bit, match in stream.levels(places):
             for k, table in enumerate(tables):
                 np.add.at(table, 2 * stream.slot(k, place, path) + bit, np.uint32(1))
+            if matches is not None:
+                matches += np.bincount(2 * match + bit, minlength=2 * CODES)
 
 
 def see_codes(seen: np.ndarray, model: MixingModel, stream: Stream) -> None:
@@ -358,6 +360,18 @@ def see_codes(seen: np.ndarray, model: MixingModel, stream: Stream) -> None:
             seen[MATCH] += np.bincount(2 * match + bit, minlength=2 * CODES).reshape(-1, 2)
 
 
+def seen_in(table: np.ndarray) -> np.ndarray:
+    """What see_codes finds for a predictor over all texts that its table [slots, 2] counts: a slot's n zeros each follow the
+    code of its counts without one zero, its ones the code without one one."""
+    seen = np.zeros((CODES, 2))
+    for lo in range(0, len(table), 1 << 17):
+        n = table[lo : lo + (1 << 17)]
+        codes = left_out(n).reshape(-1, 2)
+        for bit in (0, 1):
+            seen[:, bit] += np.bincount(codes[:, bit], n[:, bit], CODES)
+    return seen
+
+
 def maps_of(seen: np.ndarray) -> np.ndarray:
     """Log odds of a one [predictor, code]: what followed a state, with what its counts say as a prior."""
     seen = seen.reshape(HASHED + 1, STATES, 2, 2)  # state, likelier bit, bit
@@ -374,29 +388,34 @@ class Learner:
     """Weights by Newton steps, online in the order of the text; the refinement by what came true in each cell."""
 
     def __init__(self, model: MixingModel, batch: int = 2048):
+        """batch: bytes of the first step; each later one takes twice as many, up to CHUNK."""
         self.model, self.batch = model, batch
         model.weights = np.full((GATES, INPUTS), 0.3)
         self.curve = np.tile(np.eye(INPUTS) * 50.0, (GATES, 1, 1))
         self.ones, self.every = np.zeros(REFINED * BUCKETS), np.zeros(REFINED * BUCKETS)
 
     def read(self, stream: Stream) -> None:
-        model = self.model
-        for lo in range(0, len(stream.place), self.batch):
+        model, lo = self.model, 0
+        while lo < len(stream.place):
             for _, place, depth, path, bit, match in stream.levels(stream.place[lo : lo + self.batch]):
                 x, gate = model.inputs(stream, place, depth, path, match, bit)
                 z = model.logit(x, gate)
                 at = stream.node(place, path) * BUCKETS + bucket(z)
-                self.every += np.bincount(at, minlength=len(self.every))
-                self.ones += np.bincount(at, bit, len(self.ones))
+                np.add.at(self.every, at, 1.0)
+                np.add.at(self.ones, at, bit.astype(np.float64))
                 p = 1 / (1 + np.exp(-z))
                 slope, bend = p - bit, np.maximum(p * (1 - p), 1e-3)
-                order = np.argsort(gate, kind="stable")
-                edges = np.flatnonzero(np.diff(gate[order])) + 1
-                for at in np.split(order, edges):
-                    g = gate[at[0]]
-                    xs = x[:, at].astype(np.float64)
-                    self.curve[g] += (xs * bend[at]) @ xs.T
-                    model.weights[g] -= np.clip(np.linalg.solve(self.curve[g], xs @ slope[at]), -0.3, 0.3)
+                for i in range(INPUTS):
+                    bent = x[i] * bend
+                    for j in range(i + 1):
+                        more = np.bincount(gate, bent * x[j], GATES)
+                        self.curve[:, i, j] += more
+                        if i != j:
+                            self.curve[:, j, i] += more
+                pulled = np.stack([np.bincount(gate, own * slope, GATES) for own in x], axis=1)
+                model.weights -= np.clip(np.linalg.solve(self.curve, pulled[:, :, None])[:, :, 0], -0.3, 0.3)
+            lo += self.batch
+            self.batch = min(2 * self.batch, CHUNK)
 
     def state(self) -> tuple[np.ndarray, ...]:
         return self.curve, np.einsum("gij,gj->gi", self.curve, self.model.weights), self.ones, self.every

@@ -1,8 +1,8 @@
 """Language-model scores of whole texts by online logistic context mixing.
 
 bit_mixer codes the lower-cased bytes of a text one binary decision after the other. Its tables of context counts
-are gathered from all training documents; what few numbers gate, weigh and refine the predictors are fitted on a
-bounded sample of them. The tables have a fixed size (at most 2^22 slots each), so they keep less and less of rare
+are gathered from all training documents, and so is what gates, weighs and refines the predictors: sums of a fixed size
+that every task adds up over its documents. The tables have a fixed size (at most 2^22 slots each), so they keep less and less of rare
 contexts as a corpus grows; the exact counts of all words, which have no bound and are joined by word, are
 mixed in after each word by a share that follows how often they foretold this text's earlier words better.
 """
@@ -33,7 +33,9 @@ _SYMBOL[[*SPACES, bit_mixer.END]] = range(7)
 #: Bytes of texts whose contexts are held at once.
 TOGETHER = 100_000
 TOPIC_WORDS = 1024
-LEARNERS = 8
+#: Entries of an array that a task sends in one row.
+PART = 1 << 17
+SUMS = "k int, c int, part binary"
 
 
 def space_counts(text: bytes) -> list[int]:
@@ -107,54 +109,107 @@ def _lower(column: pa.Array) -> list[bytes]:
     return [t.lower() for t in text_bytes(column)]
 
 
-def fit_shape(sample: DataFrame, frequent: list[bytes], slots: tuple[int, ...]) -> Shape:
-    """Codes of bytes and topics of words from the sample (h, text); frequent: the words that may speak for a topic."""
-    words = sorted((w for w in frequent if w and all(bit_mixer._LETTER[c] for c in w)), key=bit_mixer.word_hash)
+def sent(arrays: list[np.ndarray]):
+    """Rows (k, c, part) of a task's arrays, for summed()."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for k, array in enumerate(arrays):
+        flat = array.reshape(-1)
+        for c in range(0, len(flat), PART):
+            if flat[c : c + PART].any():
+                part = pack.compress(np.ascontiguousarray(flat[c : c + PART], "<f8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c], pa.int32()), pa.array([part], pa.binary())], names=["k", "c", "part"])
+
+
+def summed(parts: DataFrame, shapes: list[tuple[int, ...]], tasks: int) -> list[np.ndarray]:
+    """The sums of what the tasks have sent() of arrays of the given shapes."""
+
+    def add(batches):
+        unpack, total, key = zstandard.ZstdDecompressor(), None, None
+        for b in batches:
+            for k, c, data in zip(*[x.to_pylist() for x in b.columns]):
+                if key not in (None, (k, c)):
+                    yield from row(key, total)
+                    total = None
+                key, more = (k, c), np.frombuffer(unpack.decompress(data))
+                total = more if total is None else total + more
+        if key:
+            yield from row(key, total)
+
+    def row(key, total):
+        data = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([data], pa.binary())], names=["k", "c", "part"])
+
+    sums, unpack = [np.zeros(math.prod(shape)) for shape in shapes], zstandard.ZstdDecompressor()
+    for r in parts.repartition(tasks, "k", "c").sortWithinPartitions("k", "c").mapInArrow(add, SUMS).collect():  # as large as the arrays
+        data = np.frombuffer(unpack.decompress(bytes(r["part"])))
+        sums[r["k"]][r["c"] : r["c"] + len(data)] = data
+    return [x.reshape(shape) for x, shape in zip(sums, shapes)]
+
+
+def byte_triples(taught: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct triples of bytes of all training texts (one column) and how often they stand there."""
+
+    def run(batches):
+        triples, times = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        for b in slices(batches, 500):
+            texts = _lower(b.column(0))
+            for lo, hi in groups([len(t) for t in texts], 2_000_000):
+                own, n = np.unique(np.concatenate([bit_mixer.byte_triples(t).astype(np.int32) for t in texts[lo:hi]]), return_counts=True)
+                triples, at = np.unique(np.concatenate([triples, own]), return_inverse=True)
+                times = np.bincount(at, np.concatenate([times, n]), len(triples)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(triples, pa.int32()), pa.array(times, pa.int64())], names=["triple", "times"])
+
+    found = taught.mapInArrow(run, "triple int, times long").groupBy("triple").agg(F.sum("times").alias("times"))
+    got = found.toArrow().sort_by("triple")  # at most 2^24 triples of bytes
+    return got.column(0).to_numpy().astype(np.int64), got.column(1).to_numpy()
+
+
+def word_company(taught: DataFrame, words: list[bytes], tasks: int) -> np.ndarray:
+    """[words, words]: how often each word stands in the training texts of another, texts weighted by that word's share in them."""
     number = {w: i for i, w in enumerate(words)}
+    m = len(words)
 
     def run(batches):
-        triples = np.zeros(0, np.int64)
-        times = np.zeros(0, np.int64)
-        for b in batches:
-            rows, texts = [], _lower(b.column(1))
-            triples, times = added([triples, *map(bit_mixer.byte_triples, texts)], times)
-            for text in texts:
+        total = np.zeros((m, m))
+        for b in slices(batches, 500):
+            counts = np.zeros((len(b), m), np.float32)
+            for row, text in zip(counts, _lower(b.column(0))):
                 at = [i for i in map(number.get, text.split()) if i is not None]
-                rows.append(np.minimum(np.bincount(at, minlength=len(words)), 65_535).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary()), pa.nulls(len(rows), pa.binary())], names=["h", "words", "bytes"])
-        seen = np.stack([triples, times]).astype("<i8").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen], pa.binary())], names=["h", "words", "bytes"])
-
-    def added(triples: list[np.ndarray], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        every = np.concatenate(triples)
-        distinct, at = np.unique(every, return_inverse=True)
-        return distinct, np.bincount(at, np.r_[times, np.ones(len(every) - len(times), np.int64)], len(distinct)).astype(np.int64)
-
-    got = sample.mapInArrow(run, "h long, words binary, bytes binary").collect()  # a row for each sampled document and task
-    parts = [np.frombuffer(r.bytes, "<i8").reshape(2, -1) for r in got if r.bytes is not None] or [np.zeros((2, 0), np.int64)]
-    triples, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    times = np.bincount(at, np.concatenate([p[1] for p in parts]), len(triples))
-    rows = sorted((r.h, bytes(r.words)) for r in got if r.words is not None)
-    counts = np.array([np.frombuffer(w, "<u2") for _, w in rows], np.float64).reshape(len(rows), len(words))
-    codes, sizes, contexts = bit_mixer.byte_codes(triples, times)
-    odds = bit_mixer.topic_odds(counts) if len(words) else np.zeros((0, 1), np.float32)
+                if at:
+                    row += np.bincount(at, minlength=m)
+            total += (counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).T @ counts
+        yield from sent([total])
+
+    return summed(taught.mapInArrow(run, SUMS), [(m, m)], tasks)[0]
+
+
+def fit_shape(taught: DataFrame, frequent: list[bytes], slots: tuple[int, ...], tasks: int) -> Shape:
+    """Codes of bytes and topics of words from all training texts; frequent: the words that may speak for a topic.
+
+    A topic is a group of words that keep the same company: the mixture is fitted to the company of every frequent word.
+    """
+    words = sorted((w for w in frequent if w and all(bit_mixer._LETTER[c] for c in w)), key=bit_mixer.word_hash)
+    codes, sizes, contexts = bit_mixer.byte_codes(*byte_triples(taught))
+    odds = bit_mixer.topic_odds(word_company(taught, words, tasks)) if words else np.zeros((0, 1), np.float32)
     return Shape(codes, sizes, contexts, np.array([bit_mixer.word_hash(w) for w in words], np.uint64), odds, slots)
 
 
-def count_contexts(taught: DataFrame, shape: Shape, tasks: int, part: int = 1 << 17) -> list[np.ndarray]:
-    """Tables [slots, 2] of zero and one counts of every hashed predictor, over all training texts (one column).
+def count_contexts(taught: DataFrame, shape: Shape, tasks: int, part: int = 1 << 17) -> tuple[list[np.ndarray], np.ndarray]:
+    """Tables [slots, 2] of zero and one counts of every hashed predictor, over all training texts (one column), and counts
+    [codes, 2] of the bits that followed each match.
 
     Each of `tasks` tasks adds up tables of its own and sends them in parts; the sum has a fixed size, so that
     it can go to the driver and to every worker. Counts past 65,000 are scaled down together.
     """
-    sent = taught.sparkSession.sparkContext.broadcast(shape)
+    whole, last = taught.sparkSession.sparkContext.broadcast(shape), len(shape.slots)
 
     def run(batches):
-        tables = [np.zeros(2 << s, np.uint32) for s in sent.value.slots]
+        tables, matches = [np.zeros(2 << s, np.uint32) for s in whole.value.slots], np.zeros(2 * bit_mixer.CODES, np.int64)
         for b in slices(batches, 500):
-            for _, _, stream in streams(_lower(b.column(0)), sent.value):
-                bit_mixer.add_counts(tables, stream)
+            for _, _, stream in streams(_lower(b.column(0)), whole.value):
+                bit_mixer.add_counts(tables, stream, matches)
         pack = zstandard.ZstdCompressor(level=1)
+        yield row(last, 0, pack.compress(matches.astype(np.uint64).tobytes()))
         for k, table in enumerate(tables):
             for c in range(0, len(table), part):
                 if table[c : c + part].any():
@@ -165,29 +220,33 @@ def count_contexts(taught: DataFrame, shape: Shape, tasks: int, part: int = 1 <<
         for b in batches:
             for k, c, data in zip(*[x.to_pylist() for x in b.columns]):
                 if key not in (None, (k, c)):
-                    yield row(*key, pack.compress(small(total)))
+                    yield row(*key, pack.compress(small(key[0], total)))
                     total = None
                 key = (k, c)
-                more = np.frombuffer(unpack.decompress(data), np.uint32).astype(np.uint64)
+                more = np.frombuffer(unpack.decompress(data), np.uint64 if k == last else np.uint32).astype(np.uint64)
                 total = more if total is None else total + more
         if key:
-            yield row(*key, pack.compress(small(total)))
+            yield row(*key, pack.compress(small(key[0], total)))
 
     def row(k, c, data):
         return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c], pa.int32()), pa.array([data], pa.binary())], names=["k", "c", "part"])
 
-    def small(total):
+    def small(k, total):
+        if k == last:
+            return total.tobytes()
         n = total.reshape(-1, 2)
         scale = np.maximum(np.uint64(1), (n.max(axis=1) + np.uint64(64_999)) // np.uint64(65_000))[:, None]
         return np.where((n > 0) & (n < scale), 1, n // scale).astype(np.uint16).tobytes()
 
-    schema = "k int, c int, part binary"
-    parts = taught.coalesce(tasks).mapInArrow(run, schema).repartition(tasks, "k", "c").sortWithinPartitions("k", "c")
-    tables, unpack = [np.zeros(2 << s, np.uint16) for s in shape.slots], zstandard.ZstdDecompressor()
-    for r in parts.mapInArrow(add, schema).collect():  # 4 bytes for each of the fixed slots at most
+    parts = taught.mapInArrow(run, SUMS).repartition(tasks, "k", "c").sortWithinPartitions("k", "c")
+    tables, matches, unpack = [np.zeros(2 << s, np.uint16) for s in shape.slots], np.zeros(2 * bit_mixer.CODES), zstandard.ZstdDecompressor()
+    for r in parts.mapInArrow(add, SUMS).collect():  # 4 bytes for each of the fixed slots at most
+        if r["k"] == last:
+            matches[:] = np.frombuffer(unpack.decompress(bytes(r["part"])), np.uint64)
+            continue
         data = np.frombuffer(unpack.decompress(bytes(r["part"])), np.uint16)
         tables[r["k"]][r["c"] : r["c"] + len(data)] = data
-    return [t.reshape(-1, 2) for t in tables]
+    return [t.reshape(-1, 2) for t in tables], matches.reshape(-1, 2)
 
 
 class Sent:
@@ -217,35 +276,26 @@ def _by_parts(f, table: np.ndarray, part: int = 1 << 17) -> np.ndarray:
     return np.concatenate([f(table[i : i + part]) for i in range(0, len(table), part)])
 
 
-def fit_mixer(sample: DataFrame, shape: Shape, tables: list[np.ndarray]) -> MixingModel:
-    """Maps, then weights and refinement, over the sample (h, text), in whose predictions each bit is left out of its counts."""
-    context = sample.sparkSession.sparkContext
+def fit_mixer(taught: DataFrame, shape: Shape, tables: list[np.ndarray], matches: np.ndarray, tasks: int) -> MixingModel:
+    """Maps from the tables and the counts of matches, then weights and refinement over all training texts (one column), in
+    whose predictions each bit is left out of its counts."""
     codes = [_by_parts(bit_mixer.codes_of, t) for t in tables]
-    sent = context.broadcast(Sent(shape, tables, True))  # a fixed size: SLOTS
-    shape_of = (bit_mixer.HASHED + 1, bit_mixer.CODES, 2)
-
-    def see(batches):
-        model, seen = sent.value.open(), np.zeros(shape_of)
-        for b in batches:
-            for _, _, stream in streams(_lower(b.column(1)), model.shape):
-                bit_mixer.see_codes(seen, model, stream)
-        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["v"])
+    maps = bit_mixer.maps_of(np.stack([*map(bit_mixer.seen_in, tables), matches]))
+    model = taught.sparkSession.sparkContext.broadcast(Sent(shape, tables, True, maps, None))  # a fixed size: SLOTS
+    g, n, cells = bit_mixer.GATES, bit_mixer.INPUTS, bit_mixer.REFINED * bit_mixer.BUCKETS
 
     def learn(batches):
-        learner = Learner(replace(sent.value.open(), maps=maps))
-        for b in batches:
-            for _, _, stream in streams(_lower(b.column(1)), learner.model.shape):
+        learner = Learner(replace(model.value.open()))
+        for b in slices(batches, 500):
+            for _, _, stream in streams(_lower(b.column(0)), learner.model.shape):
                 learner.read(stream)
-        pack = zstandard.ZstdCompressor(level=1)
-        yield pa.RecordBatch.from_arrays([pa.array([pack.compress(x.tobytes())], pa.binary()) for x in learner.state()], names=["curve", "pulled", "ones", "every"])
-
-    got = [np.frombuffer(r.v).reshape(shape_of) for r in sample.mapInArrow(see, "v binary").collect()]  # a row a task, LEARNERS at most
-    maps = bit_mixer.maps_of(sum(got, np.zeros(shape_of)))
-    states = sample.mapInArrow(learn, "curve binary, pulled binary, ones binary, every binary").collect()  # likewise
-    unpack, g, n = zstandard.ZstdDecompressor(), bit_mixer.GATES, bit_mixer.INPUTS
-    arrays = [tuple(np.frombuffer(unpack.decompress(bytes(x))) for x in r) for r in states]
-    weights, refine = bit_mixer.joined([(c.reshape(g, n, n), p.reshape(g, n), o, e) for c, p, o, e in arrays])
-    sent.unpersist()
+        yield from sent([*learner.state()])
+
+    state = summed(taught.mapInArrow(learn, SUMS), [(g, n, n), (g, n), (cells,), (cells,)], tasks)
+    if not state[0].any():  # no task at all
+        state = Learner(MixingModel(None, [], None, None, None)).state()
+    weights, refine = bit_mixer.joined([tuple(state)])
+    model.unpersist()
     return MixingModel(shape, codes, None, maps, weights, refine)
 
 
@@ -274,25 +324,16 @@ def mixed(coded: np.ndarray, counted: np.ndarray, first: np.ndarray) -> np.ndarr
     return np.logaddexp2(coded / math.log10(2) + np.log2(1 - share), counted / math.log10(2) + np.log2(share)) * math.log10(2)
 
 
-def sampled(docs: DataFrame, n_train: int, mixer_docs: int, longest: int, id_col: str, text_col: str) -> DataFrame:
-    """(h, text) of about mixer_docs training rows of at most longest bytes, those with the least hashes, for a few tasks."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(F.col(f"`{id_col}`").cast("string"), text).alias("h"), text.alias("text"))
-    chosen = rows.where(F.col("h") / F.lit(2.0**64) + 0.5 <= min(1.0, mixer_docs / max(1, n_train))).where(F.octet_length("text") <= longest)
-    return chosen.dropDuplicates(["h"]).repartition(LEARNERS, "h").sortWithinPartitions("h")
-
-
 def score_documents(
-    docs: DataFrame, train_col: str = "train", id_col: str = "doc_id", text_col: str = "text", mixer_docs: int = 1500, longest: int = 65_536, hot_words: int = 100_000
+    docs: DataFrame, train_col: str = "train", id_col: str = "doc_id", text_col: str = "text", hot_words: int = 100_000
 ) -> DataFrame:
     """(id_col, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte): one row for each row of docs.
 
     train_col (boolean, null counts as false) marks the rows that teach. Null texts are empty; an empty text is
     its end. Tokens are words and one end. base_score: log10 probability of the tokens by add-half unigram
     counts. score: that of the lower-cased text, every byte and the end coded in turn. Rows that repeat an id are
-    scored each. The mixer's weights, its byte codes and topics are fitted on about mixer_docs training documents of
-    at most longest bytes; context and word counts cover all training documents and whole texts. The hot_words words
-    of most blocks are broadcast, all others joined.
+    scored each. Counts, byte codes, topics, maps, weights and refinement are gathered from all training documents and
+    whole texts. The hot_words words of most blocks are broadcast, all others joined.
     """
     spark = docs.sparkSession
     marked = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("t"), F.coalesce(F.col(f"`{train_col}`"), F.lit(False)).alias("train"))
@@ -309,15 +350,13 @@ def score_documents(
     seen = (counts["kinds"] + (n_blank > 0), counts["once"] + (n_blank == 1), counts["twice"] + (n_blank == 2))
     norm = math.log10(total + 0.5 * (kinds + 1))
 
-    taught = marked.where("train")
-    sample = materialise(sampled(taught, n_ends, mixer_docs, longest, id_col, "t"), "mixing-sample").coalesce(LEARNERS).sortWithinPartitions("h")
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+    taught = marked.where("train").select(F.col("t").cast("string").alias("t")).coalesce(tasks)
     frequent = [bytes(r.word) for r in vocabulary.where("n > 0").orderBy(F.desc("n"), "word").limit(TOPIC_WORDS).collect()]
     slots = tuple(min(s, 2 + int(ends["bytes"] or 0).bit_length()) for s in bit_mixer.SLOTS)
-    shape = fit_shape(sample, frequent, slots)
-    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
-    tables = count_contexts(taught.select(F.col("t").cast("string").alias("t")), shape, tasks)
-    fitted = fit_mixer(sample, shape, tables)
-    sent = spark.sparkContext.broadcast(Sent(shape, fitted.codes, False, fitted.maps, fitted.weights, fitted.refine))  # a fixed size: SLOTS
+    shape = fit_shape(taught, frequent, slots, tasks)
+    fitted = fit_mixer(taught, shape, *count_contexts(taught, shape, tasks), tasks)
+    whole = spark.sparkContext.broadcast(Sent(shape, fitted.codes, False, fitted.maps, fitted.weights, fitted.refine))  # a fixed size: SLOTS
 
     hot = vocabulary.where("blocks > 1").orderBy(F.desc("blocks"), "word").limit(hot_words).select("word", F.col("n").alias("hot_n"))
     own = words.select(F.col("block").alias("block_"), F.col("at").alias("at_"), "word")
@@ -333,7 +372,7 @@ def score_documents(
         unpack, at = zstandard.ZstdDecompressor(), defaultdict(count().__next__)
         bodies = [unpack.decompress(t) for t in texts_.column("text").to_pylist()]
         columns: list[list[np.ndarray]] = [[] for _ in range(4)]
-        model = sent.value.open()
+        model = whole.value.open()
         for lo, hi, logs, data, owners in coded_texts(bodies, model):
             closes = np.flatnonzero(_SYMBOL[data] >= 0)
             opens = np.r_[0, closes[:-1] + 1]
