@@ -1,7 +1,11 @@
+import os
 import random
+import subprocess
+import sys
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -186,3 +190,39 @@ def test_long_words_and_cache_limits(monkeypatch):
     texts = [" ".join("".join(rnd.choice("abcé.,") for _ in range(rnd.randint(1, 5))) for _ in range(50)) for _ in range(20)] + ["q" * 30_000]
     got = WordEncoder(PATH, 4)([t.encode() for t in texts])
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [WHOLE.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+GROWTH = """
+import re, random, sys
+import pyarrow as pa
+from tidemark.llm import word_ids
+
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def task(seed):
+    r = random.Random(seed)
+    texts = pa.array([" ".join("".join(r.choices("abcdefghijklmnop", k=9)) for _ in range(50)) for _ in range(300)])
+    def run(batches):
+        encoder = word_ids.WordEncoder(word_ids.tokenizer_path(), 2)
+        for b in word_ids.small_batches(batches):
+            yield encoder.encode(b.column(0))
+    for _ in getattr(word_ids, "lean", lambda f: f)(run)([pa.RecordBatch.from_arrays([texts], names=["t"])]):
+        pass
+
+for i in range(3):
+    task(i)
+before = held()
+for i in range(3, 13):
+    task(i)
+print(held() - before)
+"""
+
+
+def test_tasks_of_one_worker_leave_nothing_behind():
+    """A worker encodes for one task after the other; what their tokenizers cached must not add up."""
+    if not os.path.exists("/proc/self/smaps_rollup"):
+        pytest.skip("memory can't be read here")
+    done = subprocess.run([sys.executable, "-c", GROWTH], capture_output=True, text=True, cwd=Path(__file__).parents[2], timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert float(done.stdout.split()[-1]) < 15

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fold, materialise, ship_by_value, small_table
-from tidemark.llm.word_ids import groups, small_batches, text_bytes
+from tidemark.llm.word_ids import groups, lean, small_batches, text_bytes
 
 ORDER = 4
 CACHE_WORDS = 300_000
@@ -260,7 +260,7 @@ def train(
             langs, texts = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(found.values(), pa.int64())], names=["lang", "gram", "n"])
 
-    taught = sample.where("not held").select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    taught = sample.where("not held").select("lang", "text").mapInArrow(lean(count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}
     for r in taught.collect():  # bounded by the sample
         counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
@@ -278,7 +278,7 @@ def train(
             h = -got[np.arange(len(got)), at + 1] / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(h)], names=["lang", "n", "h"])
 
-    checked = sample.where("held").select("lang", "text").mapInArrow(entropy, "lang string, n double, h double").where("n > 0")
+    checked = sample.where("held").select("lang", "text").mapInArrow(lean(entropy), "lang string, n double, h double").where("n > 0")
     got = [(r["lang"], r["n"], r["h"]) for r in checked.collect()]  # a tenth of the sample
     bounds, of_lang = np.tile([np.inf, 0.1, 3.0, 8.0], (len(languages), 1)), {}
     for lang, *pair in got:
@@ -334,7 +334,7 @@ def identify(docs: DataFrame, model: LanguageModel, spread: float | None = None,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(prob), h, pa.array(bad)], names=[id_col, "lang_pred", "score", "cross_entropy", "rejected"])
 
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return rows.mapInArrow(lean(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def accept(docs: DataFrame, model: LanguageModel, spread: float | None = None, text_col: str = "text") -> DataFrame:
@@ -346,7 +346,7 @@ def accept(docs: DataFrame, model: LanguageModel, spread: float | None = None, t
         for b in small_batches(batches):
             yield b.filter(pa.array(~_judge(text_bytes(b.column(at)), score, model, spread)[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -18,9 +18,11 @@ from pyspark.sql import types as T
 from tidemark.llm.common import materialise, ship_by_value
 from tidemark.llm.graph import components
 from tidemark.llm.simhash import fingerprint_of, near_pairs, shingle_hashes
-from tidemark.llm.word_ids import small_batches, text_bytes
+from tidemark.llm.word_ids import lean, small_batches, text_bytes
 
 BANDS, ROWS, STEP, RADIUS = 25, 6, 1024, 3
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
 _rng = np.random.default_rng(42)
 _XOR = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -64,7 +66,7 @@ def signatures(docs: DataFrame, width: int, seed: int) -> DataFrame:
             fps = pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sims, pa.int64()), fps, pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int, seed: int) -> DataFrame:
@@ -81,7 +83,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long")
 
 
 def common_shingles(texts: DataFrame, width: int, seed: int) -> DataFrame:
@@ -93,7 +95,7 @@ def common_shingles(texts: DataFrame, width: int, seed: int) -> DataFrame:
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(sets)), sizes))), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["fp", "g"])
 
-    each = materialise(texts.select("fp", "text").mapInArrow(run, "fp long, g long"), "jaccard-shingles")
+    each = materialise(texts.select("fp", "text").mapInArrow(lean(run), "fp long, g long"), "jaccard-shingles")
     often = each.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
     return each.join(often, "g").groupBy("fp").agg(F.collect_list("g").alias("common"))  # at most the text's own shingles
 
@@ -114,7 +116,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, common: DataFrame, width: int,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(inside, pa.int64()), pa.array(other, pa.int64())], names=["fp", "hub", "inside", "other"])
 
     both = pairs.join(texts.toDF("fp", "text"), "fp").join(common, "fp", "left").join(texts.toDF("hub", "hub_text"), "hub")
-    return both.select("fp", "hub", "hub_text", "text", "common").mapInArrow(run, "fp long, hub long, inside long, other long")
+    return both.select("fp", "hub", "hub_text", "text", "common").mapInArrow(lean(run), "fp long, hub long, inside long, other long")
 
 
 def similar_sets(rows: DataFrame, similarity: float, width: int, seed: int) -> DataFrame:
@@ -176,7 +178,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int =
     """
     columns = docs.columns
     numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("d"), F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
-    rows = materialise(signatures(numbered, width, seed).withColumn("n", F.monotonically_increasing_id()), "jaccard-docs")
+    rows = materialise(signatures(numbered, width, seed).withColumn("n", F.monotonically_increasing_id()), "jaccard-docs", BATCH_ROWS)
     roots = similar_sets(rows.select("n", "sim", "fp", "size", "keys", F.col("d")[text_col].cast("string").alias("text")), similarity, width, seed)
     first = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "fp", "n")).alias("first")
     sets = rows.groupBy("fp").agg(first)

@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import materialise, ordered_offsets, ship_by_value, small_table
-from tidemark.llm.word_ids import encode_documents, small_batches, tokenizer_path, wide, width_of
+from tidemark.llm.word_ids import encode_documents, lean, small_batches, tokenizer_path, wide, width_of
+
+#: Rows of an Arrow batch: the JVM holds batches outside its heap, two for each running task.
+BATCH_ROWS = 1000
 
 
 def _queue_key(column: str):
@@ -105,7 +108,7 @@ def pack(
     else:
         rows = rows.select("k", "s", F.lit(1).cast("long").alias("copies"), "t")
     encoded = encode_documents(rows, path, end_id, "t", ("k", "s", "copies"))
-    encoded = materialise(encoded.withColumn("row", F.monotonically_increasing_id()), "pack-ids")
+    encoded = materialise(encoded.withColumn("row", F.monotonically_increasing_id()), "pack-ids", BATCH_ROWS)
     plan = plan_pieces(encoded.select("row", "copies", _queue_key("s").alias("queue"), "n_tokens"), window, packet, weights, exponent)
     cuts = plan.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts"))  # those of one document
 
@@ -133,7 +136,7 @@ def pack(
     joined = encoded.join(cuts, "row").select("k", "s", "ids", "n_tokens", "cuts")
     kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, source_col)]
     schema = f"`{id_col}` {kinds[0]}, `{source_col}` {kinds[1]}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return joined.mapInArrow(cut, schema + (", ids binary" if with_ids else ""))
+    return joined.mapInArrow(lean(cut), schema + (", ids binary" if with_ids else ""))
 
 
 def sequences(pieces: DataFrame, window: int = 2048, pad_id: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ a cache of two bounded generations, so that frequent words stay; the tests hold
 
 from __future__ import annotations
 
-import json
+import ctypes
 import os
 import string
 import sys
@@ -53,13 +53,13 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its core
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            pre = json.dumps(json.load(f).get("pre_tokenizer"))
-        if "[^\\\\s\\\\p{L}\\\\p{N}]+" not in pre:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(0)  # it would stay, some 5 MB for each task, for as long as the worker lives; known is the cache
+        pre = self.tokenizer.pre_tokenizer
+        if pre is None or b"[^\\\\s\\\\p{L}\\\\p{N}]+" not in pre.__getstate__():  # its JSON
             raise ValueError("this tokenizer may merge across white space; its texts can't be encoded by words")
         if sys.byteorder != "little":
             raise ValueError("ids are kept as this machine's integers, which must be little-endian")
-        self.tokenizer = Tokenizer.from_file(path)
         self.normalizer = self.tokenizer.normalizer
         suffix = self.tokenizer.model.end_of_word_suffix
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -186,14 +186,33 @@ def groups(sizes: list[int], most: int):
         yield lo, len(sizes)
 
 
+def give_back() -> None:
+    """What Arrow and the C library (where it is glibc) hold of memory that is free goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """run, a function of record batches, that gives back what it held when its task ends: a worker lives on, beside others,
+    for the tasks of later stages."""
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def small_batches(batches, rows: int = 1000):
-    """Record batches in parts of at most so many rows, so that few texts are Python objects at once; what Arrow holds of
+    """Record batches in parts of at most so many rows, so that few texts are Python objects at once; what is held of
     batches that are done goes back."""
     for b in batches:
         for lo in range(0, len(b), rows):
             yield b.slice(lo, rows)
         del b
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -215,7 +234,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int | None = 1, text_co
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_text"))
     head = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{head}, ids binary, n_tokens long")
+    return rows.mapInArrow(lean(run), f"{head}, ids binary, n_tokens long")
 
 
 def wide(ids: bytes | pa.Buffer, width: int) -> np.ndarray:
