@@ -261,6 +261,38 @@ def test_very_long_texts_take_several_streams(monkeypatch):
     assert at == len(texts)
 
 
+def test_decisions_of_a_chunk_are_laid_out_at_once(monkeypatch):
+    """A predictor is looked up once for all decisions of a chunk, not once for each depth of the codes."""
+    shape = mixing_model().shape
+    stream = bit_mixer.Stream(TEXTS, shape)
+    bits, depths, matches = [], [], []
+    for place in stream.place.tolist():
+        row, guess, strength = int(stream.coder[place]) // 256, int(stream.guess[place]), int(stream.strength[place])
+        bits_of = lambda x: f"{int(shape.codes[row, x]):0{int(shape.sizes[row, x])}b}"  # noqa: B023, E731
+        own, other = bits_of(stream.data[place]), bits_of(guess) if strength else ""
+        bits += map(int, own)
+        depths += [min(d, 3) for d in range(len(own))]
+        matches += [strength + int(other[d]) if other[:d] == own[:d] and d < len(other) else 0 for d in range(len(own))]
+    got = bit_mixer.Decisions(stream, stream.place)
+    assert got.bit.tolist() == bits and ((got.notes >> 1) & 3).tolist() == depths and got.match.tolist() == matches and max(matches) > 3
+    seen, slot = [], bit_mixer.Decisions.slot
+    monkeypatch.setattr(bit_mixer.Decisions, "slot", lambda self, k: (seen.append(k), slot(self, k))[1])
+    tables = [np.zeros(2 << s, np.uint32) for s in shape.slots]
+    bit_mixer.add_counts(tables, stream)
+    assert seen == list(range(bit_mixer.HASHED)) and all(t.sum() == len(bits) for t in tables)
+
+
+def test_a_texts_topic_does_not_hang_on_the_texts_read_with_it():
+    shape = mixing_model().shape
+    odds = shape.topics.copy()
+    odds[:, :] = [[1e-5, 0.0, -1.0]]  # a small lead, lost beside the large sums of what stood before
+    shape = bit_mixer.Shape(shape.codes, shape.sizes, shape.contexts, shape.words, odds, shape.slots)
+    text, before = b"the river of nacht", b"the der of " * 2000
+    alone, among = bit_mixer.Stream([text], shape), bit_mixer.Stream([before, before, text], shape)
+    at = among.place[among.owner == 2]
+    assert all(np.array_equal(a[alone.place], b[at]) for a, b in zip(alone.hashes, among.hashes))
+
+
 def test_huffman_codes_are_prefix_free_and_complete():
     codes, sizes = bit_mixer.huffman(np.random.default_rng(1).integers(0, 1000, (3, 256)) ** 3.0)
     for before in range(3):

@@ -28,7 +28,7 @@ END = 0xFF
 PAIRS = 1024
 #: Longer texts are read in segments, each with the last WARM bytes of the one before as its context.
 SEGMENT, WARM, PAD = 1 << 19, 64, 8
-CHUNK, STEP_BYTES = 1 << 12, 1 << 15
+CHUNK, STEP_BYTES = 1 << 15, 1 << 15
 GATES, BUCKETS, REFINED = 108, 33, 4096
 _U = np.uint64
 _BASE, _INVERSE = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -411,7 +411,11 @@ class MixingModel:
 
     def code(self, k: int, slot: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
         """bit: leave this occurrence out, so that each bit is predicted as if it had been seen one time less."""
-        return self.codes[k].take(slot) if bit is None else self.without[k].take(2 * slot + bit)
+        if bit is None:
+            return self.codes[k].take(slot)
+        slot <<= 1  # a fresh array of slot()
+        slot |= bit
+        return self.without[k].take(slot)
 
     def inputs(self, decisions: Decisions, bit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Log odds [predictor, decision], the last one a constant, and the gates (uint8)."""
@@ -455,14 +459,20 @@ class MixingModel:
 
 def add_counts(tables: list[np.ndarray], stream: Stream, matches: np.ndarray | None = None) -> None:
     """tables: uint32 [2 * slots] of each predictor: counts of zeros and ones. matches [2 * CODES]: those after match codes."""
-    pairs = [t.view("<u8") for t in tables]  # a slot's zeros are the lower half
+    found: list[list[np.ndarray]] = [[] for _ in tables]
     for decisions, _ in stream.chunks():
-        one = _U(1) << (decisions.bit * _U(32))
-        for k, table in enumerate(pairs):
-            np.add.at(table, decisions.slot(k), one)
+        for k, own in enumerate(found):
+            place = decisions.slot(k)
+            place <<= 1
+            place |= decisions.bit
+            own.append(place.astype(np.uint32))
         if matches is not None:
-            found = np.bincount(2 * decisions.match.astype(np.int64) + decisions.bit)
-            matches[: len(found)] += found
+            times = np.bincount(2 * decisions.match.astype(np.int64) + decisions.bit)
+            matches[: len(times)] += times
+    for table, own in zip(tables, found if len(stream.place) else []):
+        place = np.sort(np.concatenate(own))  # so that a table is gone through in order, and once for each place
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        table[place.take(first)] += np.diff(np.r_[first, len(place)]).astype(np.uint32)
 
 
 def see_codes(seen: np.ndarray, model: MixingModel, stream: Stream) -> None:

@@ -31,7 +31,7 @@ SPACES = (32, 9, 10, 11, 12, 13)
 _SYMBOL = np.full(256, -1)
 _SYMBOL[[*SPACES, bit_mixer.END]] = range(7)
 #: Bytes of texts whose contexts are held at once.
-TOGETHER = 50_000
+TOGETHER = 200_000
 TOPIC_WORDS = 1024
 #: Entries of an array that a task sends in one row.
 PART = 1 << 17
