@@ -285,7 +285,7 @@ def test_decisions_of_a_chunk_are_laid_out_at_once(monkeypatch):
 def test_a_texts_topic_does_not_hang_on_the_texts_read_with_it():
     shape = mixing_model().shape
     odds = shape.topics.copy()
-    odds[:, :] = [[1e-5, 0.0, -1.0]]  # a small lead, lost beside the large sums of what stood before
+    odds[:, :] = [[1000.0, 1000.001, 0.0]]  # a small lead, lost in 32 bits beside the sums of what stood before
     shape = bit_mixer.Shape(shape.codes, shape.sizes, shape.contexts, shape.words, odds, shape.slots)
     text, before = b"the river of nacht", b"the der of " * 2000
     alone, among = bit_mixer.Stream([text], shape), bit_mixer.Stream([before, before, text], shape)
