@@ -273,3 +273,26 @@ def test_cleaning_reads_the_box_once(spark, tmp_path, monkeypatch):
     assert scans["box"] == 2  # the players' rows and the sums by side, each once
     clean.load_checks(made.player_games, made.games).count()
     assert "sides" in scans  # the rows are summed by side once, for all rules
+
+
+def test_load_checks_broadcast_no_games(spark, monkeypatch):
+    from tidemark.queries import plans as queries
+
+    plans, real = {}, clean.written
+    monkeypatch.setattr(clean, "written", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), real(df, name))[1])
+    found = queries.load_checks(spark, "/root/testdata/sf0.001")
+    plans["checks"] = found._jdf.queryExecution().executedPlan().toString()
+    assert [name for name in ("games", "sides", "checks") if "BroadcastExchange" in plans[name]] == []
+
+
+def test_load_checks_of_games_with_and_without_rows(spark):
+    box = "points total_reb assists steals blocks_for fouls_received fg2_att fg2_made fg3_att fg3_made ft_att ft_made turnovers blocks_against fouls_committed".split()
+    row = lambda season, code, team, won: (season, code, team, won, 0, 0, 0.0, *[0] * len(box))
+    rows = [row(1, 1, "A", True), row(1, 1, "B", False), row(1, 2, "A", True), row(1, 3, "A", True), row(1, 3, "B", True), row(1, 3, "C", False), row(None, 4, "A", True), row(None, 4, "B", False)]
+    lines = spark.createDataFrame(rows, "season int, gamecode int, team_code string, won boolean, pir int, valuation int, fantasy_score double, " + ", ".join(f"{c} int" for c in box))
+    games = spark.createDataFrame([(1, 1, True), (1, 2, True), (1, 5, True), (1, 6, False), (1, 7, True), (1, 7, True), (None, 4, True), (1, 8, None)], "season int, gamecode int, played boolean")
+    got = lambda accepted: {r.rule: r.broken for r in clean.load_checks(lines, games, accepted).collect()}
+    rules = {"rating equals the source's": 0, "rating as recomputed": 0, "score rule": 0, "one winner": 1, "two teams": 2}
+    assert got([]) == rules | {"games without rows": 4} and got([(1, 7)]) == rules | {"games without rows": 2}
+    none = {r.rule: r.broken for r in clean.load_checks(lines.limit(0), games.limit(0)).collect()}
+    assert none == dict.fromkeys([*rules, "games without rows"], 0)

@@ -74,7 +74,7 @@ def game_rows(results: DataFrame, schedule: DataFrame, totals: DataFrame) -> Dat
     g = joined.select(*key, *[v.alias(k) for k, v in either.items()], F.col("a_home_score").alias("home_score"), F.col("a_away_score").alias("away_score"), (F.coalesce("a_played", F.lit(False)) | F.coalesce("b_played", F.lit(False))).alias("played"))
     t = totals.select("season", "gamecode", "team_code", "points")
     for side in ("home", "away"):
-        g = g.join(t.select(*key, F.col("team_code").alias(f"{side}_code"), F.col("points").alias(f"_{side}")), [*key, f"{side}_code"], "left")
+        g = g.join(t.select(*key, F.col("team_code").alias(f"{side}_code"), F.col("points").alias(f"_{side}")).hint("merge"), [*key, f"{side}_code"], "left")
     use = ~((F.col("home_score") > 0) & (F.col("away_score") > 0)) & F.col("_home").isNotNull() & F.col("_away").isNotNull()
     lack = F.coalesce(use, F.col("_home").isNotNull() & F.col("_away").isNotNull() & F.col("home_score").isNull())
     scored = {f"{s}_score": F.when(lack, F.col(f"_{s}")).otherwise(F.when(F.col(f"{s}_score") > 0, F.col(f"{s}_score"))) for s in ("home", "away")}
@@ -102,7 +102,7 @@ def player_table(rows: DataFrame, games: DataFrame) -> DataFrame:
 
 def attach_context(rows: DataFrame, games: DataFrame) -> DataFrame:
     """Opponent and result from the team codes (home stays as the box score says), rating and score."""
-    joined = rows.join(games.select("season", "gamecode", "home_code", "away_code", "winner_code"), ["season", "gamecode"])
+    joined = rows.join(games.select("season", "gamecode", "home_code", "away_code", "winner_code").hint("merge"), ["season", "gamecode"])  # compressed files hide how many games a broadcast would hold
     at_home, away = F.col("team_code") == F.col("home_code"), F.col("team_code") == F.col("away_code")
     joined = joined.withColumn("opp_code", F.when(at_home, F.col("away_code")).when(away, F.col("home_code"))).where("opp_code is not null")
     joined = joined.withColumn("won", F.coalesce(F.col("winner_code") == F.col("team_code"), F.lit(False)))
@@ -148,21 +148,20 @@ def load_checks(player_games: DataFrame, games: DataFrame, accepted: list[tuple[
     # the rows are read once: each rule's count goes along with its side
     broken = [F.count_if(rule).alias(f"r{i}") for i, rule in enumerate(rules.values())]
     sides = written(player_games.groupBy("season", "gamecode", "team_code").agg(F.max("won").alias("won"), *broken), "sides")
-    pair = sides.groupBy("season", "gamecode").agg(F.count("*").alias("teams"), F.sum(F.col("won").cast("int")).alias("winners"))
-    bare = games.where("played").join(sides.select("season", "gamecode").distinct(), ["season", "gamecode"], "left_anti")
+    played = games.where("played").select("season", "gamecode")
     if accepted:
-        bare = bare.join(bare.sparkSession.createDataFrame(list(accepted), "season int, gamecode int"), ["season", "gamecode"], "left_anti")
-    by_side = {"one winner": F.col("winners") != 1, "two teams": F.col("teams") != 2}
+        played = played.join(played.sparkSession.createDataFrame(list(accepted), "season int, gamecode int"), ["season", "gamecode"], "left_anti")
+    # sides and games meet in one grouping by game: a join would broadcast every game through the driver
+    both = sides.select("season", "gamecode", F.lit(1).alias("_side"), F.col("won").cast("int").alias("_won")).unionByName(played.withColumn("_game", F.lit(1)), allowMissingColumns=True)
+    by_game = both.groupBy("season", "gamecode").agg(F.count("_side").alias("teams"), F.sum("_won").alias("winners"), F.count("_game").alias("games"))
+    has = F.col("teams") > 0
+    bare = F.when(has & F.col("season").isNotNull() & F.col("gamecode").isNotNull(), 0).otherwise(F.col("games"))  # a null key is no game's
+    counts = {"one winner": F.count_if(has & (F.col("winners") != 1)), "two teams": F.count_if(has & (F.col("teams") != 2)), "games without rows": F.coalesce(F.sum(bare), F.lit(0))}
     by_row = _listed(sides.agg(*[F.coalesce(F.sum(f"r{i}"), F.lit(0)).alias(f"r{i}") for i in range(len(rules))]), rules)
-    parts = [by_row, _counted(pair, by_side), _counted(bare, {"games without rows": F.lit(True)})]
+    parts = [by_row, _listed(by_game.agg(*[n.alias(f"r{i}") for i, n in enumerate(counts.values())]), counts)]
     return union_all(parts)
 
 
-def _counted(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """(rule, broken) of all rules that read df, in one aggregate."""
-    return _listed(df.agg(*[F.count_if(broken).alias(f"r{i}") for i, broken in enumerate(rules.values())]), rules)
-
-
 def _listed(one: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """A row of counts r0, r1, ... as (rule, broken)."""
     listed = F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"r{i}").alias("broken")) for i, k in enumerate(rules)])
